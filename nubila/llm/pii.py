@@ -110,7 +110,7 @@ def contexts(found: DataFrame, reach: int) -> DataFrame:
     return rows.where(apart).drop("base")
 
 
-def revealing_terms(found: DataFrame, near: DataFrame, alpha: float, support: int, broadcast_terms: int) -> DataFrame:
+def revealing_terms(found: DataFrame, near: DataFrame, alpha: float, support: int) -> DataFrame:
     """(entity, term, disclosure) for the terms that reveal an entity.
 
     Contexts that are equal letter for letter, as in copies, count once. Document counts of the terms run over all documents.
@@ -118,12 +118,7 @@ def revealing_terms(found: DataFrame, near: DataFrame, alpha: float, support: in
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("together")).where(F.col("together") >= support)
     pairs = stored(pairs, "pii-pairs")
     entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("entity_contexts"))
-    terms = pairs.select("term").distinct()
-    everywhere = found.select(F.explode(term_words(F.col("text"))).alias("term"))
-    # The terms are sent to every task only if they are few; else counts of all words are joined.
-    if terms.count() <= broadcast_terms:
-        everywhere = everywhere.join(F.broadcast(terms), "term", "left_semi")
-    counts = everywhere.groupBy("term").agg(F.count("*").alias("term_documents"))
+    counts = found.select(F.explode(term_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_documents"))
     documents = found.count()
     joined = pairs.join(entities, "entity").join(counts, "term")
     information = F.log2(F.lit(float(max(documents, 2))) / F.col("entity_contexts"))
@@ -146,7 +141,7 @@ def sanitise(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
 
 
-def sanitise_documents(docs: DataFrame, alpha: float = 1.5, support: int = 3, reach: int = 64, broadcast_terms: int = 20_000) -> DataFrame:
+def sanitise_documents(docs: DataFrame, alpha: float = 1.5, support: int = 3, reach: int = 64) -> DataFrame:
     """docs with text (null: empty), base, spans (base and revealing terms, by start, then kind) and sanitised.
 
     All columns of docs stay (those named base, spans or sanitised are replaced); no row is dropped. Equal rows have equal
@@ -157,7 +152,7 @@ def sanitise_documents(docs: DataFrame, alpha: float = 1.5, support: int = 3, re
     # Only rows with a base span and their contexts are kept; texts are read again for the counts and the result.
     near = stored(contexts(found.withColumn("__key", key), reach), "pii-contexts")
     plain = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    revealing = revealing_terms(plain, near, alpha, support, broadcast_terms)
+    revealing = revealing_terms(plain, near, alpha, support)
     spans = near.join(revealing, ["entity", "term"]).select("__key", F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.col("term").alias("value")).alias("s"))
     terms = stored(spans.groupBy("__key").agg(F.collect_set("s").alias("__terms")), "pii-terms")
     if terms.isEmpty():
