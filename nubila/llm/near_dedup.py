@@ -8,9 +8,11 @@ Work never grows with the square of a group:
 * equal sets are one class, found by a partial aggregation over a 128-bit digest of the set;
 * in each band's bucket every class is compared with one leader only (the smallest id, then the largest); confirmed links give
   components;
-* classes of buckets that still hold several components are compared exactly, whatever the bucket's size, by prefix filtering:
-  two sets with the required similarity share one of their rarest shingles, so only classes of different components that share
-  such a shingle and whose sizes allow a link are compared.
+* classes of buckets that still hold several components are compared once more inside their buckets, those of different
+  components only, whatever the bucket's size;
+* a pair becomes a row only if sizes and parity sketches leave a link possible. A parity sketch has one bit for each of 1024
+  hash places, set if an odd number of the set's shingles fall there; two sketches differ in at most as many bits as the sets
+  differ in shingles, so the test loses no link, and it rejects nearly all pairs below the similarity.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from nubila.llm.common import map_arrow, stored
 
 #: 80 hash functions, 160 values in 32 bands of 5: a pair at 0.8 is missed by every band once in about 300,000 pairs.
 FUNCTIONS, ROWS = 80, 5
-WORD_CACHE = 1_000_000
+WORD_CACHE = 250_000
+#: Longs of a parity sketch.
+LONGS = 16
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -71,21 +74,25 @@ class Shingler:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest of the set and band hashes (both null for an empty set)."""
+    """Per row: doc_id, n_shingles, and for a set that isn't empty its digest, band hashes and sketch.
+
+    The sketch is the parity sketch of the set.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingler, factors, bands = Shingler(shingle), _constants(FUNCTIONS, 17), 2 * FUNCTIONS // ROWS
-        mix, salt = _constants(ROWS, 29), _constants(bands, 31)
+        mix, salt, places = _constants(ROWS, 29), _constants(bands, 31), np.arange(64, dtype=np.uint64)
         for batch in batches:
-            sizes, digests, hashed = [], [], []
+            sizes, digests, hashed, packed = [], [], [], []
             for text in batch.column(1):
                 own = shingler(text.as_py())
                 sizes.append(len(own))
                 if not len(own):
                     digests.append(None)
                     hashed.append(None)
+                    packed.append(None)
                     continue
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 low, high = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64), np.zeros(FUNCTIONS, np.uint64)
@@ -94,10 +101,12 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     np.minimum(low, values.min(axis=0), out=low)
                     np.maximum(high, values.max(axis=0), out=high)
                 sliced = np.concatenate([low, high]).reshape(bands, ROWS)
+                odd = np.bincount((own % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS).astype(np.uint64) & np.uint64(1)
+                packed.append((odd.reshape(LONGS, 64) << places).sum(axis=1, dtype=np.uint64).view(np.int64))
                 hashed.append(_mixed(_mixed(sliced) @ mix + salt).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(hashed, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(hashed, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -118,6 +127,17 @@ def reaches(common: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
+def may_link(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and parity sketches leave a link possible; true for every link.
+
+    100 c >= p (na + nb - c) bounds the shingles in one set only, na + nb - 2 c, by (na + nb) (100 - p) / (100 + p).
+    """
+    differing = F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0))))
+    for k in range(1, LONGS):
+        differing = differing + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * differing <= (100 - percent) * (na + nb))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     right = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -153,19 +173,20 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     """
     marks = stored(signatures(docs, shingle), "near-signatures")
     sets_known = marks.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(sets_known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
-    banded = classes.select("id", "n", F.explode("bands").alias("band"))
+    classes = stored(sets_known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
+    banded = classes.select("id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members"))
     shared = stored(banded.join(buckets.where("members > 1"), "band"), "near-buckets")
+    facts = classes.select("id", "n", "sketch")
 
-    def allowed(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link."""
-        return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and sketches leave a link possible."""
+        right = pairs.join(facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        both = right.join(facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        return both.where(may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)).select("a", "b")
 
-    size_of = classes.select(F.col("id").alias("a"), F.col("n").alias("na"))
-    led = shared.select(F.col("low").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb")).where("a <> b").distinct()
-    pairs = allowed(led.join(size_of, "a")).select("a", "b")
-    pairs = stored(pairs, "near-pairs")
+    led = shared.select(F.col("low").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    pairs = stored(possible(led), "near-pairs")
     wanted = shared.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi")
     # Repeated ids with other texts: the class is that of the digest, so each id's set is found by its own digest.
@@ -182,15 +203,18 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     rest = stored(unresolved(labels), "near-rest")
     if not rest.isEmpty():
         # Once more with the largest id as leader, for what isn't linked yet.
-        again = rest.select(F.col("high").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")).where("a <> b").distinct()
+        again = rest.select(F.col("high").alias("a"), F.col("id").alias("b"), F.col("component").alias("cb")).where("a <> b").distinct()
         own = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        again = again.join(own, "a", "left").where(F.coalesce("ca", "a") != F.col("cb")).join(size_of, "a")
-        second = stored(confirmed(allowed(again).select("a", "b"), sets, percent), "near-edges")
+        again = again.join(own, "a", "left").where(F.coalesce("ca", "a") != F.col("cb"))
+        second = stored(confirmed(possible(again.select("a", "b")), sets, percent), "near-edges")
         edges = edges.union(second)
         labels = components(edges)
-        left = stored(unresolved(labels).select("id", "n", "component").distinct(), "near-left")
+        left = stored(unresolved(labels).select("band", "id", "component").join(facts, "id"), "near-left")
         if not left.isEmpty():
-            third = stored(confirmed(prefix_pairs(left, sets, percent), sets, percent), "near-edges")
+            one, two = (left.select("band", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+            near = (F.col("ca") < F.col("cb")) & may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)
+            within = one.join(two, (one["band"] == two["band"]) & near).select("a", "b").distinct()
+            third = stored(confirmed(within, sets, percent), "near-edges")
             if not third.isEmpty():
                 edges = edges.union(third)
                 labels = components(edges)
@@ -200,21 +224,6 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of left (id, n, component) in different components that share one of their rarest shingles.
-
-    A set of n shingles keeps its n - ceil(n * percent / 100) + 1 rarest: two sets with the similarity share one of these.
-    """
-    members = sets.join(left.select("id"), "id", "left_semi").select("id", F.explode("set").alias("shingle"))
-    often = members.groupBy("shingle").agg(F.count("*").alias("often"))
-    ranked = members.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle")))
-    kept = ranked.join(left, "id").where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1))
-    kept = stored(kept.select("shingle", "id", "n", "component"), "near-prefix")
-    one, two = kept.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), kept.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    near = (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return one.join(two, "shingle").where(near).select("a", "b").distinct()
-
-
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that are kept: one of each component, the smallest doc_id.
 
