@@ -1,0 +1 @@
+"""Composed plans: registered queries with their SQL, and whole analyses."""
