@@ -1,12 +1,12 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
 From a bounded sample of labelled rows two dictionaries are trained: one on ordinary text (its most frequent word starts) and
-one on toxic text (the same ordinary ground, preceded by word starts that are far more frequent in toxic documents). Every
+one on toxic text (the same ordinary ground, followed by word starts that are far more frequent in toxic documents). Every
 window of a text is compressed with both; the bytes that the toxic dictionary saves are the window's distance. A logistic
 calibration on rows that did not choose the dictionary turns a text's distances into a score.
 
-Dictionaries are raw content, literals are stored plainly (fast strategy with a target length), so a window's two lengths
-differ only where text matches toxic content. Ordinary content comes last in both, so offsets to it are the same.
+Dictionaries are raw content, literals are stored plainly (fast strategy with a target length) and both dictionaries have their
+ordinary content at the same place, so a window's two lengths differ only where text matches toxic content.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from nubila.llm.common import cached, map_arrow
 
 #: Labelled rows in the fit, at most: toxic and ordinary.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 2000, 4000
-WINDOW, OVERLAP = 128, 16
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
+WINDOW, OVERLAP = 64, 16
 FEATURES = 8
 STARTS = range(5, 11)
 ORDINARY_BYTES = 24_000
@@ -39,12 +39,12 @@ def plain(text: str | None) -> str:
     return " " + APART.sub(" ", (text or "").lower()).strip() + " "
 
 
-def word_starts(text: str | None) -> set[str]:
-    """Starts of the text's words, with the space before them."""
+def word_starts(text: str | None, pool: dict[str, str]) -> set[str]:
+    """Starts of the text's words, with the space before them; equal starts of all texts are one object of the pool."""
     out = set()
     for word in set(WORDS.findall((text or "").lower())):
         spaced = " " + word
-        out.update(spaced[:k] for k in STARTS if len(spaced) >= k)
+        out.update(pool.setdefault(s, s) for s in (spaced[:k] for k in STARTS if len(spaced) >= k))
     return out
 
 
@@ -63,9 +63,11 @@ class ToxicityModel:
             import zstandard
 
             out = []
-            # The fast strategy fills its table from every third place first: a whole number of those keeps both tables alike.
-            before = self.toxic + b"\x00" * (24 - len(self.toxic) % 24)
-            for content in (before + self.ordinary, self.ordinary):
+            # The fast strategy's table takes every third place whatever is there, the others only where it is empty: toxic words
+            # begin at third places and come last, and as many zeros stand in for them, so that no other place changes.
+            ground = self.ordinary + b"\x00" * (-len(self.ordinary) % 3)
+            words = b"".join(w + b"\x00" * (3 - len(w) % 3) for w in self.toxic.split(b"\x00")) + b"\x00" * 24
+            for content in (ground + words, ground + b"\x00" * len(words)):
                 options = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=5, hash_log=18, chain_log=17, search_log=1, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0)
                 held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 held.precompute_compress(compression_params=options)
@@ -172,6 +174,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TO
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     drawn = None
     for kind, most in ((True, most_toxic), (False, most_ordinary)):
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
@@ -185,7 +188,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TO
     toxic, ordinary = list(texts[True]), list(texts[False])
     if not toxic or not ordinary:
         return 1.0 if toxic else 0.0
-    starts = {t: word_starts(t) for t in toxic + ordinary}
+    pool: dict[str, str] = {}
+    starts = {t: word_starts(t, pool) for t in toxic + ordinary}
     toxic, ordinary = ([t[k] for k in distinct_texts([starts[x] for x in t])] for t in (toxic, ordinary))
     train = lambda keep: train_dictionaries(*([starts[t] for i, t in enumerate(part) if keep(i)] for part in (toxic, ordinary)))
     # Texts are calibrated on dictionaries that other texts chose: a third on those of two thirds, or of few rows each in turn.
@@ -204,6 +208,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TO
     x, y = np.array(x), np.array(y)
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     model.weights = _logistic((x - model.mean) / model.scale, y)
+    # The sample holds more toxic texts than the labels do; the constant brings the score back to the labels' share.
+    model.weights[-1] += math.log(counts[True] / counts[False]) - math.log(y.sum() / (len(y) - y.sum()))
     return model
 
 
