@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubila.llm import chat, decontaminate, fingerprint, html_extract, langid, near_dedup, packing, pii, toxicity, warc
+from nubila.llm import chat, decontaminate, fingerprint, html_extract, langid, near_dedup, oracles, packing, pii, toxicity, warc
 from nubila.llm.common import id_crc, table
 
 
@@ -93,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
