@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts can be long, so batches are short.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch: texts can be long, and a batch is held outside the heap and again by Python.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+#: Bytes of a row group of stored intermediates: a writing task holds one in memory.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,15 +41,19 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back, so its lineage is cut and losing executors costs nothing."""
+    """`df` written to the shared folder and read back, so its lineage is cut and losing executors costs nothing.
+
+    Row groups are short, and the codec keeps no buffers outside the heap that grow with the largest page.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def cached(key: tuple, make):
