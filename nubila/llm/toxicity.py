@@ -39,13 +39,13 @@ def plain(text: str | None) -> str:
     return " " + APART.sub(" ", (text or "").lower()).strip() + " "
 
 
-def word_starts(text: str | None, pool: dict[str, str]) -> set[str]:
-    """Starts of the text's words, with the space before them; equal starts of all texts are one object of the pool."""
+def word_starts(text: str | None, pool: dict[str, int]) -> np.ndarray:
+    """Numbers of the starts of the text's words, with the space before them; the pool numbers all texts' starts as they come."""
     out = set()
     for word in set(WORDS.findall((text or "").lower())):
         spaced = " " + word
-        out.update(pool.setdefault(s, s) for s in (spaced[:k] for k in STARTS if len(spaced) >= k))
-    return out
+        out.update(pool.setdefault(s, len(pool)) for s in (spaced[:k] for k in STARTS if len(spaced) >= k))
+    return np.fromiter(out, np.int32, len(out))
 
 
 @dataclass
@@ -105,15 +105,16 @@ def _content(starts: list[str], limit: int) -> bytes:
     return out
 
 
-def distinct_texts(starts: list[set[str]]) -> list[int]:
+def distinct_texts(starts: list[np.ndarray], names: list[str]) -> list[int]:
     """Places of the texts that aren't near copies of an earlier one, so copies count once.
 
     A text is a near copy of one of up to twice or half its size if it has most of the long word starts that first came there.
     """
-    owner: dict[str, int] = {}
+    owner: dict[int, int] = {}
     brought, sizes, kept = Counter(), {}, []
+    longest = np.array([len(s) == max(STARTS) for s in names], bool)
     for k, own in enumerate(starts):
-        long = [s for s in own if len(s) == max(STARTS)]
+        long = own[longest[own]].tolist()
         shared = Counter(owner[s] for s in long if s in owner)
         if any(n > 0.5 * brought[j] and brought[j] >= 3 and 0.5 <= len(long) / sizes[j] <= 2 for j, n in shared.items()):
             continue
@@ -126,30 +127,31 @@ def distinct_texts(starts: list[set[str]]) -> list[int]:
     return kept
 
 
-def train_dictionaries(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[bytes, bytes]:
-    """Toxic-only and ordinary content, from document frequencies of the texts' word starts.
+def train_dictionaries(toxic: list[np.ndarray], ordinary: list[np.ndarray], names: list[str]) -> tuple[bytes, bytes]:
+    """Toxic-only and ordinary content, from document frequencies of the texts' word starts, whose strings are `names`.
 
     A start is toxic if it is 8 times as frequent in toxic texts, with more evidence than the best of as many starts would show
     by chance.
     """
-    a, b = Counter(), Counter()
+    a, b = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     for counts, texts in ((a, toxic), (b, ordinary)):
         for own in texts:
-            counts.update(own)
+            counts[own] += 1
     na, nb = len(toxic), len(ordinary)
     least = max(2, 0.015 * na)
-    frequent = [(s, n) for s, n in a.items() if n >= least and len(s.encode()) >= 5]
+    frequent = [i for i in np.flatnonzero(a >= least).tolist() if len(names[i].encode()) >= 5]
     found = []
-    for s, n in frequent:
-        lift = ((n + 0.5) / (na + 1)) / ((b[s] + 0.5) / (nb + 1))
+    for i in frequent:
+        n, lift = int(a[i]), float(((a[i] + 0.5) / (na + 1)) / ((b[i] + 0.5) / (nb + 1)))
         if lift >= 8 and n * math.log(lift) >= math.log(len(frequent)) + 2:
-            found.append((n * math.log(lift), s))
+            found.append((n * math.log(lift), names[i]))
     chosen: list[str] = []
     # Of starts of one word in the same texts the longest saves most.
     for _, s in sorted(found, key=lambda x: (-x[0], -len(x[1]), x[1])):
         if not any(c.startswith(s) or s.startswith(c) for c in chosen) and len(chosen) < 500:
             chosen.append(s)
-    ground = [s for s, n in sorted(b.items(), key=lambda x: (-x[1], x[0])) if len(s.encode()) >= 5 and n / (nb + 1) >= 0.5 * a[s] / (na + 1)]
+    usual = np.flatnonzero((b > 0) & (b / (nb + 1) >= 0.5 * a / (na + 1))).tolist()
+    ground = [names[i] for i in sorted(usual, key=lambda i: (-b[i], names[i])) if len(names[i].encode()) >= 5]
     return "\x00".join(chosen).encode(), _content(ground[:60_000], ORDINARY_BYTES)
 
 
@@ -188,10 +190,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TO
     toxic, ordinary = list(texts[True]), list(texts[False])
     if not toxic or not ordinary:
         return 1.0 if toxic else 0.0
-    pool: dict[str, str] = {}
+    pool: dict[str, int] = {}
     starts = {t: word_starts(t, pool) for t in toxic + ordinary}
-    toxic, ordinary = ([t[k] for k in distinct_texts([starts[x] for x in t])] for t in (toxic, ordinary))
-    train = lambda keep: train_dictionaries(*([starts[t] for i, t in enumerate(part) if keep(i)] for part in (toxic, ordinary)))
+    names = list(pool)
+    del pool, rows, texts
+    toxic, ordinary = ([t[k] for k in distinct_texts([starts[x] for x in t], names)] for t in (toxic, ordinary))
+    train = lambda keep: train_dictionaries(*([starts[t] for i, t in enumerate(part) if keep(i)] for part in (toxic, ordinary)), names)
     # Texts are calibrated on dictionaries that other texts chose: a third on those of two thirds, or of few rows each in turn.
     x, y = [], []
     folds = 3 if len(toxic) >= 150 else min(8, len(toxic), len(ordinary))
