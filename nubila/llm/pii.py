@@ -1,9 +1,9 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them, with DataFrame functions only.
 
 Protected entities are the e-mail addresses, IP addresses, payment cards and phone numbers found by pattern in whole texts.
-Terms in the context of an entity are weighed by the corpus: their pointwise mutual information with the entity, against the
-information content of the entity itself. A term that stands beside an entity in several different contexts and carries at
-least 1/alpha of the entity's information reveals it, and is generalised or removed like the entity.
+Terms of the documents that hold an entity are weighed by the corpus: their pointwise mutual information with the entity, against
+the information content of the entity itself. A term that stands with an entity in several different documents and carries at
+least 1/alpha of the entity's information reveals it, and is generalised or removed like the entity, all through these documents.
 """
 
 from __future__ import annotations
@@ -92,74 +92,90 @@ def find_base(docs: DataFrame) -> DataFrame:
 
 
 def term_words(text: Column) -> Column:
-    """Distinct lower-cased terms of a text: runs of letters and digits with three characters or more."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: F.char_length(w) >= 3)
+    """Distinct lower-cased terms of a text: runs of letters and digits with three characters or more; none that touch a MARK."""
+    runs = F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}{MARK}]+"), lambda w: (F.char_length(w) >= 3) & ~F.contains(w, F.lit(MARK)))
+    return F.array_distinct(F.transform(runs, F.lower))
 
 
-def contexts(found: DataFrame, reach: int) -> DataFrame:
-    """A row for each term beside a base span: key, entity, context (hash), term, start, end."""
-    rows = found.where(F.size("base") > 0).select("__key", "text", "base", F.explode("base").alias("span"))
-    begin = F.greatest(F.col("span.start") - reach, F.lit(0))
-    rows = rows.withColumn("__from", begin).withColumn("__around", F.substring(F.col("text"), (begin + 1).cast("int"), (F.col("span.end") + reach - begin).cast("int")))
-    entity = F.concat_ws(":", F.col("span.rank").cast("string"), F.lower("span.value"))
-    rows = rows.select("__key", "base", "__from", entity.alias("entity"), F.xxhash64(F.lower("__around")).alias("context"), F.split("__around", r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])").alias("pieces"))
-    # The first and last piece may be cut words.
-    inside = pieces_with_places(F.col("pieces"), lambda p, i: (i > 0) & (i < F.size("pieces") - 1) & p.rlike(r"^[\p{L}\p{N}]{3}"))
-    rows = rows.withColumn("t", F.explode(inside)).select("__key", "base", "entity", "context", F.lower("t.value").alias("term"), (F.col("__from") + F.col("t.start")).alias("start"), (F.col("__from") + F.col("t.end")).alias("end"))
-    apart = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return rows.where(apart).drop("base")
+def entities_held(found: DataFrame) -> DataFrame:
+    """A row for each text and entity in it: key (of the text), entity, context (key of the lower-cased text), copies."""
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["rank"].cast("string"), F.lower(s["value"]))))
+    rows = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("__key"), F.xxhash64(F.lower("text")).alias("context"), F.explode(entities).alias("entity"))
+    return rows.groupBy("__key", "entity").agg(F.first("context").alias("context"), F.count("*").alias("copies"))
 
 
-def revealing_terms(found: DataFrame, near: DataFrame, alpha: float, support: int) -> DataFrame:
-    """(entity, term, disclosure) for the terms that reveal an entity.
+def terms_outside(text: Column, base: Column) -> Column:
+    """Distinct terms of a text that don't overlap a base span."""
+    edge = lambda s, at: F.when(s["value"].rlike(at), F.lit(MARK)).otherwise(F.lit(""))
+    return term_words(sanitise(F.translate(text, MARK, STAND_IN), base, lambda s: F.concat(edge(s, r"^[\p{L}\p{N}]"), F.lit(" "), edge(s, r"[\p{L}\p{N}]$"))))
 
-    Contexts that are equal letter for letter, as in copies, count once. Document counts of the terms run over all documents.
+
+def revealing_terms(plain: DataFrame, held: DataFrame, alpha: float, support: int) -> DataFrame:
+    """(entity, term, disclosure) for the terms that reveal an entity; held has the entities in `support` contexts or more.
+
+    A context is a whole document: a term counts with every entity of its document, at any distance. All counts run over all
+    documents; for the support, texts that are equal letter for letter, as copies are, count once.
     """
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("together")).where(F.col("together") >= support)
+    texts = plain.join(held.select("__key").distinct(), F.xxhash64("text") == F.col("__key"), "left_semi")
+    terms = find_base(texts).select(F.xxhash64("text").alias("__key"), F.explode(terms_outside(F.col("text"), F.col("base"))).alias("term")).distinct()
+    pairs = held.join(terms, "__key").groupBy("entity", "term").agg(F.sum("copies").alias("together"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
     pairs = stored(pairs, "pii-pairs")
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("entity_contexts"))
-    counts = found.select(F.explode(term_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_documents"))
-    documents = found.count()
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("entity_documents"))
+    counts = plain.select(F.explode(term_words(F.translate("text", MARK, STAND_IN))).alias("term")).groupBy("term").agg(F.count("*").alias("term_documents"))
+    documents = plain.count()
     joined = pairs.join(entities, "entity").join(counts, "term")
-    information = F.log2(F.lit(float(max(documents, 2))) / F.col("entity_contexts"))
-    mutual = F.log2(F.col("together") * F.lit(float(documents)) / (F.col("entity_contexts") * F.greatest("term_documents", "together")))
+    information = F.log2(F.lit(float(max(documents, 2))) / F.col("entity_documents"))
+    mutual = F.log2(F.col("together") * F.lit(float(documents)) / (F.col("entity_documents") * F.greatest("term_documents", "together")))
     return joined.withColumn("disclosure", mutual / F.greatest(information, F.lit(1e-9))).where(F.col("disclosure") >= 1 / alpha).select("entity", "term", "disclosure")
 
 
-def sanitise(text: Column, spans: Column) -> Column:
-    """The text with spans replaced: entities by their kind, numbers by [NUMBER], other terms by [TERM]; overlaps once."""
+def term_spans(text: Column, base: Column, terms: Column) -> Column:
+    """The spans of all occurrences of the terms in a text, apart from its base spans."""
+    pieces = F.split(text, r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])")
+    found = pieces_with_places(pieces, lambda p, i: F.array_contains(terms, F.lower(p)))
+    apart = F.filter(found, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    return F.transform(apart, lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), t["end"].alias("end"), F.lower(t["value"]).alias("value")))
+
+
+def sanitise(text: Column, spans: Column, instead=None) -> Column:
+    """The text with spans replaced: entities by their kind, numbers by [NUMBER], other terms by [TERM]; overlaps once.
+
+    instead(span): what replaces a span, if not these.
+    """
     label = lambda s: F.get(F.array(*[F.lit(LABELS[k]) for k in KINDS]), s["rank"])
     general = lambda s: F.when(s["value"].rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).otherwise(F.lit("[TERM]"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         before = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.concat(acc["out"], before, F.coalesce(label(s), general(s)))
+        new = F.concat(acc["out"], before, instead(s) if instead else F.coalesce(label(s), general(s)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
 
 
-def sanitise_documents(docs: DataFrame, alpha: float = 1.5, support: int = 3, reach: int = 64) -> DataFrame:
+def sanitise_documents(docs: DataFrame, alpha: float = 1.5, support: int = 3) -> DataFrame:
     """docs with text (null: empty), base, spans (base and revealing terms, by start, then kind) and sanitised.
 
-    All columns of docs stay (those named base, spans or sanitised are replaced); no row is dropped. Equal rows have equal
-    results; an empty table gives an empty result.
+    A revealing term is replaced wherever it stands in a text that holds its entity. All columns of docs stay (those named base,
+    spans or sanitised are replaced); no row is dropped. Equal rows have equal results; an empty table gives an empty result.
     """
     found = find_base(docs.drop("base", "spans", "sanitised"))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text")
-    # Only rows with a base span and their contexts are kept; texts are read again for the counts and the result.
-    near = stored(contexts(found.withColumn("__key", key), reach), "pii-contexts")
     plain = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    revealing = revealing_terms(plain, near, alpha, support)
-    spans = near.join(revealing, ["entity", "term"]).select("__key", F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.col("term").alias("value")).alias("s"))
-    terms = stored(spans.groupBy("__key").agg(F.collect_set("s").alias("__terms")), "pii-terms")
-    if terms.isEmpty():
+    # Only keys and entities are kept; texts are read again for the terms, the counts and the result.
+    held = stored(entities_held(found.select("text", "base")), "pii-entities")
+    # A term can't stand with an entity in more contexts than the entity has.
+    often = held.groupBy("entity").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    held = stored(held.join(often.select("entity"), "entity", "left_semi"), "pii-contexts")
+    if held.isEmpty():
         whole = found.withColumn("spans", F.col("base"))
     else:
-        joined = found.withColumn("__key", key).join(terms, "__key", "left")
-        whole = joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("__terms", F.array().cast(SPANS))))).drop("__key", "__terms")
+        revealing = revealing_terms(plain, held, alpha, support).groupBy("entity").agg(F.collect_set("term").alias("terms"))
+        terms = stored(held.join(revealing, "entity").groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("__terms")), "pii-terms")
+        joined = found.withColumn("__key", F.xxhash64("text")).join(terms, "__key", "left")
+        more = F.when(F.col("__terms").isNull(), F.array().cast(SPANS)).otherwise(term_spans(F.col("text"), F.col("base"), F.col("__terms")))
+        whole = joined.withColumn("spans", F.array_sort(F.concat("base", more))).drop("__key", "__terms")
     return whole.withColumn("sanitised", sanitise(F.col("text"), F.col("spans")))
 
 

@@ -84,6 +84,21 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert pii.sanitise_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    """Evidence counts, and terms go, at any distance in the documents that hold the entity, and nowhere else."""
+    gap = " ".join(f"filler{i % 50}" for i in range(60))
+    rows = [(i, f"Quillfeather Report {i}. {gap} mail boss@corp.example or call. {gap} {i} signed QUILLFEATHER, boss") for i in range(4)]
+    rows += [(50, rows[0][1]), (51, "Quillfeather alone " + gap), (52, f"once@corp.example {gap} Hapaxword")]
+    rows += [(100 + i, f"report mail call signed boss {gap} {i}") for i in range(400)]
+    out = {r["doc_id"]: r for r in pii.sanitise_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (0, 1, 2, 3, 50):
+        text = dict(rows)[i]
+        assert out[i]["sanitised"] == re.sub("(?i)quillfeather", "[TERM]", text).replace("boss@corp.example", "[EMAIL]")
+        assert [out[i]["text"][s["start"] : s["end"]].lower() for s in out[i]["spans"]] == ["quillfeather", "boss@corp.example", "quillfeather"]
+    assert out[51]["sanitised"] == out[51]["text"] and out[100]["sanitised"] == out[100]["text"]
+    assert out[52]["sanitised"] == out[52]["text"].replace("once@corp.example", "[EMAIL]")
+
+
 def test_pii_overlaps_are_replaced_once(spark):
     docs = spark.createDataFrame([(1, "call +1.2.3.4.5678901 or +4111111111111111 end")], "doc_id long, text string")
     r = pii.sanitise_documents(docs).first()
