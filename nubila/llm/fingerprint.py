@@ -1,8 +1,9 @@
 """Document fingerprints by a threshold-scaled sketch, with DataFrame functions only.
 
-A text's sketch holds every hash of its word shingles that lies in the lowest `fraction` of the hash range. The threshold is
-the same for all documents, so a sketch grows with its document, sketches merge by union, and containment can be estimated
-between documents of very unequal sizes.
+A text's sketch holds every hash of its word shingles that lies in the lowest `fraction` of the hash range, and the `least`
+smallest ones wherever they lie, so short texts keep all. The threshold is the same for all documents, so a sketch grows with
+its document, sketches merge by union, and containment can be estimated between documents of very unequal sizes. Two sketches
+are compared up to the hash below which both are complete.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql.window import Window
 
 FRACTION = 0.25
 SHINGLE = 5
+#: Hashes that a sketch has at least, if the text has so many shingles.
+LEAST = 64
+TOP = (1 << 63) - 1
 
 
 def words(text: Column) -> Column:
@@ -20,16 +24,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
-def sketch(words_column: str, fraction: float = FRACTION, size: int = SHINGLE) -> Column:
+def _limit(fraction: float) -> int:
+    return -(1 << 63) + int(fraction * (1 << 64))
+
+
+def _retained(hashes: Column, fraction: float, least: int) -> Column:
+    return F.filter(F.sort_array(F.array_distinct(hashes)), lambda h, i: (i < least) | (h < F.lit(_limit(fraction))))
+
+
+def sketch(words_column: str, fraction: float = FRACTION, size: int = SHINGLE, least: int = LEAST) -> Column:
     """Sorted retained hashes of the shingles of a words column.
 
-    Fewer words than `size`: the whole sequence is the one shingle and is always retained. No words: empty.
+    Fewer words than `size`: the whole sequence is the one shingle. Empty only if there are no words.
     """
     w = F.col(words_column)
-    limit = -(1 << 63) + int(fraction * (1 << 64))
     hashes = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)]))
-    kept = F.filter(F.slice(hashes, 1, F.greatest(F.size(w) - (size - 1), F.lit(0))), lambda h: h < F.lit(limit))
-    return F.when(F.size(w) >= size, F.array_sort(F.array_distinct(kept))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    whole = F.slice(hashes, 1, F.greatest(F.size(w) - (size - 1), F.lit(0)))
+    return F.when(F.size(w) >= size, _retained(whole, fraction, least)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
 def written(hashes: Column) -> Column:
@@ -37,26 +48,41 @@ def written(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), ",")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the shingle sets; two empty sketches are alike."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1)))
+def _known(hashes: Column, fraction: float, least: int) -> Column:
+    """The hash up to which a sketch is complete: all of them if it has fewer than `least`."""
+    return F.when(F.size(hashes) < least, F.lit(TOP)).otherwise(F.greatest(F.lit(_limit(fraction) - 1), F.get(hashes, F.size(hashes) - 1)))
+
 
+def _compared(a: Column, b: Column, fraction: float, least: int) -> tuple[Column, Column, Column]:
+    """How many hashes a, b and both have up to where both are complete."""
+    known = F.least(_known(a, fraction, least), _known(b, fraction, least))
+    return tuple(F.size(F.filter(x, lambda h: h <= known)) for x in (a, b, F.array_intersect(a, b)))
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; an empty a is contained in anything."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+
+def likeness(a: Column, b: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """Estimated Jaccard similarity of the shingle sets, exact if both have fewer than `least`; texts without words are alike."""
+    n, m, common = _compared(a, b, fraction, least)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(common / F.greatest(n + m - common, F.lit(1)))
+
+
+def containment(a: Column, b: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
+    """Estimated share of a's shingles that b has; a text without words is contained in anything.
+
+    Null if all hashes of a short text lie above those that the other's sketch retains, so nothing is known.
+    """
+    n, _, common = _compared(a, b, fraction, least)
+    return F.when(F.size(a) == 0, 1.0).when(n > 0, common / F.greatest(n, F.lit(1)))
 
 
-def merged(sketches: Column) -> Column:
+def merged(sketches: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
     """The sketch of the union of documents, from an array of sketches."""
-    return F.array_sort(F.array_distinct(F.flatten(sketches)))
+    return _retained(F.flatten(sketches), fraction, least)
 
 
-def fingerprint_documents(docs: DataFrame, fraction: float = FRACTION, size: int = SHINGLE) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, fraction: float = FRACTION, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """Per row of docs: doc_id, text (null: empty), sketch. Equal texts have equal sketches; other columns are left out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("__words", words(F.col("text"))).select("doc_id", "text", sketch("__words", fraction, size).alias("sketch"))
+    return rows.withColumn("__words", words(F.col("text"))).select("doc_id", "text", sketch("__words", fraction, size, least).alias("sketch"))
 
 
 def with_next(rows: DataFrame, columns: tuple[str, ...], ranges: int | None = None) -> DataFrame:

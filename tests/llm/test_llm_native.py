@@ -188,3 +188,35 @@ def test_sketches_merge_and_contain(spark):
     s = df.select(fingerprint.sketch("wa").alias("a"), fingerprint.sketch("wb").alias("b"))
     r = s.select(fingerprint.containment(F.col("b"), F.col("a")).alias("c"), fingerprint.likeness(F.col("a"), F.col("b")).alias("l"), (fingerprint.merged(F.array("a", "b")) == F.col("a")).alias("m")).first()
     assert r["c"] == 1.0 and abs(r["l"] - 0.25) < 0.05 and r["m"]
+
+
+def test_sketches_of_short_texts(spark):
+    """Texts of few words have sketches, differ where they differ, and compare exactly; long ones merge with short ones."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(5 + i % 36)) for i in range(300)]
+    df = spark.createDataFrame([(t, texts[i - 1], t + " more") for i, t in enumerate(texts)], "a string, b string, c string")
+    s = df.select(*[fingerprint.words(F.col(c)).alias(c) for c in "abc"]).select(*[fingerprint.sketch(c).alias(c) for c in "abc"])
+    rows = s.select("a", fingerprint.likeness(F.col("a"), F.col("b")).alias("other"), fingerprint.likeness(F.col("a"), F.col("c")).alias("edited")).collect()
+    for i, r in enumerate(rows):
+        n = 1 + i % 36
+        assert len(r["a"]) == n and r["other"] == 0.0 and r["edited"] == n / (n + 1)
+    long = " ".join(f"w{i}" for i in range(3000))
+    pair = spark.createDataFrame([(long, "w1 w2 w3 w4 w5 w6", "a b c d e f " + long, "", None)], "a string, b string, c string, e string, n string")
+    pair = pair.select(*[fingerprint.words(F.coalesce(c, F.lit(""))).alias(c) for c in "abcen"]).select(*[fingerprint.sketch(c).alias(c) for c in "abcen"])
+    like, holds = (lambda f: lambda x, y: f(F.col(x), F.col(y)))(fingerprint.likeness), (lambda f: lambda x, y: f(F.col(x), F.col(y)))(fingerprint.containment)
+    r = pair.select(like("a", "b").alias("ab"), like("e", "n").alias("en"), like("e", "b").alias("eb"), holds("b", "a").alias("ba"), holds("e", "a").alias("ea"), like("a", "c").alias("ac"), (fingerprint.merged(F.array("a", "b")) == F.col("a")).alias("m")).first()
+    assert r["ab"] < 0.01 and r["en"] == 1.0 == r["ea"] and r["eb"] == 0.0 and r["ba"] in (None, 1.0) and r["ac"] > 0.98 and r["m"]
+
+
+def test_short_documents_of_the_fingerprint_query(spark, small):
+    docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()), reverse=True)
+    rows = {r["doc_id"]: r for r in queries.op9_scaled_sketch(spark, small).collect()}
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))} if t.split() else set()
+    short = 0
+    for (i, text), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+        a, b, c = shingles(text), shingles(text[: len(text) - len(text) // 2] + after[: len(text) // 2]), shingles(after)
+        assert bool(rows[i]["fingerprint"]) == bool(a)
+        for other, got in ((b, rows[i]["near_edited"]), (c, rows[i]["near_next"])):
+            if max(len(a), len(other)) < fingerprint.LEAST:
+                short += 1
+                assert abs(got - (len(a & other) / len(a | other) if a | other else 1.0)) < 1e-12
+    assert short > 50
