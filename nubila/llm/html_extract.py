@@ -2,8 +2,8 @@
 
 A page is read once into text nodes, each with its root-to-leaf tag path. Text length and punctuation are aggregated per path
 and divided by the path's nodes; both ratios are smoothed along the page, fused by multiplication and cut at a share of their
-deviation, which leaves the content nodes. The deepest element that holds nearly all their text is the article; its blocks,
-short ones and headings too, are the result, without parts that by tag, role or name are not the article's own.
+deviation, which leaves the content nodes. The deepest element that holds all their text is the article; its blocks, short
+ones too, and the headings before it are the result, without parts that by tag, role or name are not the article's own.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ AWAY_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar cookie cookies consent gdpr notice notices notification notifications alert alerts newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses discussion feedback widget widgets toolbar pagination pager copyright disclaimer skip search form forms".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass(slots=True)
@@ -48,7 +49,7 @@ class Element:
     path: str
     away: bool = False
     named_away: bool = False
-    text: float = 0.0
+    text: int = 0
 
 
 @dataclass(slots=True)
@@ -181,36 +182,74 @@ def content_nodes(page: Page, nodes: list[TextNode], share: float = 0.5) -> list
     return [n for n, f in zip(nodes, fused, strict=True) if f >= cut] or nodes
 
 
-def extract_blocks(source: str | None, share: float = 0.5, inside: float = 0.9) -> list[str]:
+def _under(page: Page, tops: set[int]) -> list[bool]:
+    """For each element, whether it is one of tops or lies in one."""
+    within = [False] * len(page.elements)
+    for k, e in enumerate(page.elements):
+        within[k] = k in tops or (e.parent >= 0 and within[e.parent])
+    return within
+
+
+def _headings_before(page: Page, best: int, sized: list[TextNode], within: list[bool]) -> set[int]:
+    """Elements of headings that stand beside the root or an element around it, before it and not inside a part of their own.
+
+    An h1 anywhere before, other headings only if nothing else stands between them and the root.
+    """
+    around, k = set(), page.elements[best].parent
+    while k >= 0:
+        around.add(k)
+        k = page.elements[k].parent
+    heading, branch, bare = {}, {}, {}
+    for n in sized:
+        k, inside = n.element, None
+        while k not in around and k != best:
+            if page.elements[k].tag in HEADINGS:
+                inside = k
+            branch[id(n)] = k
+            k = page.elements[k].parent
+        heading[id(n)] = inside
+        if k != best and id(n) in branch:
+            bare[branch[id(n)]] = bare.get(branch[id(n)], True) and inside is not None
+    found, next_to = set(), True
+    before = sized[: next((i for i, n in enumerate(sized) if within[n.element]), 0)]
+    for n in reversed(before):
+        own = heading[id(n)]
+        if own is None or not bare[branch[id(n)]]:
+            next_to = False
+        elif next_to or page.elements[own].tag == "h1":
+            found.add(own)
+    return found
+
+
+def extract_blocks(source: str | None, share: float = 0.5) -> list[str]:
     """The article's blocks in page order."""
     page = parse(source or "")
     out = _leave_out(page)
     mine = [n for n in page.nodes if not out[n.element]]
+    sized = [n for n in mine if n.size]
     main = [k for k, e in enumerate(page.elements) if e.tag in MAIN_TAGS and not out[k]]
-    content = content_nodes(page, [n for n in mine if n.size], share)
+    content = content_nodes(page, sized, share)
     if not content:
         return []
-    total = 0.0
+    total = 0
     for n in content:
         total += n.size
         k = n.element
         while k >= 0:
             page.elements[k].text += n.size
             k = page.elements[k].parent
-    # Down from the root while one child element holds nearly all content; a marked article ends the way.
+    # Down from the root while one child element holds all content; a marked article ends the way.
     best, children = 0, {}
     for k, e in enumerate(page.elements):
-        if e.parent >= 0 and e.text >= inside * total and e.tag not in INLINE and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td"):
+        if e.parent >= 0 and e.text == total and e.tag not in INLINE and e.tag not in HEADINGS and e.tag not in ("p", "li", "td"):
             children[e.parent] = k
     while best in children and page.elements[best].tag != "article":
         best = children[best]
     if page.elements[best].tag != "article" and len(main) == 1 and page.elements[main[0]].text >= 0.5 * total:
         best = main[0]
-    within = [False] * len(page.elements)
-    within[best] = True
-    for k, e in enumerate(page.elements):
-        if k > best and e.parent >= 0 and within[e.parent]:
-            within[k] = True
+    within = _under(page, {best})
+    if page.elements[best].tag not in MAIN_TAGS:
+        within = _under(page, {best} | _headings_before(page, best, sized, within))
     blocks: dict[int, list[str]] = {}
     for n in mine:
         if within[n.element]:

@@ -142,6 +142,20 @@ def test_decontamination_reordered_and_edges(spark):
     assert decontaminate.drop_leaking(d, b.limit(0)).count() == len(docs)
 
 
+def test_html_without_article_or_main_keeps_all_content():
+    long = "A long sentence of the body, with commas, and a full stop at its end; it goes on. " * 6
+    body, block = f"<p>{long}</p>" * 12, long.strip()
+    links = "<div class=links><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div>"
+    blocks = html_extract.extract_blocks
+    assert blocks(f"<body>{links}<div id=post><h1>Title</h1><div class=body>{body}</div></div></body>") == ["Title"] + [block] * 12
+    assert blocks(f"<body><div id=post><div class=title><h1>Title</h1></div><div><div class=body>{body}</div></div></div></body>") == ["Title"] + [block] * 12
+    lead, last = long[:160].strip(), long[:82].strip()
+    assert blocks(f"<body>{links}<div id=post><p class=lead>{lead}</p><section>{body}</section><section><p>{last}</p></section></div></body>") == [lead] + [block] * 12 + [last]
+    assert blocks(f"<body><div><section><h2>First</h2>{body}</section><section><h2>Last</h2><p>{long}</p></section></div></body>") == ["First"] + [block] * 12 + ["Last", block]
+    menu = "<h3>Topics</h3><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li><li><a>Four</a></li></ul>"
+    assert blocks(f"<body><div>{menu}<div><h1>Title</h1></div><div class=body>{body}</div></div></body>") == ["Title"] + [block] * 12
+
+
 def test_html_equals_the_article_of_every_page(spark, small):
     import html
 
