@@ -1,19 +1,21 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-From a bounded sample of labelled rows two dictionaries are trained: one on ordinary text (its most frequent word starts) and
-one on toxic text (the same ordinary ground, followed by word starts that are far more frequent in toxic documents). Every
-window of a text is compressed with both; the bytes that the toxic dictionary saves are the window's distance. A logistic
-calibration on rows that did not choose the dictionary turns a text's distances into a score.
-
-Dictionaries are raw content, literals are stored plainly (fast strategy with a target length) and both dictionaries have their
-ordinary content at the same place, so a window's two lengths differ only where text matches toxic content.
+Both dictionaries are trained by the library (COVER) on windows of a bounded sample of labelled rows: one on ordinary text, one
+on toxic text. Every window of a text is compressed with the ordinary dictionary and with the toxic one laid on the same ordinary
+ground; the bytes that toxic content saves are the window's distance. Laid on its own, a toxic dictionary also differs by what
+ordinary text it happens to hold, which hides the few toxic words of a window.
+
+Most windows of a toxic text are ordinary, so the toxic dictionary is trained again, `ROUNDS` times, on the windows that save
+most: two halves of the sample pick each other's windows, so none is picked by a dictionary that has seen it. Each time the
+ordinary ground gets a second dictionary, trained on those ordinary windows that the toxic one still saves on. A logistic
+calibration on texts that trained neither dictionary turns a text's distances into a score; its threshold is 0.5. Scores are
+calibrated on the sample's mix, up to one toxic text for two ordinary ones, so a missed toxic text weighs more than a false alarm.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubila.llm.common import cached, map_arrow
+from nubila.llm.common import cached, map_arrow, stored
 
-#: Labelled rows in the fit, at most: toxic and ordinary.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
-WINDOW, OVERLAP = 64, 16
+#: Labelled rows in the fit, at most: toxic and ordinary; and windows of one of their texts that train, at most.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_WINDOWS = 1500, 3000, 64
+#: Bytes of a window and from one to the next. Literals of so few bytes are stored as they are, so lengths count matches only.
+WINDOW, STEP = 64, 48
+#: Bytes of the dictionaries; COVER's segment and pattern length.
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES, SEGMENT, PATTERN = 112_640, 16_384, 8_192, 16, 8
+ROUNDS, PICKED = 3, 4
 FEATURES = 8
-STARTS = range(5, 11)
-ORDINARY_BYTES = 24_000
-WORDS = re.compile(r"[^\W_]+")
+#: With fewer toxic texts than this the calibration goes through all folds instead of one of FOLDS.
+FEW, FOLDS = 150, 6
 APART = re.compile(r"[\W_]+")
 
 
@@ -39,13 +44,36 @@ def plain(text: str | None) -> str:
     return " " + APART.sub(" ", (text or "").lower()).strip() + " "
 
 
-def word_starts(text: str | None, pool: dict[str, int]) -> np.ndarray:
-    """Numbers of the starts of the text's words, with the space before them; the pool numbers all texts' starts as they come."""
-    out = set()
-    for word in set(WORDS.findall((text or "").lower())):
-        spaced = " " + word
-        out.update(pool.setdefault(s, len(pool)) for s in (spaced[:k] for k in STARTS if len(spaced) >= k))
-    return np.fromiter(out, np.int32, len(out))
+def windows(text: str | None) -> list[bytes]:
+    """Overlapping windows that cover the whole text."""
+    raw = plain(text).encode("utf-8", "replace")
+    return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - (WINDOW - STEP)), STEP)]
+
+
+def trained(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary trained on the samples; of samples too few to train on, the samples themselves, the last `size` bytes."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PATTERN).as_bytes()
+    except (zstandard.ZstdError, ValueError, MemoryError):
+        return b"".join(samples)[-size:]
+
+
+def compressor(content: bytes):
+    """A compressor that finds the longest match in the content and stores the rest of a window as it is."""
+    import zstandard
+
+    options = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, target_length=32, min_match=4, hash_log=17, chain_log=18, search_log=5, window_log=19, write_content_size=0, write_checksum=0, write_dict_id=0)
+    held = zstandard.ZstdCompressionDict(content or b"\x00" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=options)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=options)
+
+
+def saved(parts: list[bytes], ordinary, toxic) -> np.ndarray:
+    """Bytes that the toxic compressor saves in each window."""
+    one, two = ordinary.compress, toxic.compress
+    return np.array([len(one(w)) - len(two(w)) for w in parts], dtype=np.float64)
 
 
 @dataclass
@@ -59,100 +87,39 @@ class ToxicityModel:
     weights: np.ndarray
 
     def compressors(self):
-        def make():
-            import zstandard
-
-            out = []
-            # The fast strategy's table takes every third place whatever is there, the others only where it is empty: toxic words
-            # begin at third places and come last, and as many zeros stand in for them, so that no other place changes.
-            ground = self.ordinary + b"\x00" * (-len(self.ordinary) % 3)
-            words = b"".join(w + b"\x00" * (3 - len(w) % 3) for w in self.toxic.split(b"\x00")) + b"\x00" * 24
-            for content in (ground + words, ground + b"\x00" * len(words)):
-                options = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=5, hash_log=18, chain_log=17, search_log=1, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0)
-                held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                held.precompute_compress(compression_params=options)
-                out.append(zstandard.ZstdCompressor(dict_data=held, compression_params=options))
-            return out
-
-        return cached(("toxicity", hash(self.toxic), hash(self.ordinary)), make)
-
-    def distances(self, text: str | None) -> np.ndarray:
-        """Bytes saved by the toxic dictionary in each window of the whole text."""
-        toxic, ordinary = self.compressors()
-        raw = plain(text).encode("utf-8", "replace")
-        windows = [raw[max(0, i - OVERLAP) : i + WINDOW] for i in range(0, len(raw), WINDOW)]
-        return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows], dtype=np.float64)
+        return cached(("toxicity", hash(self.toxic), hash(self.ordinary)), lambda: (compressor(self.ordinary), compressor(self.toxic + self.ordinary)))
 
     def features(self, text: str | None) -> np.ndarray:
-        d = self.distances(text)
+        d = saved(windows(text), *self.compressors())
         top = np.sort(d)[::-1][:3]
-        return np.array([d.mean(), min(d.max(), 8), top.mean(), np.quantile(d, 0.9), (d >= 1).mean(), (d >= 2).mean(), min((d >= 2).sum(), 6), math.log(len(d) + 1)])
+        return np.array([d.mean(), d.max(), top.mean(), np.quantile(d, 0.9), (d >= 2).mean(), (d >= 4).mean(), (d >= 3).sum() / math.sqrt(len(d)), math.log(len(d))])
 
     def score(self, text: str | None) -> float:
         z = float(((self.features(text) - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _content(starts: list[str], limit: int) -> bytes:
-    """Strings joined so that the first come last, without those contained already."""
-    out = b""
-    for s in starts:
-        piece = s.encode()
-        if piece not in out:
-            if len(out) + len(piece) > limit:
-                break
-            out = piece + out
-    return out
-
-
-def distinct_texts(starts: list[np.ndarray], names: list[str]) -> list[int]:
-    """Places of the texts that aren't near copies of an earlier one, so copies count once.
-
-    A text is a near copy of one of up to twice or half its size if it has most of the long word starts that first came there.
-    """
-    owner: dict[int, int] = {}
-    brought, sizes, kept = Counter(), {}, []
-    longest = np.array([len(s) == max(STARTS) for s in names], bool)
-    for k, own in enumerate(starts):
-        long = own[longest[own]].tolist()
-        shared = Counter(owner[s] for s in long if s in owner)
-        if any(n > 0.5 * brought[j] and brought[j] >= 3 and 0.5 <= len(long) / sizes[j] <= 2 for j, n in shared.items()):
-            continue
-        kept.append(k)
-        sizes[k] = len(long)
-        for s in long:
-            if s not in owner:
-                owner[s] = k
-                brought[k] += 1
-    return kept
-
-
-def train_dictionaries(toxic: list[np.ndarray], ordinary: list[np.ndarray], names: list[str]) -> tuple[bytes, bytes]:
-    """Toxic-only and ordinary content, from document frequencies of the texts' word starts, whose strings are `names`.
-
-    A start is toxic if it is 8 times as frequent in toxic texts, with more evidence than the best of as many starts would show
-    by chance.
-    """
-    a, b = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-    for counts, texts in ((a, toxic), (b, ordinary)):
-        for own in texts:
-            counts[own] += 1
-    na, nb = len(toxic), len(ordinary)
-    least = max(2, 0.015 * na)
-    frequent = [i for i in np.flatnonzero(a >= least).tolist() if len(names[i].encode()) >= 5]
-    found = []
-    for i in frequent:
-        n, lift = int(a[i]), float(((a[i] + 0.5) / (na + 1)) / ((b[i] + 0.5) / (nb + 1)))
-        if lift >= 8 and n * math.log(lift) >= math.log(len(frequent)) + 2:
-            found.append((n * math.log(lift), names[i]))
-    chosen: list[str] = []
-    # Of starts of one word in the same texts the longest saves most.
-    for _, s in sorted(found, key=lambda x: (-x[0], -len(x[1]), x[1])):
-        if not any(c.startswith(s) or s.startswith(c) for c in chosen) and len(chosen) < 500:
-            chosen.append(s)
-    usual = np.flatnonzero((b > 0) & (b / (nb + 1) >= 0.5 * a / (na + 1))).tolist()
-    ground = [names[i] for i in sorted(usual, key=lambda i: (-b[i], names[i])) if len(names[i].encode()) >= 5]
-    return "\x00".join(chosen).encode(), _content(ground[:60_000], ORDINARY_BYTES)
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], rounds: int = ROUNDS) -> tuple[bytes, bytes]:
+    """The toxic dictionary and the ordinary ground, from the windows of each toxic and ordinary text."""
+    base = trained(ORDINARY_BYTES, [w for t in ordinary[::2] for w in t])
+    halves = toxic[::2], toxic[1::2]
+    picked = [[w for t in half for w in t] for half in halves]
+    own, ground, plain_only = [trained(TOXIC_BYTES, p) for p in picked], base, compressor(base)
+    for _ in range(rounds):
+        one = compressor(ground)
+        for i, half in enumerate(halves):
+            two, chosen = compressor(own[1 - i] + ground), []
+            for t in half:
+                gain = saved(t, one, two)
+                best = np.argsort(-gain, kind="stable")[: max(2, len(t) // PICKED)]
+                chosen += [t[k] for k in best if gain[k] > 0]
+            picked[i] = chosen or picked[i]
+        own = [trained(TOXIC_BYTES, p) for p in picked]
+        both = compressor(own[0] + own[1] + base)
+        # Texts that the ground was not trained on, as a text to be scored isn't.
+        hard = [w for t in ordinary[1::2] for w, gain in zip(t, saved(t, plain_only, both), strict=True) if gain > 0]
+        ground = (trained(HARD_BYTES, hard) if hard else b"") + base
+    return trained(TOXIC_BYTES, picked[0] + picked[1]), ground
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, steps: int = 60) -> np.ndarray:
@@ -168,52 +135,95 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, steps: int = 6
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TOXIC, most_ordinary: int = SAMPLE_ORDINARY) -> ToxicityModel | float:
-    """Fits on at most `most_toxic` and `most_ordinary` rows of labels (doc_id, toxic), drawn by hash of doc_id.
+def _sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_ordinary: int) -> DataFrame:
+    """The labelled texts that are drawn: doc_id, text, toxic.
 
-    Without both labels there is nothing to tell apart: the result is then a constant score, 1.0 if only toxic labels exist,
-    else 0.0.
+    An id with both labels counts as toxic. The draw goes by hash of doc_id.
     """
-    spark = docs.sparkSession
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic") > 0).alias("toxic"))
     drawn = None
     for kind, most in ((True, most_toxic), (False, most_ordinary)):
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
         drawn = part if drawn is None else drawn.unionByName(part)
-    ids = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in drawn.collect()], "doc_id long, toxic boolean").dropDuplicates(["doc_id"])
     # At most most_toxic + most_ordinary ids: small whatever the input.
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").collect()
-    texts = {True: {}, False: {}}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        texts[r["toxic"]].setdefault(r["text"], r["doc_id"])
-    toxic, ordinary = list(texts[True]), list(texts[False])
-    if not toxic or not ordinary:
-        return 1.0 if toxic else 0.0
-    pool: dict[str, int] = {}
-    starts = {t: word_starts(t, pool) for t in toxic + ordinary}
-    names = list(pool)
-    del pool, rows, texts
-    toxic, ordinary = ([t[k] for k in distinct_texts([starts[x] for x in t], names)] for t in (toxic, ordinary))
-    train = lambda keep: train_dictionaries(*([starts[t] for i, t in enumerate(part) if keep(i)] for part in (toxic, ordinary)), names)
-    # Texts are calibrated on dictionaries that other texts chose: a third on those of two thirds, or of few rows each in turn.
-    x, y = [], []
-    folds = 3 if len(toxic) >= 150 else min(8, len(toxic), len(ordinary))
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    return stored(texts, "toxicity-sample")
+
+
+def _cut(sample: DataFrame) -> list[tuple[bool, bytes, list[bytes]]]:
+    """Label, key and training windows of each distinct sampled text; nothing longer reaches the driver.
+
+    The key is the smallest hash of the text's five-word runs, which near copies mostly share: of texts with one key and label one
+    stays, and a key lies in one fold. Of a text with more windows than SAMPLE_WINDOWS as many are drawn, by their hash.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            keys, parts = [], []
+            for text in batch.column(0).to_pylist():
+                words = plain(text).split()
+                keys.append(min((xxhash.xxh3_64_digest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=b""))
+                own = windows(text)
+                drawn = sorted(range(len(own)), key=lambda i: xxhash.xxh3_64_digest(own[i], 7))[:SAMPLE_WINDOWS]  # noqa: B023
+                parts.append([own[i] for i in sorted(drawn)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.binary())), batch.column(1)], names=["key", "parts", "toxic"])
+
+    found = {}
+    for r in map_arrow(sample.select("text", "toxic"), cut, "key binary, parts array<binary>, toxic boolean").toLocalIterator():
+        entry = (r["toxic"], bytes(r["key"])), [bytes(w) for w in r["parts"]]
+        if entry[0] not in found or entry[1] < found[entry[0]]:
+            found[entry[0]] = entry[1]
+    return [(toxic, key, parts) for (toxic, key), parts in sorted(found.items())]
+
+
+def _fold(key: bytes, folds: int) -> int:
+    return int.from_bytes(key[:8], "big") * 0x9E3779B97F4A7C15 % 2**64 * folds >> 64
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TOXIC, most_ordinary: int = SAMPLE_ORDINARY) -> ToxicityModel | float:
+    """Fits on at most `most_toxic` and `most_ordinary` rows of labels (doc_id, toxic), drawn by hash of doc_id.
+
+    Without both labels, or without texts for both, there is nothing to tell apart: the result is then a constant score, 1.0 if
+    only toxic texts exist, else 0.0. Only bounded windows and feature vectors of the sample reach the driver.
+    """
+    sample = _sample(docs, labels, most_toxic, most_ordinary)
+    rows = _cut(sample)
+    positives = sum(t for t, _, _ in rows)
+    if not positives or positives == len(rows):
+        return 1.0 if positives else 0.0
+    folds = FOLDS if positives >= FEW else max(2, min(8, positives, len(rows) - positives))
     zeros = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1)
-    for fold in range(1 if folds == 3 else folds):
-        model = ToxicityModel(*train(lambda i: folds < 2 or i % folds != fold), *zeros)  # noqa: B023
-        for part, kind in ((toxic, 1.0), (ordinary, 0.0)):
-            for i, t in enumerate(part):
-                if folds < 2 or i % folds == fold:
-                    x.append(model.features(t))
-                    y.append(kind)
-    if folds != 3:
-        model = ToxicityModel(*train(lambda i: True), *zeros)
-    x, y = np.array(x), np.array(y)
+
+    def train(keep) -> ToxicityModel:
+        parts = [[p for t, key, p in rows if t == kind and keep(key)] for kind in (True, False)]
+        return ToxicityModel(*train_dictionaries(*parts), *zeros)
+
+    models = {f: train(lambda key: _fold(key, folds) != f) for f in (range(1) if positives >= FEW else range(folds))}  # noqa: B023
+    keys = {(t, key) for t, key, _ in rows}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = plain(text).split()
+                key = min((xxhash.xxh3_64_digest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=b"")
+                fold = _fold(key, folds)
+                if (toxic, key) in keys and fold in models:
+                    out.append((toxic, key, models[fold].features(text).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=t) for i, t in enumerate((pa.bool_(), pa.binary(), pa.list_(pa.float64())))], names=["toxic", "key", "x"])
+
+    # One text of each key calibrates, like one trained.
+    measured = {(r["toxic"], bytes(r["key"])): r["x"] for r in sorted(map_arrow(sample.select("text", "toxic"), measure, "toxic boolean, key binary, x array<double>").collect(), key=lambda r: r["x"])}
+    model = models[0] if positives >= FEW else train(lambda key: True)
+    x, y = np.array(list(measured.values())), np.array([float(t) for t, _ in measured])
+    if not 0 < y.sum() < len(y):
+        return positives / len(rows)
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     model.weights = _logistic((x - model.mean) / model.scale, y)
-    # The sample holds more toxic texts than the labels do; the constant brings the score back to the labels' share.
-    model.weights[-1] += math.log(counts[True] / counts[False]) - math.log(y.sum() / (len(y) - y.sum()))
     return model
 
 
@@ -236,7 +246,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | float, threshold: flo
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel | float, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold."""
+    """The rows of docs, with all their columns, whose score is below the threshold; ties at it go. Null text counts as empty."""
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
