@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nubila.llm.arrays import let, pieces, sums_before
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: A control string starts with the character before the look-ahead: this template's, and those of public chat templates.
 CONTROL = r"<(?=\||/?s>|</?SYS>>|/?(?:start|end)_of_turn>)|\[(?=/?INST\])"
@@ -124,15 +126,10 @@ def format_conversations(turns: DataFrame, learn_from: tuple[str, ...] = ("assis
     rows = turns.select("conv_id", F.struct("turn", "place", role.alias("role"), text.alias("text"), head.alias("head"), escape(text).alias("body")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     formatted = F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        begin, size = acc["at"] + F.char_length(t["head"]), F.char_length(t["body"]).cast("long")
-        span = F.struct(begin.alias("start"), size.alias("length"))
-        spans = F.when(t["role"].isin(*learn_from), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((begin + size + len(END)).alias("at"), spans.alias("spans"))
-
-    return grouped.select("conv_id", formatted.alias("formatted"), F.aggregate("ts", start, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    sizes = F.transform("ts", lambda t: F.char_length(t["head"]).cast("long") + F.char_length(t["body"]) + len(END))
+    span = lambda t, at: F.struct((at + F.char_length(t["head"])).alias("start"), F.char_length(t["body"]).cast("long").alias("length"), t["role"].isin(*learn_from).alias("learnt"))
+    learnt = F.filter(F.zip_with("ts", sums_before(sizes), span), lambda s: s["learnt"])
+    return grouped.select("conv_id", formatted.alias("formatted"), F.transform(learnt, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"))
 
 
 def parse_conversation(formatted: Column) -> Column:
@@ -144,4 +141,5 @@ def parse_conversation(formatted: Column) -> Column:
 
 def loss_text(formatted: Column, loss_spans: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    ends = F.transform(loss_spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["length"]).alias("end")))
+    return F.array_join(F.transform(let(formatted, lambda text: pieces(text, ends)), unescape), "")

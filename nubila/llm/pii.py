@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nubila.llm.common import stored
+from nubila.llm.arrays import let, pieces, running, sums_before
+from nubila.llm.common import hot_keys, lookup, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -28,6 +29,10 @@ PATTERNS = {
 }
 #: Texts that fail these have no match; they are cheap.
 QUICK = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
+#: Between a word and what isn't one.
+BOUNDARY = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"
+#: Types whose values tell rows with equal texts apart.
+SIMPLE = frozenset("bigint int smallint tinyint string double float date timestamp boolean binary".split())
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
@@ -58,21 +63,19 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def pieces_with_places(pieces: Column, keep) -> Column:
-    """Array of (start, end, value), in code points, of the pieces of a split text for which keep(piece, index from 0) holds."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
+def placed(parts: Column) -> Column:
+    """start, end (code points of the whole) and value of the parts of a split text."""
 
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.char_length(p)
-        found = F.struct(acc["at"].alias("start"), end.alias("end"), p.alias("value"))
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.when(keep(p, acc["i"]), F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+    def places(ps: Column) -> Column:
+        starts = sums_before(F.transform(ps, lambda p: F.char_length(p).cast("long")))
+        return F.zip_with(ps, starts, lambda p, at: F.struct(at.alias("start"), (at + F.char_length(p)).alias("end"), p.alias("value")))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return let(parts, places)
 
 
 def _spans_of(kind: str, text: Column) -> Column:
     marked = F.regexp_replace(text, PATTERNS[kind], f"{MARK}$0{MARK}")
-    found = pieces_with_places(F.split(marked, MARK, -1), lambda p, i: i % 2 == 1)
+    found = F.filter(placed(F.split(marked, MARK, -1)), lambda s, i: i % 2 == 1)
     held = F.filter(found, lambda s: _holds(kind, s["value"]))
     ranked = F.transform(held, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), s["value"].alias("value")))
     return F.when(text.rlike(QUICK[kind]), ranked).otherwise(F.array().cast(SPANS))
@@ -100,7 +103,9 @@ def term_words(text: Column) -> Column:
 def entities_held(found: DataFrame) -> DataFrame:
     """A row for each text and entity in it: key (of the text), entity, context (key of the lower-cased text), copies."""
     entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["rank"].cast("string"), F.lower(s["value"]))))
-    rows = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("__key"), F.xxhash64(F.lower("text")).alias("context"), F.explode(entities).alias("entity"))
+    # Keys are taken before the rows are spread out, so no text is copied into the rows of its entities.
+    texts = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("__key"), F.xxhash64(F.lower("text")).alias("context"), entities.alias("entities"))
+    rows = texts.select("__key", "context", F.explode("entities").alias("entity"))
     return rows.groupBy("__key", "entity").agg(F.first("context").alias("context"), F.count("*").alias("copies"))
 
 
@@ -110,14 +115,17 @@ def terms_outside(text: Column, base: Column) -> Column:
     return term_words(sanitise(F.translate(text, MARK, STAND_IN), base, lambda s: F.concat(edge(s, r"^[\p{L}\p{N}]"), F.lit(" "), edge(s, r"[\p{L}\p{N}]$"))))
 
 
-def revealing_terms(plain: DataFrame, held: DataFrame, alpha: float, support: int) -> DataFrame:
+def revealing_terms(plain: DataFrame, held: DataFrame, hot: dict, alpha: float, support: int) -> DataFrame:
     """(entity, term, disclosure) for the terms that reveal an entity; held has the entities in `support` contexts or more.
 
-    A context is a whole document: a term counts with every entity of its document, at any distance. All counts run over all
-    documents; for the support, texts that are equal letter for letter, as copies are, count once.
+    A context is a whole document: a term counts with every entity of its document, at any distance. All counts are of documents
+    and run over all of them; for the support, texts that are equal letter for letter, as copies are, count once. hot holds the
+    texts with very many copies.
     """
-    texts = plain.join(held.select("__key").distinct(), F.xxhash64("text") == F.col("__key"), "left_semi")
-    terms = find_base(texts).select(F.xxhash64("text").alias("__key"), F.explode(terms_outside(F.col("text"), F.col("base"))).alias("term")).distinct()
+    known = held.select("__key").distinct().withColumn("__there", F.lit(True))
+    texts = lookup(plain.withColumn("__key", F.xxhash64("text")), "__key", known, hot, ["__row"]).where("__there")
+    outside = find_base(texts.select("__key", "text")).select("__key", terms_outside(F.col("text"), F.col("base")).alias("terms"))
+    terms = outside.select("__key", F.explode("terms").alias("term")).distinct()
     pairs = held.join(terms, "__key").groupBy("entity", "term").agg(F.sum("copies").alias("together"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
     pairs = stored(pairs, "pii-pairs")
     entities = held.groupBy("entity").agg(F.sum("copies").alias("entity_documents"))
@@ -125,16 +133,36 @@ def revealing_terms(plain: DataFrame, held: DataFrame, alpha: float, support: in
     documents = plain.count()
     joined = pairs.join(entities, "entity").join(counts, "term")
     information = F.log2(F.lit(float(max(documents, 2))) / F.col("entity_documents"))
-    mutual = F.log2(F.col("together") * F.lit(float(documents)) / (F.col("entity_documents") * F.greatest("term_documents", "together")))
+    mutual = F.log2(F.col("together") * F.lit(float(documents)) / (F.col("entity_documents").cast("double") * F.col("term_documents")))
     return joined.withColumn("disclosure", mutual / F.greatest(information, F.lit(1e-9))).where(F.col("disclosure") >= 1 / alpha).select("entity", "term", "disclosure")
 
 
+def _outermost(spans: Column) -> Column:
+    """Those of the sorted spans that don't begin inside an earlier one, each with `at`: where all before it end."""
+    both = lambda v: F.zip_with(v, running(F.transform(v, lambda s: s["end"]), 0, F.greatest), lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["rank"].alias("rank"), s["value"].alias("value")))
+    return F.filter(let(spans, both), lambda s: s["start"] >= s["at"])
+
+
+def _last(spans: Column) -> Column:
+    """Where the last of the spans ends."""
+    return F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0).cast("long"))
+
+
 def term_spans(text: Column, base: Column, terms: Column) -> Column:
-    """The spans of all occurrences of the terms in a text, apart from its base spans."""
-    pieces = F.split(text, r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])")
-    found = pieces_with_places(pieces, lambda p, i: F.array_contains(terms, F.lower(p)))
-    apart = F.filter(found, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    return F.transform(apart, lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), t["end"].alias("end"), F.lower(t["value"]).alias("value")))
+    """The spans of all occurrences of the terms in a text, apart from its base spans. text and terms are names.
+
+    The text between base spans is read with one more character at each side, so a word that reaches into a span isn't taken.
+    """
+    gap = lambda a, b: F.struct(a.alias("low"), b.alias("high"), F.greatest(a - 1, F.lit(0)).alias("start"), F.least(b + 1, F.char_length(text)).alias("end"))
+    between = F.transform(_outermost(base), lambda s: gap(s["at"], s["start"]))
+    gaps = F.concat(between, F.array(gap(_last(base), F.char_length(text).cast("long"))))
+
+    def found(part: Column, g: Column) -> Column:
+        words = F.filter(placed(F.split(part, BOUNDARY)), lambda p: F.array_contains(terms, F.lower(p["value"])))
+        spans = F.transform(words, lambda p: F.struct((p["start"] + g["start"]).alias("start"), F.lit(len(KINDS)).alias("rank"), (p["end"] + g["start"]).alias("end"), F.lower(p["value"]).alias("value")))
+        return F.filter(spans, lambda s: (s["start"] >= g["low"]) & (s["end"] <= g["high"]))
+
+    return let(gaps, lambda gs: F.flatten(F.zip_with(pieces(text, gs), gs, found)))
 
 
 def sanitise(text: Column, spans: Column, instead=None) -> Column:
@@ -144,15 +172,13 @@ def sanitise(text: Column, spans: Column, instead=None) -> Column:
     """
     label = lambda s: F.get(F.array(*[F.lit(LABELS[k]) for k in KINDS]), s["rank"])
     general = lambda s: F.when(s["value"].rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).otherwise(F.lit("[TERM]"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    new = instead or (lambda s: F.coalesce(label(s), general(s)))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.concat(acc["out"], before, instead(s) if instead else F.coalesce(label(s), general(s)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    def rebuilt(t: Column) -> Column:
+        kept = lambda ks: F.zip_with(pieces(t, F.transform(ks, lambda s: F.struct(s["at"].alias("start"), s["start"].alias("end")))), ks, lambda p, s: F.concat(p, new(s)))
+        return F.concat(F.array_join(let(_outermost(spans), kept), ""), F.substring(t, (_last(spans) + 1).cast("int"), F.char_length(t)))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(let(text, rebuilt))
 
 
 def sanitise_documents(docs: DataFrame, alpha: float = 1.5, support: int = 3) -> DataFrame:
@@ -162,7 +188,9 @@ def sanitise_documents(docs: DataFrame, alpha: float = 1.5, support: int = 3) ->
     spans or sanitised are replaced); no row is dropped. Equal rows have equal results; an empty table gives an empty result.
     """
     found = find_base(docs.drop("base", "spans", "sanitised"))
-    plain = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    others = [c for c in docs.columns if c not in ("text", "base", "spans", "sanitised")]
+    row = F.xxhash64(*[F.col(c) for c in others if dict(docs.dtypes)[c] in SIMPLE], F.lit(3)).alias("__row")
+    plain = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row)
     # Only keys and entities are kept; texts are read again for the terms, the counts and the result.
     held = stored(entities_held(found.select("text", "base")), "pii-entities")
     # A term can't stand with an entity in more contexts than the entity has.
@@ -171,11 +199,12 @@ def sanitise_documents(docs: DataFrame, alpha: float = 1.5, support: int = 3) ->
     if held.isEmpty():
         whole = found.withColumn("spans", F.col("base"))
     else:
-        revealing = revealing_terms(plain, held, alpha, support).groupBy("entity").agg(F.collect_set("term").alias("terms"))
+        hot = hot_keys(held.groupBy("__key").agg(F.max("copies").alias("copies")), "__key", "copies")
+        revealing = revealing_terms(plain, held, hot, alpha, support).groupBy("entity").agg(F.collect_set("term").alias("terms"))
         terms = stored(held.join(revealing, "entity").groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("__terms")), "pii-terms")
-        joined = found.withColumn("__key", F.xxhash64("text")).join(terms, "__key", "left")
+        joined = lookup(found.withColumn("__key", F.xxhash64("text")).withColumn("__row", row), "__key", terms, hot, ["__row"])
         more = F.when(F.col("__terms").isNull(), F.array().cast(SPANS)).otherwise(term_spans(F.col("text"), F.col("base"), F.col("__terms")))
-        whole = joined.withColumn("spans", F.array_sort(F.concat("base", more))).drop("__key", "__terms")
+        whole = joined.withColumn("spans", F.array_sort(F.concat("base", more))).drop("__key", "__row", "__terms")
     return whole.withColumn("sanitised", sanitise(F.col("text"), F.col("spans")))
 
 
