@@ -8,6 +8,7 @@ leaks an item when its tiles cover at least `coverage` of the item.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -47,8 +48,21 @@ def _free(marked: np.ndarray, length: int) -> np.ndarray:
     return total[length:] == total[:-length]
 
 
+def _free_parts(used_item: np.ndarray, used_doc: np.ndarray, i: int, j: int, length: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """The runs of at least `least` tokens of a match (place in item, place in document, length) that are unmarked on both sides."""
+    taken = np.concatenate([[True], used_item[i : i + length] | used_doc[j : j + length], [True]])
+    edges = np.flatnonzero(taken)
+    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if end - begin - 1 >= least:
+            yield end - begin - 1, i + begin, j + begin
+
+
 def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in document, length): longest first, then by place; none shorter than `least`."""
+    """Tiles (place in item, place in document, length), always the longest unmarked match next, of equal ones the first by place.
+
+    At each search length Karp-Rabin hashing finds the longest unmarked runs of that length or more. They are marked from a heap; of
+    a run that an earlier tile cut, what is left free goes back into it. So no shorter match is marked before a longer remainder.
+    """
     used_item, used_doc, tiles = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
     search = max(least, min(SEARCH_FROM, len(item), len(doc)))
     while search >= least:
@@ -59,7 +73,7 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[in
                 places.setdefault(int(hi[i]), []).append(i)
             open_doc = np.flatnonzero(_free(used_doc, search))
             open_doc = open_doc[np.isin(hd[open_doc], np.fromiter(places, np.uint64, len(places)))]
-            matches, reached = [], {}
+            heap, reached = [], {}
             for j in open_doc.tolist():
                 for i in places[int(hd[j])]:
                     if reached.get(j - i, -1) > i:
@@ -69,17 +83,16 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[in
                         k += 1
                     reached[j - i] = i + k
                     if k >= search:
-                        matches.append((-k, i, j))
-            longest = -min(matches)[0] if matches else 0
-            if longest > 2 * search:
-                search = longest
-                continue
-            for minus, i, j in sorted(matches):
-                if not used_item[i : i - minus].any() and not used_doc[j : j - minus].any():
+                        heap.append((-k, i, j))
+            heapq.heapify(heap)
+            while heap:
+                minus, i, j = heapq.heappop(heap)
+                if used_item[i : i - minus].any() or used_doc[j : j - minus].any():
+                    for k, at_item, at_doc in _free_parts(used_item, used_doc, i, j, -minus, search):
+                        heapq.heappush(heap, (-k, at_item, at_doc))
+                else:
                     used_item[i : i - minus] = used_doc[j : j - minus] = True
                     tiles.append((i, j, -minus))
-            if matches:
-                continue  # what an earlier tile cut short is looked for again
         search = least if least < search < 2 * least else search // 2
     return tiles
 

@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
 Each document is tokenised once. Documents longer than a sequence are cut into full pieces; the first piece takes the
-remainder. Pieces are dealt by hash into shards of about `shard_pieces`, so no task grows with the input, and each shard is
+remainder. Pieces are dealt by hash into shards of about `shard_pieces`, so no shard grows with the input, and each shard is
 packed on its own: pieces come longest first, and each goes where the sum over residual gaps g of (open bins with gap g)^2
 becomes smallest. A shard of thousands of pieces ends within a few sequences of the sum of its lengths.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubila.llm.common import cached, map_arrow
+from nubila.llm.common import cached, map_arrow, stored
 
 # The pre-tokenisation pattern of the public byte-level BPE vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,8 +37,8 @@ def byte_alphabet() -> dict[str, int]:
 def encoder(path: str):
     """A function from text to ids as a numpy array, equal to `tokenizers` on the same file.
 
-    The file's vocabulary drives a fast rank-merging encoder; texts with very long unbroken runs take `tokenizers` itself.
-    Special strings inside a text are ordinary text.
+    The file's vocabulary drives a fast rank-merging encoder; texts with very long unbroken runs, and texts with one of the
+    file's special strings, which `tokenizers` makes their own ids, take `tokenizers` itself.
     """
 
     def make():
@@ -52,8 +52,7 @@ def encoder(path: str):
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         exact = Tokenizer.from_file(path)
-        exact.encode_special_tokens = True
-        run = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
+        run = re.compile("|".join([rf"\S{{{LONG_RUN}}}", rf"\s{{{LONG_RUN}}}", *map(re.escape, sorted(special))]))
 
         def encode(text: str) -> np.ndarray:
             if run.search(text):
@@ -129,7 +128,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(pieces: DataFrame, max_tokens: int, shards: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, ...)."""
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, ...).
+
+    Pieces are dealt by hash of doc_id and place, and of their row, so rows that repeat a doc_id don't meet in one shard.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     columns = pieces.columns
 
@@ -138,7 +140,7 @@ def pack(pieces: DataFrame, max_tokens: int, shards: int) -> DataFrame:
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), max_tokens)
         return pdf[columns].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards))
     dealt = pieces.withColumn("__shard", shard)
     return dealt.groupBy("__shard").applyInPandas(one, schema)
 
@@ -147,7 +149,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048,
     """Packs every document into sequences of at most `max_tokens` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset. An empty table gives an empty result; null
-    and empty texts are one closing token; ties of length go by doc_id and piece; other columns of `docs` are left out.
+    and empty texts are one closing token; ties of length go by doc_id and piece; other columns of `docs` are left out. Pieces are
+    stored, so texts are tokenised once and shards are counted from pieces, however long the documents are.
     """
-    shards = max(1, -(-docs.count() // shard_pieces))
-    return pack(token_pieces(docs, tokenizer_path, max_tokens, end_id, keep_ids), max_tokens, shards)
+    pieces = stored(token_pieces(docs, tokenizer_path, max_tokens, end_id, keep_ids), "pack-pieces")
+    shards = max(1, -(-pieces.count() // shard_pieces))
+    return pack(pieces, max_tokens, shards)

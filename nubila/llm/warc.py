@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubila.llm.common import map_arrow, scratch, stored
+from nubila.llm.common import hot_keys, map_arrow, scratch, stored
 
 # The start of a gzip member with deflate, the record version, and the public revisit profile.
 MAGIC = b"\x1f\x8b\x08"
@@ -61,15 +61,25 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, length:
 def resolve_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload (null for revisits), payload_bytes, sha1 and refers_to.
 
-    Of records with equal payloads of at least `least_bytes` bytes the smallest page_id is the response; null html is empty.
-    The first of each payload is found by a partial minimum, so a frequent payload meets in one small row per task.
+    Of records with equal payloads of at least `least_bytes` bytes the smallest page_id is the response; null html is empty. Rows
+    that repeat the response's page_id are responses too, as is a row without page_id where no other has the payload. The first of
+    each payload is found by a partial minimum. The payloads of frequent ones, known from their counts, are looked up in a small
+    broadcast table and dropped before the shuffle, but for the response's; so no task gets a frequent payload's copies.
     """
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     raw = raw.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long"))
-    first = raw.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    joined = raw.join(first, "sha1", "left")
-    again = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
-    return joined.select("page_id", "url", F.when(~F.coalesce(again, F.lit(False)), F.col("payload")).alias("payload"), "payload_bytes", "sha1", F.when(again, F.col("first")).alias("refers_to"))
+    first = stored(raw.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc-first")
+    hot = hot_keys(first, "sha1", "n")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    columns = ["page_id", "url", F.when(~F.coalesce(again, F.lit(False)), F.col("payload")).alias("payload"), "payload_bytes", "sha1", F.when(again, F.col("first")).alias("refers_to")]
+    if not hot:
+        return raw.join(first.select("sha1", "first"), "sha1", "left").select(*columns)
+    known = raw.sparkSession.createDataFrame([(k,) for k in hot], "sha1 string").join(first, "sha1").select("sha1", "first")
+    # Fewer rows than HOT_SHARE.
+    frequent = raw.join(F.broadcast(known), "sha1").select(*columns)
+    rest = raw.join(F.broadcast(known.select("sha1")), "sha1", "left_anti").join(first.select("sha1", "first"), "sha1", "left").select(*columns)
+    # The frequent ones, now without payloads, go over all tasks that write.
+    return rest.unionByName(frequent.repartition(F.xxhash64("page_id", "url")))
 
 
 def write_warc(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:
