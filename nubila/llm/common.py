@@ -59,7 +59,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small: the session's limits are lowered to ours where they are higher, and stay so."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
-        now = spark.conf.get(key, "")
+        now = spark.conf.get(key)
         if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
