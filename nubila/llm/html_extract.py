@@ -1,9 +1,12 @@
 """Main-text extraction by tag-path ratios.
 
-A page is read once into text nodes, each with its root-to-leaf tag path. Text length and punctuation are aggregated per path
-and divided by the path's nodes; both ratios are smoothed along the page, fused by multiplication and cut at a share of their
-deviation, which leaves the content nodes. The deepest element that holds all their text is the article; its blocks, short
-ones too, and the headings before it are the result, without parts that by tag, role or name are not the article's own.
+A page is read once into text nodes, one for each block, each with its root-to-leaf tag path. Text length (outside links) and
+punctuation are aggregated per path and divided by the path's nodes; both ratios are smoothed along the page and fused by
+multiplication, and the paths whose mean reaches a share of the deviation are content. Parts that are by tag or role no part of an
+article are never read; names like `ad` or `comments`, and places outside a marked article, only weigh a path's ratios down.
+
+What the threshold selects is the text. Inside the element that holds it, short blocks of text elements (headings, items, cells,
+paragraphs) and sentences stay as well, and so do the headings just before it; link lists and other short strings go.
 """
 
 from __future__ import annotations
@@ -20,241 +23,346 @@ from pyspark.sql import functions as F
 
 from nubila.llm.common import map_arrow
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+TAG_STOP = re.compile(r"[>\"']")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+#: What a path's ratios are multiplied by if a name on it, or its place outside the marked article, speaks against it.
+AGAINST = 0.05
 
 # Elements of the HTML standard by their content model.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SAME_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table div section article main body html td th nav aside footer header form blockquote".split())
-# What a page's own markup names as not its article.
+LISTS = frozenset("ul ol dl table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_TAGS = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre article main".split())
+WHOLE = frozenset("#root html body".split())
+# Elements and roles that the standard keeps apart from an article's text.
 AWAY_TAGS = frozenset("nav footer aside form menu dialog head button select svg canvas object audio video map fieldset".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+MAIN_TAGS = frozenset(("article", "main"))
+# Names that speak against a part, and parts of names that say nothing. A name counts if it has one of the first and
+# else only ones of either list, so `ad-box` and `cookie-notice` do, `related-work` and `has-sidebar` don't.
 AWAY_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar cookie cookies consent gdpr notice notices notification notifications alert alerts newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses discussion feedback widget widgets toolbar pagination pager copyright disclaimer skip search form forms".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promotions banner nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars footer foot masthead topbar cookie cookies consent gdpr notice notices notification notifications alert newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations comment comments commentlist disqus replies toolbar pagination pager copyright disclaimer skip search".split()
 )
-MAIN_TAGS = frozenset(("article", "main"))
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLAIN_NAMES = frozenset("area bar block body bottom box button buttons container content entry form group header holder icons id inner item items left link links list main message module outer page panel posts post right row section site slot text thread title top unit user widget widgets wrap wrapper".split())
 
 
 @dataclass(slots=True)
 class Element:
+    """parent and holder (the nearest element that isn't inline, itself included) are places in the page's elements."""
+
     tag: str
     parent: int
-    path: str
-    away: bool = False
-    named_away: bool = False
-    text: int = 0
+    holder: int
+    path: int
+    away: bool
+    linked: bool
 
 
 @dataclass(slots=True)
 class TextNode:
+    """A block: its holder's place, its path, its texts, characters outside links and in them, and punctuation outside them."""
+
     element: int
-    block: int
-    text: str
+    path: int
+    parts: list[str]
     size: int = 0
+    linked: int = 0
     marks: int = 0
 
 
 @dataclass(slots=True)
 class Page:
+    """against[path]: whether a name on the path speaks against it; inside[path]: whether it lies in a marked article."""
+
     elements: list[Element] = field(default_factory=list)
     nodes: list[TextNode] = field(default_factory=list)
+    against: list[bool] = field(default_factory=list)
+    inside: list[bool] = field(default_factory=list)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /\t\r\n") else {}
 
 
+def speaks_against(names: str) -> bool:
+    """Whether one of a class or id attribute's names marks a part that isn't the article's."""
+    for name in names.split():
+        parts = {p.lower() for p in NAME_PARTS.findall(name)}
+        if parts & AWAY_NAMES and parts <= AWAY_NAMES | PLAIN_NAMES:
+            return True
+    return False
+
+
+class _Tags:
+    """The tags of a page one by one, in time linear in its length whatever is left unclosed."""
+
+    def __init__(self, source: str):
+        self.source, self.quotes = source, True
+
+    def end(self, at: int) -> int:
+        """Place of the `>` that ends the tag whose attributes begin at a place, or -1.
+
+        A quote hides a `>` only right after `=`. Where quotes never close, they count as ordinary characters from there on.
+        """
+        source, place = self.source, at
+        while self.quotes and (m := TAG_STOP.search(source, place)):
+            if m[0] == ">":
+                return m.start()
+            place = m.end()
+            back = m.start() - 1
+            while back >= at and source[back].isspace():
+                back -= 1
+            if back >= at and source[back] == "=":
+                place = source.find(m[0], place) + 1
+                if not place:
+                    break
+        self.quotes = False
+        return source.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str]]:
+        """(start, end, name with `/` for an end tag, attributes) of each tag; comments and declarations have no name."""
+        source, at, no_end = self.source, 0, False
+        while (start := source.find("<", at)) >= 0:
+            following = source[start + 1 : start + 2]
+            if following in ("!", "?"):
+                if source.startswith("<!--", start):
+                    stop, size = source.find("-->", start + 4), 3
+                elif source.startswith("<![CDATA[", start):
+                    stop, size = source.find("]]>", start + 9), 3
+                else:
+                    stop, size = -1 if no_end else source.find(">", start), 1
+                    if stop < 0:
+                        no_end, at = True, start + 1
+                        continue
+                at = stop + size if stop >= 0 else len(source)
+                yield start, at, "", ""
+                continue
+            m = None if no_end else TAG_NAME.match(source, start + 1)
+            stop = self.end(m.end()) if m else -1
+            if stop < 0:
+                no_end = no_end or m is not None
+                at = start + 1
+                continue
+            at = stop + 1
+            name = ("/" if following == "/" else "") + m[1].lower()
+            yield start, at, name, source[m.end() : stop]
+            if name in RAW:
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                yield at, (at := close.end() if close else len(source)), "", ""
+
+
 def parse(source: str) -> Page:
-    """Elements and text nodes of a page, forgiving like a browser: open paragraphs and items end where the next begins."""
-    page = Page([Element("#root", -1, "")])
-    stack, at, block = [0], 0, 0
+    """Elements and text nodes of a page, forgiving like a browser: open paragraphs and items end where the next begins.
+
+    Paths are numbered, so memory grows with the page, not with its depth.
+    """
+    page = Page([Element("#root", -1, 0, 0, False, False)], [], [False], [False])
+    elements, numbers = page.elements, {}
+    stack = [0]
+    places: dict[str, list[int]] = {}
+    scopes, lists, block, last, at = [0], [0], 0, -1, 0
 
     def text(upto: int) -> None:
-        if upto > at:
-            raw = source[at:upto]
-            if raw.strip():
-                value = entities.unescape(raw)
-                page.nodes.append(TextNode(stack[-1], block, value, len(value.strip()), len(PUNCTUATION.findall(value))))
-            elif page.nodes:
-                page.nodes.append(TextNode(stack[-1], block, " "))
-
-    def close(tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = page.elements[stack[k]].tag
-            if tag in tags:
-                del stack[k:]
-                return
-            if tag in stop:
-                return
-
-    position = 0
-    while m := TOKEN.search(source, position):
-        text(m.start())
-        at = position = m.end()
-        if m[2] is None:
+        nonlocal last
+        own = elements[stack[-1]]
+        if upto <= at or own.away:
+            return
+        raw = source[at:upto]
+        if not raw.strip():
+            if last == block and page.nodes:
+                page.nodes[-1].parts.append(" ")
+            return
+        value = entities.unescape(raw)
+        if last != block:
+            page.nodes.append(TextNode(own.holder, own.path, []))
+            last = block
+        node, size = page.nodes[-1], len(" ".join(value.split()))
+        node.parts.append(value)
+        if own.linked:
+            node.linked += size
+        else:
+            node.size += size
+            node.marks += len(PUNCTUATION.findall(value))
+
+    def pop_to(size: int) -> None:
+        while len(stack) > size:
+            tag = elements[stack.pop()].tag
+            places[tag].pop()
+            if tag in SCOPES:
+                scopes.pop()
+            if tag in LISTS:
+                lists.pop()
+
+    def close(tags: tuple[str, ...], barrier: int) -> None:
+        open_at = max((places[t][-1] for t in tags if places.get(t)), default=-1)
+        if open_at > barrier:
+            pop_to(open_at)
+
+    for start, end, name, raw in _Tags(source):
+        text(start)
+        at = end
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in {page.elements[k].tag for k in stack[1:]}:
-                while page.elements[stack.pop()].tag != tag:
-                    pass
-            if tag not in INLINE:
-                block += 1
+        if name[0] == "/":
+            if places.get(name[1:]):
+                pop_to(places[name[1:]][-1])
+            block += name[1:] not in INLINE
             continue
-        if tag not in INLINE:
+        if name not in INLINE:
             block += 1
-        elif tag == "br" and page.nodes:
-            page.nodes.append(TextNode(stack[-1], block, " "))
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = position = end.end() if end else len(source)
+        elif name == "br" and last == block:
+            page.nodes[-1].parts.append(" ")
+        if name in VOID or name in RAW:
             continue
-        if tag in CLOSES_P:
-            close({"p"}, SCOPES)
-        if tag in SAME_KIND:
-            close(SAME_KIND[tag], frozenset(("ul", "ol", "dl", "table")))
-        attributes = _attributes(m[3])
-        names = {p.lower() for key in ("class", "id") for p in NAME_PARTS.findall(attributes.get(key, ""))}
-        first = attributes.get("class", "").split()
-        above = page.elements[stack[-1]]
-        page.elements.append(
-            Element(
-                tag,
-                stack[-1],
-                f"{above.path}/{tag}{'.' + first[0] if first else ''}",
-                tag in AWAY_TAGS or attributes.get("role", "").lower() in AWAY_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.sub(r"\s", "", attributes.get("style", "").lower()).find("display:none") >= 0,
-                bool(names & AWAY_NAMES),
-            )
-        )
-        if not m[3].rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append(len(page.elements) - 1)
+        if name in CLOSES_P:
+            close(("p",), scopes[-1])
+        if name in SAME_KIND:
+            close(SAME_KIND[name], lists[-1])
+        above, attributes = elements[stack[-1]], _attributes(raw)
+        role = attributes.get("role", "").lower()
+        named = speaks_against(attributes.get("class", "")) or speaks_against(attributes.get("id", ""))
+        away = above.away or name in AWAY_TAGS or role in AWAY_ROLES or (name == "header" and not page.inside[above.path])
+        away = away or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in re.sub(r"\s", "", attributes.get("style", "").lower())
+        path = above.path
+        if name not in INLINE or named:
+            named = named and name not in ("html", "body", "article", "main")
+            key = (path, name, named)
+            if key not in numbers:
+                numbers[key] = len(page.against)
+                page.against.append(page.against[path] or named)
+                page.inside.append(page.inside[path] or name in MAIN_TAGS or role == "main")
+            path = numbers[key]
+        place = len(elements)
+        elements.append(Element(name, stack[-1], above.holder if name in INLINE else place, path, away, above.linked or name == "a"))
+        if not raw.rstrip().endswith("/") or name not in ("svg", "path"):
+            places.setdefault(name, []).append(len(stack))
+            if name in SCOPES:
+                scopes.append(len(stack))
+            if name in LISTS:
+                lists.append(len(stack))
+            stack.append(place)
     text(len(source))
     return page
 
 
-def _leave_out(page: Page) -> list[bool]:
-    """For each element, whether it lies in a part that isn't the article's own."""
-    holds_main, in_main = [False] * len(page.elements), [False] * len(page.elements)
-    for k, e in enumerate(page.elements):
-        in_main[k] = e.tag in MAIN_TAGS or (e.parent >= 0 and in_main[e.parent])
-        if e.tag in MAIN_TAGS:
-            up = e.parent
-            while up >= 0 and not holds_main[up]:
-                holds_main[up] = True
-                up = page.elements[up].parent
-    out = [False] * len(page.elements)
-    for k, e in enumerate(page.elements):
-        own = e.away or (e.tag == "header" and not in_main[k]) or (e.named_away and not holds_main[k] and e.tag not in ("html", "body", "article", "main"))
-        out[k] = own or (e.parent >= 0 and out[e.parent])
-    return out
-
-
 def _smooth(values: list[float]) -> list[float]:
     """Each value with its neighbours at weights 1, 2, 1."""
     n = len(values)
     return [(values[max(0, i - 1)] + 2 * values[i] + values[min(n - 1, i + 1)]) / 4 for i in range(n)]
 
 
+def path_weights(page: Page, nodes: list[TextNode]) -> dict[int, float]:
+    """For each path 1, or AGAINST for a name against it and again for lying outside the marked article.
+
+    Places count only if the marked article holds at least half of the text that no name speaks against.
+    """
+    held, rest = 0, 0
+    for n in nodes:
+        if page.inside[n.path]:
+            held += n.size
+        elif not page.against[n.path]:
+            rest += n.size
+    marked = held > 0 and held >= rest
+    return {n.path: (AGAINST if page.against[n.path] else 1.0) * (AGAINST if marked and not page.inside[n.path] else 1.0) for n in nodes}
+
+
 def content_nodes(page: Page, nodes: list[TextNode], share: float = 0.5) -> list[TextNode]:
-    """The nodes whose fused tag-path ratio reaches `share` of the ratios' deviation."""
+    """The nodes of the paths whose mean fused ratio reaches `share` of the ratios' deviation."""
     if not nodes:
         return []
-    by: dict[str, list[float]] = {}
+    total: dict[int, list[float]] = {}
     for n in nodes:
-        total = by.setdefault(page.elements[n.element].path, [0, 0, 0])
-        total[0] += n.size
-        total[1] += n.marks
-        total[2] += 1
-    ratio = [by[page.elements[n.element].path] for n in nodes]
-    lengths, marks = _smooth([t / k for t, _, k in ratio]), _smooth([(p + 1) / k for _, p, k in ratio])
+        own = total.setdefault(n.path, [0, 0, 0])
+        own[0] += n.size
+        own[1] += n.marks
+        own[2] += 1
+    weight = path_weights(page, nodes)
+    lengths = _smooth([weight[n.path] * total[n.path][0] / total[n.path][2] for n in nodes])
+    marks = _smooth([weight[n.path] * (total[n.path][1] + 1) / total[n.path][2] for n in nodes])
     fused = [a * math.sqrt(b) for a, b in zip(lengths, marks, strict=True)]
     mean = sum(fused) / len(fused)
     cut = share * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    return [n for n, f in zip(nodes, fused, strict=True) if f >= cut] or nodes
+    means = dict.fromkeys(total, 0.0)
+    for n, f in zip(nodes, fused, strict=True):
+        means[n.path] += weight[n.path] * f / total[n.path][2]
+    return [n for n in nodes if means[n.path] >= cut * (1 - 1e-9)]
+
+
+def _above(page: Page, element: int) -> list[int]:
+    """The element and those around it, outwards."""
+    out = []
+    while element >= 0:
+        out.append(element)
+        element = page.elements[element].parent
+    return out
 
 
-def _under(page: Page, tops: set[int]) -> list[bool]:
-    """For each element, whether it is one of tops or lies in one."""
+def article_root(page: Page, content: list[TextNode]) -> int:
+    """The marked article around all content, else the deepest element that holds all of it and isn't itself a text element."""
+    common = _above(page, content[0].element)
+    depth = {k: i for i, k in enumerate(common)}
+    low = 0
+    for element in {n.element for n in content}:
+        while element not in depth:
+            element = page.elements[element].parent
+        low = max(low, depth[element])
+    marked = [k for k in common[low:] if page.elements[k].tag in MAIN_TAGS]
+    if marked:
+        return marked[0]
+    return next(k for k in common[low:] if page.elements[k].tag not in TEXT_TAGS)
+
+
+def kept_nodes(page: Page, nodes: list[TextNode], share: float = 0.5) -> list[TextNode]:
+    """The content nodes, and what belongs to them: short text blocks of the element around them, and headings before them."""
+    content = content_nodes(page, nodes, share)
+    if not content:
+        return []
+    chosen, root = set(map(id, content)), article_root(page, content)
     within = [False] * len(page.elements)
     for k, e in enumerate(page.elements):
-        within[k] = k in tops or (e.parent >= 0 and within[e.parent])
-    return within
-
-
-def _headings_before(page: Page, best: int, sized: list[TextNode], within: list[bool]) -> set[int]:
-    """Elements of headings that stand beside the root or an element around it, before it and not inside a part of their own.
-
-    An h1 anywhere before, other headings only if nothing else stands between them and the root.
-    """
-    around, k = set(), page.elements[best].parent
-    while k >= 0:
-        around.add(k)
-        k = page.elements[k].parent
-    heading, branch, bare = {}, {}, {}
-    for n in sized:
-        k, inside = n.element, None
-        while k not in around and k != best:
-            if page.elements[k].tag in HEADINGS:
-                inside = k
-            branch[id(n)] = k
-            k = page.elements[k].parent
-        heading[id(n)] = inside
-        if k != best and id(n) in branch:
-            bare[branch[id(n)]] = bare.get(branch[id(n)], True) and inside is not None
-    found, next_to = set(), True
-    before = sized[: next((i for i, n in enumerate(sized) if within[n.element]), 0)]
-    for n in reversed(before):
-        own = heading[id(n)]
-        if own is None or not bare[branch[id(n)]]:
-            next_to = False
-        elif next_to or page.elements[own].tag == "h1":
-            found.add(own)
-    return found
+        within[k] = k == root or (e.parent >= 0 and within[e.parent])
+    whole = page.elements[root].tag in WHOLE
+    places = [i for i, n in enumerate(nodes) if id(n) in chosen]
+    weight = path_weights(page, nodes)
+    lists: dict[int, list[int]] = {}
+    for n in nodes:
+        own = lists.setdefault(page.elements[n.element].parent, [0, 0])
+        own[0] += n.linked
+        own[1] += n.linked + n.size
+    out = []
+    for i, n in enumerate(nodes):
+        if id(n) not in chosen:
+            tag, around = page.elements[n.element].tag, lists[page.elements[n.element].parent]
+            links = tag not in HEADINGS and (2 * n.linked > n.linked + n.size or (tag not in ("p", "pre", "blockquote") and 2 * around[0] > around[1]))
+            textual = tag in TEXT_TAGS or (whole and tag in WHOLE) or n.marks > 0
+            between = places[0] < i < places[-1] if whole else within[n.element]
+            if weight[n.path] < max(weight.values()) or links or not textual or not between:
+                continue
+        out.append((i, n))
+    if page.elements[root].tag not in MAIN_TAGS:
+        headings, next_to = [], True
+        for i in range(out[0][0] - 1, -1, -1):
+            n = nodes[i]
+            if page.elements[n.element].tag not in HEADINGS or weight[n.path] < max(weight.values()):
+                next_to = False
+            elif next_to or (not headings and page.elements[n.element].tag == "h1"):
+                headings.append((i, n))
+        out = headings[::-1] + out
+    return [n for _, n in out]
 
 
 def extract_blocks(source: str | None, share: float = 0.5) -> list[str]:
     """The article's blocks in page order."""
     page = parse(source or "")
-    out = _leave_out(page)
-    mine = [n for n in page.nodes if not out[n.element]]
-    sized = [n for n in mine if n.size]
-    main = [k for k, e in enumerate(page.elements) if e.tag in MAIN_TAGS and not out[k]]
-    content = content_nodes(page, sized, share)
-    if not content:
-        return []
-    total = 0
-    for n in content:
-        total += n.size
-        k = n.element
-        while k >= 0:
-            page.elements[k].text += n.size
-            k = page.elements[k].parent
-    # Down from the root while one child element holds all content; a marked article ends the way.
-    best, children = 0, {}
-    for k, e in enumerate(page.elements):
-        if e.parent >= 0 and e.text == total and e.tag not in INLINE and e.tag not in HEADINGS and e.tag not in ("p", "li", "td"):
-            children[e.parent] = k
-    while best in children and page.elements[best].tag != "article":
-        best = children[best]
-    if page.elements[best].tag != "article" and len(main) == 1 and page.elements[main[0]].text >= 0.5 * total:
-        best = main[0]
-    within = _under(page, {best})
-    if page.elements[best].tag not in MAIN_TAGS:
-        within = _under(page, {best} | _headings_before(page, best, sized, within))
-    blocks: dict[int, list[str]] = {}
-    for n in mine:
-        if within[n.element]:
-            blocks.setdefault(n.block, []).append(n.text)
-    texts = (" ".join("".join(parts).split()) for parts in blocks.values())
+    texts = (" ".join("".join(n.parts).split()) for n in kept_nodes(page, page.nodes, share))
     return [t for t in texts if t]
 
 
