@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def uniform(key: Column | str, seed: int | str) -> Column:
@@ -45,10 +47,43 @@ def interpolated(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> C
     return F.when(x == x0, y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: `spark.checkpoint.dir`.
+
+    Where it is unset, a temporary folder of this machine is set and used if all tasks run on it too; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="nubila-")
+    if not current.isDefined():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by checkpoint() in the folder that all executors share."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nubila-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def ranked(df: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
+    """df with each row's place from 1 in the whole table's order; no task sees more than its range of rows.
+
+    Rows are dealt into ranges of the order and checkpointed, so ranges stay as they are; a rank is the place inside its range and
+    the rows of the ranges before, of which there is one number each. `order` must end with a unique column.
+    """
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    # One row for each range.
+    return dealt.withColumn("__place", place).join(F.broadcast(before), "__range").withColumn(rank, F.col("__place") + F.col("__before")).drop("__range", "__place", "__before")

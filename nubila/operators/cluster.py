@@ -31,13 +31,14 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         labels = labels.select("id", "component")
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int = 8, axes: Sequence[str] = ("x", "y"), first_label: int = 0) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: int = 8, axes: Sequence[str] = ("x", "y"), first_label: int = 0, pairs: DataFrame | None = None) -> DataFrame:
     """points with cluster_label: noise -1, clusters numbered by their smallest core id.
 
     A core point has min_samples points within eps, itself included; a border point takes the smallest of its clusters, so the
-    result is that of a scan in id order whatever the partitioning.
+    result is that of a scan in id order whatever the partitioning. pairs: a range join (a_id, b_id, d2) of at least that radius,
+    if there is one already.
     """
-    pairs = checkpointed(range_join(points, points, eps, axes).select("a_id", "b_id"))
+    pairs = checkpointed(range_join(points, points, eps, axes).select("a_id", "b_id")) if pairs is None else pairs.where(F.col("d2") <= eps * eps).select("a_id", "b_id")
     core = checkpointed(pairs.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a_id").alias("id")))
     to_core = pairs.join(core.withColumnRenamed("id", "b_id"), "b_id", "left_semi")
     edges = to_core.join(core.withColumnRenamed("id", "a_id"), "a_id", "left_semi").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
@@ -83,6 +84,32 @@ def sparse_half(clustered: DataFrame, label: str = "kmeans_label") -> DataFrame:
     return dense.withColumn("sparse", rank <= F.round(F.count("*").over(everything) / 2))
 
 
+def misplaced(clustered: DataFrame, label: str, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """points, clusters, and how many points lie clearly nearer to another cluster's mean than to their own."""
+    means = clustered.groupBy(label).agg(*[F.avg(a).alias(f"__{a}") for a in axes]).withColumnRenamed(label, "__label")
+    d2 = sum((F.col(a) - F.col(f"__{a}")) * (F.col(a) - F.col(f"__{a}")) for a in axes)
+    # One row for each cluster.
+    each = clustered.crossJoin(F.broadcast(means)).withColumn("__d2", d2)
+    nearest = each.groupBy("id", label).agg(F.min("__d2").alias("least"), F.min(F.when(F.col("__label") == F.col(label), F.col("__d2"))).alias("own"))
+    return nearest.agg(F.count("*").alias("points"), F.count_distinct(label).alias("clusters"), F.count(F.when(F.sqrt("own") > F.sqrt("least") * 1.1 + 1, 1)).alias("misplaced"))
+
+
+def segment_by_clusters(points: DataFrame, label: str, flip: float, seed: int = 1) -> DataFrame:
+    """points with class 1 in the denser half of the clusters, else 0, each flipped with a probability."""
+    from nubila.operators.filters import flip_class
+
+    half = sparse_half(points, label).select(F.col(label).alias("__label"), F.when(F.col("sparse"), 0).otherwise(1).alias("class"))
+    return flip_class(points.join(half, F.col(label) == F.col("__label")).drop("__label"), "class", flip, seed)
+
+
+def segment_by_neighbours(points: DataFrame, cutoff: float, flip: float, seed: int = 1) -> DataFrame:
+    """id and class: whether the mean distance to the nearest neighbours exceeds the cut-off, each flipped with a probability."""
+    from nubila.operators.filters import flip_class, threshold_class
+    from nubila.operators.spatial import adaptive_mean_nearest
+
+    return flip_class(threshold_class(adaptive_mean_nearest(points), "distance", cutoff).select("id", "class"), "class", flip, seed)
+
+
 # --- hulls -----------------------------------------------------------------------------------------------------------------
 
 

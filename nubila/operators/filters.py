@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nubila.functions.core import uniform
+from nubila.functions.core import ranked, uniform
 
 
 def _against(df: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,9 +70,13 @@ def modal_window(df: DataFrame, column: str = "z", width: float = 10.0, reach: f
 
 def trim_low_density(df: DataFrame, column: str, share: float = 0.05, keys: Sequence[str] = (), order: str = "id") -> DataFrame:
     """Drops the round(share n) + 1 largest values of a mean-distance column, and zeros."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = df.withColumn("__rank", F.row_number().over(w.orderBy(column, order))).withColumn("__n", F.count("*").over(w))
-    return ranked.where((F.col("__rank") <= F.col("__n") - F.round(share * F.col("__n")) - 1) & (F.col(column) > 0)).drop("__rank", "__n")
+    if keys:
+        w = Window.partitionBy(*keys)
+        placed = df.withColumn("__rank", F.row_number().over(w.orderBy(column, order))).withColumn("__n", F.count("*").over(w))
+    else:
+        placed = ranked(df, column, order, rank="__rank")
+        placed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("__n"))))
+    return placed.where((F.col("__rank") <= F.col("__n") - F.round(share * F.col("__n")) - 1) & (F.col(column) > 0)).drop("__rank", "__n")
 
 
 def in_mask(df: DataFrame, mask: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] = ("ix", "iy")) -> DataFrame:
@@ -120,3 +124,16 @@ def viewer_layers(df: DataFrame, size_scale: float = 1.0, channel: str = "channe
 def where_line(df: DataFrame, predicate: Callable[[Column], Column], line: str = "line") -> DataFrame:
     """Rows whose line number satisfies a predicate."""
     return df.where(predicate(F.col(line)))
+
+
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    """Channels or replicates below each other, matched by column name; columns that one lacks are null there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def plot_limit(df: DataFrame, column: str, share: float = 0.99, keys: Sequence[str] = ()) -> DataFrame:
+    """Upper limit of a plot's colours: an interpolated quantile of the values."""
+    return df.groupBy(*keys).agg(F.percentile(column, F.lit(share)).alias("upper"))

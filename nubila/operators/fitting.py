@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nubila.functions.core import checkpointed
 from nubila.operators.cluster import cluster_geometry, cluster_sizes, dbscan
+from nubila.operators.spatial import range_join
 
 #: Cost where no cluster is found.
 NO_CLUSTER = 99999.0
@@ -92,17 +94,17 @@ def resampled(profile: DataFrame, keys: Sequence[str], points: int = 100, y: str
 
 
 def eps_grid_cost(points: DataFrame, radii: Sequence[float], target: float, min_samples: int = 8, metric: str = "bb_2D") -> DataFrame:
-    """|mean cluster size - target| for each radius; 99999 where no cluster is found."""
-    out = None
+    """|mean cluster size - target| for each radius; 99999 where no cluster is found. Points are joined once, at the largest."""
+    pairs, out = checkpointed(range_join(points, points, max(radii), ("x", "y"))), None
     for eps in radii:
-        sizes = sizes_at(points, eps, min_samples, metric)
+        sizes = sizes_at(points, eps, min_samples, metric, pairs)
         one = sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.abs(F.avg(metric) - target), F.lit(NO_CLUSTER)).alias("cost")).select(F.lit(float(eps)).alias("eps"), "clusters", "cost")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def sizes_at(points: DataFrame, eps: float, min_samples: int, metric: str) -> DataFrame:
-    clustered = dbscan(points, eps, min_samples)
+def sizes_at(points: DataFrame, eps: float, min_samples: int, metric: str, pairs: DataFrame | None = None) -> DataFrame:
+    clustered = dbscan(points, eps, min_samples, pairs=pairs)
     return (cluster_sizes(clustered) if metric.startswith("bb") else cluster_geometry(clustered)).select("cluster_label", metric)
 
 
@@ -155,6 +157,23 @@ def find_eps(points: DataFrame, target: float, low: float = 10.0, high: float =
     return bounded_minimum(cost, low, high, tolerance)
 
 
+def with_targets(samples: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows of each fraction with the target of the same fraction, whatever their order."""
+    key = lambda df: df.withColumn("__f", F.round(F.col("fraction") * 1e6).cast("long"))
+    return key(samples).join(key(targets).drop("fraction"), "__f").drop("__f")
+
+
+def chained_radii(samples: DataFrame, targets: dict[float, float], start: float = 30.0, back: float = 2.0, **search) -> DataFrame:
+    """fraction, eps, cost, steps: step halving for each fraction, dense first; each search starts at the last result less `back`."""
+    rows = []
+    for fraction, target in sorted(targets.items(), reverse=True):
+        part = samples.where(F.abs(F.col("fraction") - fraction) < 1e-9)
+        eps, cost, steps = halving_search(lambda e: signed_cost(part, e, target), start, **search)  # noqa: B023
+        rows.append((float(fraction), float(eps), float(cost), int(steps)))
+        start = max(eps - back, 1.0)
+    return samples.sparkSession.createDataFrame(rows, "fraction double, eps double, cost double, steps int")
+
+
 def calibrated_power_law(samples: DataFrame, targets: dict[float, float], area: float, low: float = 10.0, high: float = 200.0, tolerance: float = 2.0) -> DataFrame:
     """Radius for each fraction (paired with its target by fraction), its density, and the power law through them."""
     rows = []

@@ -150,3 +150,59 @@ def interpolated_lookup(knots: DataFrame, x: str, y: str, low: float, high: floa
     grid = spans.where(end_k >= first_k).withColumn("k", F.explode(F.sequence(first_k, end_k)))
     at = F.lit(low) + F.col("k") * step
     return grid.select(at.alias("x"), interpolated(at, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("y"))
+
+
+def abundance(points: DataFrame, clusters: DataFrame, counts: DataFrame, keys: Sequence[str] = (), first: str = "C1", second: str = "C2") -> DataFrame:
+    """Points of both channels and their ratio, clusters of both, and the mean neighbours of a point over the channel's points.
+
+    points: keys, channel. clusters: keys, channel, one row each. counts: keys, channel, id, within (its largest for each point).
+    """
+    n = lambda c, name: F.count(F.when(F.col("channel") == c, 1)).alias(name)
+    mean = lambda c, name: F.avg(F.when(F.col("channel") == c, F.col("within"))).alias(name)
+    sizes = points.groupBy(*keys).agg(n(first, "n1"), n(second, "n2"))
+    groups = clusters.groupBy(*keys).agg(n(first, "clusters1"), n(second, "clusters2"))
+    around = counts.groupBy(*keys).agg(mean(first, "within1"), mean(second, "within2"))
+    joined = sizes.join(groups, list(keys), "left").join(around, list(keys), "left") if keys else sizes.crossJoin(F.broadcast(groups)).crossJoin(F.broadcast(around))
+    share = lambda a, b: F.try_divide(F.col(a), F.col(b).cast("double"))
+    return joined.select(*keys, "n1", "n2", share("n1", "n2").alias("ratio"), F.coalesce("clusters1", F.lit(0)).alias("clusters1"), F.coalesce("clusters2", F.lit(0)).alias("clusters2"), share("within1", "n1").alias("surround1"), share("within2", "n2").alias("surround2"))
+
+
+def empirical_parameters(points: DataFrame, bands: DataFrame, box: DataFrame, size: float = 50.0, radius: float = 200.0, step: float = 10.0, z_stretch: float = 1.5) -> DataFrame:
+    """What a simulation needs of a real cell, in one table (kind, step, k, value).
+
+    profile: points per cell of each band from 1 (k is null). ring: how many points have k neighbours, themselves included, in each
+    ring. z: the axial stretch of each ring. origin: the grid's corner, x as step 0 and y as step 1.
+    """
+    from nubila.operators import raster
+
+    null = F.lit(None).cast("long")
+    density = raster.band_profile(raster.on_grid(points, box, size), bands).where("band >= 1")
+    profile = density.select(F.lit("profile").alias("kind"), F.col("band").cast("long").alias("step"), null.alias("k"), F.col("density").alias("value"))
+    rings = ring_histogram(ring_counts(points, points, radius, step, ("x", "y")))
+    histogram = rings.select(F.lit("ring").alias("kind"), F.col("ring").cast("long").alias("step"), F.col("k").cast("long").alias("k"), F.col("freq").cast("double").alias("value"))
+    stretch = points.sparkSession.range(1, int(radius // step) + 1).select(F.lit("z").alias("kind"), F.col("id").alias("step"), null.alias("k"), F.lit(z_stretch).alias("value"))
+    corner = box.select(F.lit("origin").alias("kind"), F.posexplode(F.array("x0", "y0")).alias("step", "value")).select("kind", F.col("step").cast("long").alias("step"), null.alias("k"), "value")
+    return profile.unionByName(histogram).unionByName(stretch).unionByName(corner)
+
+
+def decay_segments(own: DataFrame, other: DataFrame, radius: float = 1000.0, step: float = 10.0, keys: Sequence[str] = (), first: int = 20) -> DataFrame:
+    """The falling part of the scaled contact ratio: keys, ring, r, value."""
+    ratio = contact_ratio(own, other, radius, step, keys).select(*keys, "ring", F.col("ratio").alias("value"))
+    from nubila.operators.filters import drop_unstable_start
+
+    scaled = min_max(drop_unstable_start(ratio, "value", keys), "value", keys, first).select(*keys, "ring", F.col("scaled").alias("value"))
+    return falling_segment(scaled, "value", keys, first).withColumn("r", F.col("ring") * step)
+
+
+def decay_constants(own: DataFrame, other: DataFrame, radius: float = 1000.0, step: float = 10.0, keys: Sequence[str] = (), first: int = 20) -> DataFrame:
+    """a and b of the exponential through the falling part of the contact ratio: keys, a, b."""
+    from nubila.operators.fitting import exponential_fits
+
+    return exponential_fits(decay_segments(own, other, radius, step, keys, first), keys, "r", "value")
+
+
+def ground_truth_width(histogram: DataFrame, step: float = 10.0, share: float = 0.2, keys: Sequence[str] = ()) -> DataFrame:
+    """Width of a domain: twice the first radius where the expected density, less its least, is under a share of its largest."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    density = expected_shell_counts(histogram, step, keys)
+    return width_at(density.withColumn("value", F.col("value") - F.min("value").over(w)), "value", share, step, keys)

@@ -9,6 +9,8 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,7 +72,9 @@ def heat_voxels(points: DataFrame, size: float, keys: Sequence[str] = ()) -> Dat
 def dense(shape: DataFrame, keys: Sequence[str] = (), margin: int = 0) -> DataFrame:
     """All cells of the grids, with a margin around them."""
     span = lambda n: F.explode(F.sequence(F.lit(-margin), F.col(n) - 1 + margin))
-    return shape.select(*keys, span("nx").alias("ix"), "ny").select(*keys, "ix", span("ny").alias("iy"))
+    # The rows of cells go over all tasks before they are spread out.
+    rows = shape.select(*keys, span("nx").alias("ix"), "ny").repartition(*keys, "ix")
+    return rows.select(*keys, "ix", span("ny").alias("iy"))
 
 
 def gaussian_kernel(sigma: float, radius: int) -> list[float]:
@@ -168,20 +172,48 @@ def peel(mask: DataFrame, offsets: Sequence[tuple[int, int]] = disk(5), keys: Se
             return rings
 
 
+def lower_envelope(heights: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The least of heights[k] + (at - places[k])^2 at each of the sorted places `at`, in linear time; places are sorted."""
+    kept, begins = [0], [-math.inf]
+    for k in range(1, len(places)):
+        while True:
+            j = kept[-1]
+            cross = (heights[k] + places[k] ** 2 - heights[j] - places[j] ** 2) / (2 * (places[k] - places[j]))
+            if cross > begins[-1]:
+                break
+            kept.pop()
+            begins.pop()
+        kept.append(k)
+        begins.append(cross)
+    best = np.array(kept)[np.searchsorted(np.array(begins), at, side="right") - 1]
+    return heights[best] + (at - places[best]) ** 2
+
+
 def distance_map(mask: DataFrame, shape: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Euclidean distance of each mask cell to the nearest background cell of the grid, null where there is none.
 
-    Exact in two passes: the nearest background along x by window, then the least of its square plus the square along y.
+    Exact and linear in the grid: the nearest background along x by window, then for each column of cells, which is as long as the
+    grid is high, the lower envelope of the parabolas that these distances open along y.
     """
     cells = dense(shape, keys).join(mask.withColumn("set", F.lit(1)), [*keys, "ix", "iy"], "left")
     w = Window.partitionBy(*keys, "iy").orderBy("ix")
     empty = F.when(F.col("set").isNull(), F.col("ix"))
     before = F.last(empty, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(empty, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = cells.select(*keys, "ix", "iy", "set", F.least(F.col("ix") - before, after - F.col("ix")).alias("g"))
-    column = near.where("g is not null").select(*keys, "ix", F.col("iy").alias("jy"), "g")
-    best = near.where("set = 1").drop("g").join(column, [*keys, "ix"]).groupBy(*keys, "ix", "iy").agg(F.min(F.col("g") * F.col("g") + (F.col("iy") - F.col("jy")) * (F.col("iy") - F.col("jy"))).alias("d2"))
-    return mask.join(best, [*keys, "ix", "iy"], "left").select(*keys, "ix", "iy", F.sqrt("d2").alias("distance"))
+    near = cells.select(*keys, "ix", "iy", "set", F.least(F.col("ix") - before, after - F.col("ix")).cast("double").alias("g"))
+    kinds = dict(near.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in (*keys, "ix", "iy")], "distance double"])
+
+    def column(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("iy")
+        known, mine = pdf["g"].notna().to_numpy(), pdf["set"].notna().to_numpy()
+        out = pdf.loc[mine, [*keys, "ix", "iy"]].copy()
+        y = pdf["iy"].to_numpy(float)
+        out["distance"] = np.sqrt(lower_envelope(pdf["g"].to_numpy(float)[known] ** 2, y[known], y[mine])) if known.any() else np.nan
+        return out
+
+    found = near.groupBy(*keys, "ix").applyInPandas(column, schema)
+    return found.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
 
 
 def radial_bands(distances: DataFrame, bands: int = 100, keys: Sequence[str] = ()) -> DataFrame:
@@ -226,3 +258,40 @@ def ring_statistics(rings: DataFrame, points: DataFrame, px: float, least: int =
     counts = points.join(rings, [*keys, "ix", "iy"]).groupBy(*keys, "ring").agg(n("C1").alias("n1"), n("C2").alias("n2"))
     joined = area.join(counts, [*keys, "ring"]).where(F.col("n1") > least)
     return joined.select(*keys, "ring", "n1", "n2", "area", (F.col("n2") / F.col("n1")).alias("ratio"), (F.col("n1") / F.col("area")).alias("density1"), (F.col("n2") / F.col("area")).alias("density2"))
+
+
+def filled_outline(vertices: DataFrame, shape: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Cells of a closed polygon and all that it encloses."""
+    return fill_holes(outline(vertices, keys), shape, keys)
+
+
+def projected_area(voxels: DataFrame, px: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Area, in square micrometres, of the cells (ix, iy) that any slice of a mask of voxels has."""
+    return voxels.select(*keys, "ix", "iy").distinct().groupBy(*keys).agg((F.count("*") * (px / 1000) ** 2).alias("area"))
+
+
+def two_step_mask(grid: DataFrame, shape: DataFrame, cut: float, within: DataFrame | None = None, keys: Sequence[str] = (), sigmas: tuple[float, float] = (1.0, 2.0)) -> DataFrame:
+    """Values smoothed, cut to a mask (inside another one if given) and the mask smoothed again, with replicated borders.
+
+    Kernels reach two sigmas to each side, rounded up: five and nine cells.
+    """
+    first = gaussian(grid, shape, sigmas[0], math.ceil(2 * sigmas[0]), "replicate", keys)
+    mask = threshold(first, cut, keys)
+    mask = mask if within is None else mask.join(within, [*keys, "ix", "iy"], "left_semi")
+    return gaussian(mask.withColumn("value", F.lit(1.0)), shape, sigmas[1], math.ceil(2 * sigmas[1]), "replicate", keys)
+
+
+def weighted_rings(inner: DataFrame, profile: DataFrame, outer: DataFrame | None = None, outer_profile: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Density and ratio of each cell, from rings (ix, iy, ring) and profiles (ring, density, ratio): keys, ix, iy, density, ratio.
+
+    Inner rings are weighed by density and ratio^1.5. Outer ones, grown from nucleoli, count in the first quarter of their rings,
+    by density and ratio / 2.5 + 0.45; where both reach a cell the larger value stands.
+    """
+    mine = inner.join(profile, [*keys, "ring"]).select(*keys, "ix", "iy", "density", F.pow("ratio", F.lit(1.5)).alias("ratio"))
+    if outer is None or outer_profile is None:
+        return mine
+    last = outer.groupBy(*keys).agg(F.max("ring").alias("__last"))
+    near = _with(outer, last, keys).where(F.col("ring") <= F.round(F.col("__last") / 4)).drop("__last")
+    theirs = near.join(outer_profile, [*keys, "ring"]).select(*keys, "ix", "iy", F.col("density").alias("__density"), (F.col("ratio") / 2.5 + 0.45).alias("__ratio"))
+    both = mine.join(theirs, [*keys, "ix", "iy"], "full")
+    return both.select(*keys, "ix", "iy", F.greatest("density", "__density").alias("density"), F.greatest("ratio", "__ratio").alias("ratio"))

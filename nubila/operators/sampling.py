@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nubila.functions.core import uniform
+from nubila.functions.core import ranked, uniform
 
 
 def sample_fractions(df: DataFrame, steps: int = 10, seed: int = 42, keys: Sequence[str] = (), key: str = "id") -> DataFrame:
@@ -17,27 +17,44 @@ def sample_fractions(df: DataFrame, steps: int = 10, seed: int = 42, keys: Seque
 
     Each has exactly round(fraction n) rows; smaller samples are parts of larger ones.
     """
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = df.withColumn("__rank", F.row_number().over(w.orderBy(uniform(key, seed), key))).withColumn("__n", F.count("*").over(w))
-    each = ranked.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    return each.where(F.col("__rank") <= F.round(F.col("__n") * F.col("__k") / steps)).withColumn("fraction", F.col("__k") / steps).drop("__rank", "__n", "__k")
+    drawn = df.withColumn("__u", uniform(key, seed))
+    if keys:
+        w = Window.partitionBy(*keys)
+        placed = drawn.withColumn("__rank", F.row_number().over(w.orderBy("__u", key))).withColumn("__n", F.count("*").over(w))
+    else:
+        placed = ranked(drawn, "__u", key, rank="__rank")
+        placed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("__n"))))
+    each = placed.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    return each.where(F.col("__rank") <= F.round(F.col("__n") * F.col("__k") / steps)).withColumn("fraction", F.col("__k") / steps).drop("__u", "__rank", "__n", "__k")
 
 
 def stride_sample(df: DataFrame, stride: int, order: str = "id", keys: Sequence[str] = ()) -> DataFrame:
     """Rows 1, 1 + stride, ... in order."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return df.withColumn("__rank", F.row_number().over(w.orderBy(order))).where((F.col("__rank") - 1) % stride == 0).drop("__rank")
+    placed = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))) if keys else ranked(df, order, rank="__rank")
+    return placed.where((F.col("__rank") - 1) % stride == 0).drop("__rank")
 
 
-def poisson(u: Column, rate: Column, most: int = 60) -> Column:
-    """Poisson count by inverse distribution: the number of cumulative probabilities at or below u."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
+def evenly_picked(df: DataFrame, picks: int, order: str = "id") -> DataFrame:
+    """Rows at evenly spaced places of an order, the first and the last among them, with their place from 1."""
+    placed = ranked(df, order, rank="place")
+    n = placed.agg(F.max("place").alias("__n"))
+    wanted = n.select(F.explode(F.sequence(F.lit(0), F.lit(picks - 1))).alias("i"), "__n").select((1 + F.round(F.col("i") * (F.col("__n") - 1) / max(picks - 1, 1))).cast("long").alias("place"))
+    return placed.join(F.broadcast(wanted.distinct()), "place", "left_semi")
+
+
+def poisson(u: Column, rate: Column) -> Column:
+    """Poisson count by inverse distribution: the number of cumulative probabilities at or below u.
+
+    Terms are summed in the logarithm as far as rate + 12 sqrt(rate) + 40, beyond which less probability lies than u resolves.
+    """
+    terms = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int"))
+    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * rate / k
-        return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), (acc["n"] + F.when(acc["cdf"] <= u, 1).otherwise(0)).alias("n"))
+        log_p = acc["log_p"] + F.ln(rate / k)
+        return F.struct(log_p.alias("log_p"), (acc["cdf"] + F.exp(log_p)).alias("cdf"), (acc["n"] + F.when(acc["cdf"] <= u, 1).otherwise(0)).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc["n"])
+    return F.when(rate > 0, F.aggregate(terms, start, step, lambda acc: acc["n"])).otherwise(0)
 
 
 def _placed(cells: DataFrame, px: float, x0: float, y0: float, seed: int, key: Column) -> DataFrame:
@@ -65,14 +82,23 @@ def plant_two_channels(cells: DataFrame, seed: int = 1) -> DataFrame:
     return cells.withColumn("channel", F.when(u < F.col("t_m"), "C1").when(u > 1 - F.col("t_a"), "C2")).where("channel is not null")
 
 
+def seed_thresholds(cells: DataFrame, n_first: float, n_second: float, area_ratio: float, first_volume: float = 561_000_000.0, second_volume: float = 425_110_000.0) -> DataFrame:
+    """cells (density, ratio, slice_share) with t_m and t_a, the chances of a seed of either channel in a voxel.
+
+    area_ratio is the real nucleus's area over the simulated one's; a ratio of 0 gives no second seeds.
+    """
+    first = n_first * F.col("density") * F.col("slice_share") / (first_volume * area_ratio)
+    second = F.try_divide(n_second * F.col("density"), F.col("ratio")) * F.col("slice_share") / (second_volume * area_ratio)
+    return cells.withColumn("t_m", first).withColumn("t_a", F.coalesce(second, F.lit(0.0)))
+
+
 def with_random_z(seeds: DataFrame, z: DataFrame, seed: int = 1, key: Column | None = None) -> DataFrame:
     """seeds with z drawn with replacement from a column of observed values (id, z), by random rank."""
-    w = Window.partitionBy(F.lit(0))
-    ranked = z.select(F.row_number().over(w.orderBy("id")).alias("__rank"), "z", F.count("*").over(w).alias("__n"))
-    n = ranked.agg(F.max("__n").alias("__n"))
+    places = ranked(z.select("id", "z"), "id", rank="__rank")
+    n = places.agg(F.max("__rank").alias("__n"))
     key = F.concat_ws(",", "ix", "iy") if key is None else key
-    drawn = seeds.crossJoin(F.broadcast(n)).withColumn("__rank", (F.floor(uniform(key, f"z{seed}") * F.col("__n")) + 1).cast("int")).drop("__n")
-    return drawn.join(ranked.drop("__n"), "__rank").drop("__rank")
+    drawn = seeds.crossJoin(F.broadcast(n)).withColumn("__rank", (F.floor(uniform(key, f"z{seed}") * F.col("__n")) + 1).cast("long")).drop("__n")
+    return drawn.join(places.select("__rank", "z"), "__rank").drop("__rank")
 
 
 def cumulative(histogram: DataFrame, keys: Sequence[str] = ("ring",)) -> DataFrame:
@@ -100,6 +126,26 @@ def spawn_domains(seeds: DataFrame, histogram: DataFrame, step: float = 10.0, z_
     return placed.select("seed_id", "ring", "copy", (F.col("x") + across * F.cos("__t")).alias("x"), (F.col("y") + across * F.sin("__t")).alias("y"), (F.col("z") + F.col("__r") * F.cos("__p") * z_degradation).alias("z"), F.col("seed_id").alias("cluster_label"), F.lit(110.0).alias("sigma_x"))
 
 
+def spawn_rings(seeds: DataFrame, histogram: DataFrame, shrink: DataFrame, step: float = 10.0, z_spread: float = 2.8, seed: int = 1) -> DataFrame:
+    """Localizations around seeds (seed_id, x, y, z) on flat rings with an axial spread.
+
+    For each seed and ring the first bin (histogram: ring, k, freq) whose cumulative share exceeds the roll is taken; the count is
+    the rounded middle of its edges k and k + 1, each first divided by 6 ratio and rounded. shrink: ring, ratio, z_ratio. A point
+    lies at ring + u steps in a random direction, and z_spread * sqrt(r'^2 / 2) / z_ratio above or below, r' within a step of ring.
+    """
+    steps = cumulative(histogram).withColumn("before", F.greatest("before", F.lit(0.0)))
+    edge = lambda k: F.round(k / (6 * F.col("ratio")))
+    counted = steps.join(shrink, "ring").withColumn("count", F.round((edge(F.col("k")) + edge(F.col("k") + 1)) / 2).cast("int"))
+    rings = seeds.crossJoin(shrink.select("ring"))  # a histogram has some dozens of rings
+    rolled = rings.withColumn("u", uniform(F.concat_ws(",", "seed_id", "ring"), seed)).alias("s").join(counted.alias("h"), (F.col("s.ring") == F.col("h.ring")) & (F.col("u") < F.col("cdf")) & (F.col("u") >= F.col("before")))
+    copies = rolled.where("count > 0").select("s.*", "h.z_ratio", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+    key = F.concat_ws(",", "seed_id", "ring", "copy")
+    far, angle = (F.col("ring") + uniform(key, f"r{seed}")) * step, 2 * math.pi * uniform(key, f"t{seed}")
+    axial = (F.col("ring") + 2 * uniform(key, f"a{seed}") - 1) * step
+    side = F.when(uniform(key, f"s{seed}") < 0.5, -1.0).otherwise(1.0)
+    return copies.select("seed_id", "ring", "copy", (F.col("x") + far * F.cos(angle)).alias("x"), (F.col("y") + far * F.sin(angle)).alias("y"), (F.col("z") + z_spread * side * F.sqrt(axial * axial / 2) / F.col("z_ratio")).alias("z"))
+
+
 def random_outline(spark, vertices: int = 250, radius: float = 60.0, wobble: float = 0.02, seed: int = 1, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Integer vertices (order, ix, iy) of a closed outline whose radius walks randomly and returns to its start."""
     rows = spark.range(1, vertices + 1).select(F.col("id").alias("order"))

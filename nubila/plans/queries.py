@@ -290,7 +290,7 @@ RATIO = f"{PTS}, {rings_sql('o', 'C1', 'C1', True)}, {rings_sql('c', 'C1', 'C2',
 
 @query(f"WITH {RATIO} SELECT om.ring, (om.ring * 10)::DOUBLE AS r, round(om.v, 6) AS own, round(cm.v, 6) AS other, round(om.v / nullif(cm.v, 0), 6) AS ratio FROM om JOIN cm ON om.ring = cm.ring")
 def contact_ratio(spark, d):
-    p = filters.filter_axial(points(spark, d), -1.0, "z", ["channel"])
+    p = points(spark, d)
     return shaped(profiles.contact_ratio(channel(p, "C1"), channel(p, "C2"), 100.0), "ring", "r own other ratio")
 
 
@@ -404,11 +404,6 @@ def density_2d(spark, d):
     return g.select(F.col("label").cast("long").alias("label"), "n", F.round("density_2D", 9).alias("density"))
 
 
-@query()
-def hull_volume_3d(spark, d):
-    return cluster.cluster_geometry(points(spark, d), ("label",)).select("label", "n", "hull_3D", "density_3D", "centroid", F.size("vertices").alias("vertices"))
-
-
 @query()
 def cluster_characteristics(spark, d):
     return cluster.cluster_geometry(clustered(spark, d))
@@ -419,11 +414,6 @@ def kmeans_density(spark, d):
     return cluster.sparse_half(cluster.kmeans(points(spark, d), 10))
 
 
-@query()
-def adaptive_knn_class(spark, d):
-    return filters.threshold_class(spatial.adaptive_mean_nearest(points(spark, d)), "distance", 100.0)
-
-
 # --- sampling and simulation -----------------------------------------------------------------------------------------------------
 
 
@@ -471,11 +461,6 @@ def spawn_domains(spark, d):
     return shaped(sampling.spawn_domains(seeds, histogram), "seed_id ring copy", "x y z")
 
 
-@query()
-def nucleus_outline(spark, d):
-    return raster.outline(sampling.random_outline(spark))
-
-
 # --- fits and profiles -----------------------------------------------------------------------------------------------------------
 
 
@@ -567,15 +552,27 @@ def resample_100(spark, d):
 # --- text reader -----------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH l AS (SELECT doc_id, line, value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE text IS NOT NULL))
-SELECT doc_id, line - 1 AS line, translate(replace(regexp_replace(value, '[0-9]+', '#', 'g'), 'the ', 'THE '), ',;', '..') AS value FROM l WHERE line > 1 AND line - 1 BETWEEN 1 AND 20 AND (line - 1) % 2 = 1 AND NOT contains(value, 'http') AND (contains(value, 'a') OR contains(value, 'e'))""")
-def reader_ops(spark, d):
+LINES = "l AS (SELECT doc_id, line, value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE text IS NOT NULL))"
+
+
+def document_lines(spark, d):
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "value"))
-    lines = docs.select("doc_id", (F.col("p") + 1).cast("long").alias("line"), "value")
-    out = text.clean_lines(lines, [("[0-9]+", "#")], [(("the ",), "THE ")], [",;."], ["http"], ["a", "e"], lambda n: n % 2 == 1, (1, 20), 1)
+    return docs.select("doc_id", (F.col("p") + 1).cast("long").alias("line"), "value")
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line - 1 AS line, translate(replace(regexp_replace(value, '[0-9]+', '#', 'g'), 'the ', 'THE '), ',;', '..') AS value FROM l WHERE line > 1 AND NOT contains(value, 'http') AND (contains(value, 'a') OR contains(value, 'e'))""")
+def reader_ops(spark, d):
+    """Replacements and line filters over all lines after the first."""
+    out = text.clean_lines(document_lines(spark, d), [("[0-9]+", "#")], [(("the ",), "THE ")], [",;."], ["http"], ["a", "e"], header_lines=1)
     return out.select("doc_id", "line", "value")
 
 
+@query(f"WITH {LINES} SELECT doc_id, line, value FROM l WHERE line BETWEEN 2 AND 20 AND line % 2 = 1")
+def reader_rows(spark, d):
+    """The reader's row range, and its predicate on line numbers."""
+    return text.clean_lines(document_lines(spark, d), select=lambda n: n % 2 == 1, rows=(2, 20)).select("doc_id", "line", "value")
+
+
 @query("SELECT event_id AS line FROM events WHERE (event_id BETWEEN 10 AND 40) OR (event_id BETWEEN 100 AND 100) OR (event_id BETWEEN 500 AND 900)")
 def interval_rows(spark, d):
     spans = spark.createDataFrame([(10, 40), (100, 100), (500, 900)], "low long, high long")
@@ -585,3 +582,6 @@ def interval_rows(spark, d):
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship query on the smallest tables."""
     return contact_ratio(spark, "/root/testdata/sf0.001")
+
+
+from nubila.plans import files, models  # noqa: E402, F401  (they register their queries here)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 NUMBER = re.compile(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eEdD][+-]?\d+)?$|^[+-]?(?:nan|inf)$", re.I)
-#: Lines that are looked at to guess a file's form.
+#: Lines that are looked at to guess a file's form: its header, delimiter and decimal mark. Columns are counted over all lines.
 SAMPLE = 200
+#: Lines of a block in flatten_blocks, and least width of a bucket in in_intervals.
+LINES, BUCKET = 100_000, 1024
 
 
 def read_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
@@ -108,7 +110,12 @@ def flatten_blocks(lines: DataFrame, columns: int, delimiter: str = " ") -> Data
     """
     pattern = r"\s+" if delimiter == " " else re.escape(delimiter)
     split = lines.select("line", F.filter(F.split(F.trim("value"), pattern, -1), lambda p: F.trim(p) != "").alias("p"))
-    before = split.withColumn("__at", F.coalesce(F.sum(F.size("p")).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Blocks of lines, of which there is one count each, are summed up first; then the lines inside each block.
+    split = split.withColumn("__block", F.floor(F.col("line") / LINES))
+    sizes = split.groupBy("__block").agg(F.sum(F.size("p")).alias("n"))
+    first = sizes.select("__block", F.coalesce(F.sum("n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    inside = F.coalesce(F.sum(F.size("p")).over(Window.partitionBy("__block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = split.withColumn("__inside", inside).join(first, "__block").withColumn("__at", F.col("__inside") + F.col("__first"))
     each = before.select("__at", F.posexplode("p").alias("i", "v")).select((F.col("__at") + F.col("i")).alias("k"), F.col("v").try_cast("double").alias("v"))
     rows = each.groupBy(F.floor(F.col("k") / columns).alias("r"))
     return rows.agg(*[F.max(F.when(F.col("k") % columns == i, F.col("v"))).alias(f"c{i + 1}") for i in range(columns)]).select((F.col("r") + 1).alias("line"), *[f"c{i + 1}" for i in range(columns)])
@@ -117,7 +124,8 @@ def flatten_blocks(lines: DataFrame, columns: int, delimiter: str = " ") -> Data
 def read_matrix(spark: SparkSession, path: str, columns: int | None = None, header_lines: int | None = None, delimiter: str | None = None, decimal_comma: bool | None = None, kinds: Sequence[str] | str = "double", mode: str = "matrix", line_sep: str | None = None, grow: bool = False, **cleaning) -> DataFrame:
     """A text file as a numeric table (mode "matrix", "line", "auto"), re-dealt numbers ("block") or clean lines ("char", "cell", "string").
 
-    What isn't given is guessed from the first lines. grow takes the widest line's columns. See clean_lines for the rest.
+    What isn't given is guessed from the first lines, but for the columns: those of the widest line, unless `columns` is given
+    without `grow`. See clean_lines for the rest.
     """
     lines = read_lines(spark, path, line_sep)
     form = detect([r["value"] for r in lines.where(F.col("line") <= SAMPLE).orderBy("line").collect()])
@@ -128,10 +136,11 @@ def read_matrix(spark: SparkSession, path: str, columns: int | None = None, head
     cleaned = clean_lines(lines, header_lines=header, **cleaning)
     if mode in ("char", "cell", "string"):
         return cleaned
-    if grow:
+    if grow or columns is None:
         pattern = r"\s+" if delimiter == " " else re.escape(delimiter)
-        columns = cleaned.agg(F.max(F.size(F.split(F.trim("value"), pattern)))).first()[0] or 0
-    columns = columns or form["columns"]
+        # A delimiter at a line's end opens no column.
+        parts = F.split(F.regexp_replace(F.trim("value"), f"(?:{pattern})$", ""), pattern)
+        columns = cleaned.agg(F.max(F.size(parts))).first()[0] or 0
     return flatten_blocks(cleaned, columns, delimiter) if mode == "block" else parse_columns(cleaned, columns, delimiter, kinds)
 
 
@@ -143,11 +152,12 @@ def header_text(lines: DataFrame, header_lines: int) -> str:
 def in_intervals(df: DataFrame, intervals: DataFrame, column: str = "line", keep: bool = True) -> DataFrame:
     """Rows whose number lies in one of the closed, disjoint intervals (low, high), or in none.
 
-    Interval starts are merged with the rows in one order, so no row is compared with all intervals.
+    Rows and intervals meet in buckets of numbers as wide as the mean interval, at least BUCKET; an interval is a row in each bucket
+    that it covers, so no row is compared with all intervals and no task sees all rows.
     """
-    starts = intervals.select(F.col("low").alias("__k"), F.lit(0).alias("__t"), F.col("high").alias("__high"))
-    rows = df.withColumn("__k", F.col(column)).withColumn("__t", F.lit(1)).withColumn("__high", F.lit(None).cast("long"))
-    both = starts.unionByName(rows, allowMissingColumns=True)
-    inside = F.coalesce(F.last("__high", True).over(Window.orderBy("__k", "__t")) >= F.col("__k"), F.lit(False))
-    marked = both.withColumn("__in", inside).where((F.col("__t") == 1) & (F.col("__in") == F.lit(keep)))
-    return marked.select(*df.columns)
+    wide = intervals.agg(F.avg(F.col("high") - F.col("low") + 1)).first()[0]
+    bucket = max(BUCKET, int(wide or 0))
+    spans = intervals.select("low", "high", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))).alias("__bucket"))
+    rows = df.withColumn("__bucket", F.floor(F.col(column) / bucket))
+    inside = (rows["__bucket"] == spans["__bucket"]) & (rows[column] >= spans["low"]) & (rows[column] <= spans["high"])
+    return rows.join(spans, inside, "left_semi" if keep else "left_anti").select(*df.columns)
