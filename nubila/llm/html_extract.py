@@ -2,7 +2,7 @@
 
 A page is read once into text nodes, one for each block, each with its root-to-leaf tag path. Text length (outside links) and
 punctuation are aggregated per path and divided by the path's nodes; both ratios are smoothed along the page and fused by
-multiplication, and the paths whose mean reaches a share of the deviation are content. Parts that are by tag or role no part of an
+multiplication, and the paths that reach a share of the deviation are content. Parts that are by tag or role no part of an
 article are never read; names like `ad` or `comments`, and places outside a marked article, only weigh a path's ratios down.
 
 What the threshold selects is the text. Inside the element that holds it, short blocks of text elements (headings, items, cells,
@@ -275,7 +275,10 @@ def path_weights(page: Page, nodes: list[TextNode]) -> dict[int, float]:
 
 
 def content_nodes(page: Page, nodes: list[TextNode], share: float = 0.5) -> list[TextNode]:
-    """The nodes of the paths whose mean fused ratio reaches `share` of the ratios' deviation."""
+    """The nodes of the paths whose fused ratio, and its mean after smoothing, reach `share` of the smoothed ratios' deviation.
+
+    Smoothing alone would lift a short string that stands between long texts.
+    """
     if not nodes:
         return []
     total: dict[int, list[float]] = {}
@@ -285,15 +288,16 @@ def content_nodes(page: Page, nodes: list[TextNode], share: float = 0.5) -> list
         own[1] += n.marks
         own[2] += 1
     weight = path_weights(page, nodes)
-    lengths = _smooth([weight[n.path] * total[n.path][0] / total[n.path][2] for n in nodes])
-    marks = _smooth([weight[n.path] * (total[n.path][1] + 1) / total[n.path][2] for n in nodes])
+    ratio = {p: (weight[p] * size / k, weight[p] * (marks + 1) / k) for p, (size, marks, k) in total.items()}
+    lengths, marks = (_smooth([ratio[n.path][i] for n in nodes]) for i in (0, 1))
     fused = [a * math.sqrt(b) for a, b in zip(lengths, marks, strict=True)]
     mean = sum(fused) / len(fused)
     cut = share * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     means = dict.fromkeys(total, 0.0)
     for n, f in zip(nodes, fused, strict=True):
         means[n.path] += weight[n.path] * f / total[n.path][2]
-    return [n for n in nodes if means[n.path] >= cut * (1 - 1e-9)]
+    own = {p: weight[p] * a * math.sqrt(b) for p, (a, b) in ratio.items()}
+    return [n for n in nodes if min(means[n.path], own[n.path]) >= cut * (1 - 1e-9)]
 
 
 def _above(page: Page, element: int) -> list[int]:

@@ -83,15 +83,63 @@ def test_near_dedup_hard_groups(spark):
     assert near_dedup.near_duplicate_classes(df.limit(0)).count() == 0
 
 
-def test_decontamination_equals_direct_search(spark, small):
+def test_near_dedup_repeated_ids_with_other_texts(spark):
+    """Links of both texts of a repeated id are found, whatever the order of the rows."""
+    text = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    a, b = text("a"), text("b")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, text("c")), (4, text("c")), (4, None), (5, text("c") + " z")]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicate_classes(df, 4, 80).collect())
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (4, 4, True), (5, 4, False)]
+        kept = near_dedup.drop_near_duplicates(df, 4, 80).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept if r["text"]) == sorted([(1, a), (1, b), (4, text("c"))]) and sum(r["text"] is None for r in kept) == 1
+
+
+def test_near_dedup_deals_hot_keys(spark, monkeypatch):
+    """The same components where every key with more than a few rows is dealt over tasks."""
+    from nubila.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 4)
+    monkeypatch.setattr(near_dedup, "HOT_LEAST", 4)
+    test_near_dedup_hard_groups(spark)
+
+
+def longest_first(item, doc, least):
+    """Tokens of the item that tiles cover: the longest common unmarked run again and again, the whole table of runs each time."""
+    item, doc = np.array(item), np.array(doc)
+    used_i, used_d, covered = np.zeros(len(item), bool), np.zeros(len(doc), bool), 0
+    while True:
+        runs, best = np.zeros(len(doc) + 1, int), (0, 0, 0)
+        for i in range(len(item)):
+            same = (doc == item[i]) & ~used_d & (not used_i[i])
+            runs = np.concatenate([[0], np.where(same, runs[:-1] + 1, 0)])
+            top = int(runs.max())
+            if top:
+                j = int(runs.argmax()) - 1
+                best = max(best, (top, -(i - top + 1), -(j - top + 1)))
+        if best[0] < least:
+            return covered
+        k, i, j = best[0], -best[1], -best[2]
+        used_i[i : i + k] = used_d[j : j + k] = True
+        covered += k
+
+
+def test_decontamination_equals_brute_force(spark, small):
     items = {r["item_id"]: decontaminate.tokens(r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
-    whole = {i: " " + " ".join(w) + " " for i, w in items.items()}
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    seeds = {i: grams(w, min(5, len(w))) for i, w in items.items() if w}
     want = set()
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
-        text = " " + " ".join(decontaminate.tokens(r["text"])) + " "
-        want |= {(r["doc_id"], i) for i, w in whole.items() if w in text}
-    got = {(r["doc_id"], r["item_id"]) for r in queries.op1_decontaminate(spark, small).collect()}
-    assert want and want <= got and len(got - want) <= 0.05 * len(want)
+        words = decontaminate.tokens(r["text"])
+        own = grams(words, 5)
+        for i, w in items.items():
+            # Items that share no seed can't be covered.
+            if w and (own & seeds[i] if len(w) >= 5 else grams(words, len(w)) & seeds[i]):
+                least = min(5, len(w))
+                if longest_first(w, words, least) >= 0.8 * len(w):
+                    want.add((r["doc_id"], i))
+    assert want and {(r["doc_id"], r["item_id"]) for r in queries.op1_decontaminate(spark, small).collect()} == want
 
 
 def brute_tiles(item, doc, least):
@@ -122,9 +170,8 @@ def test_greedy_tiles_cover_as_brute_force():
         for least in (3, 5):
             mine = decontaminate.greedy_tiles(item, doc, least)
             want = brute_tiles(item.tolist(), doc.tolist(), least)
-            assert all((item[i : i + k] == doc[j : j + k]).all() and k >= least for i, j, k in mine)
-            assert max([k for *_, k in mine], default=0) == max([k for *_, k in want], default=0)
-            assert abs(sum(k for *_, k in mine) - sum(k for *_, k in want)) <= least
+            assert sorted(mine) == want
+            assert longest_first(item, doc, least) == sum(k for *_, k in want)
 
 
 def test_decontamination_reordered_and_edges(spark):
@@ -156,6 +203,112 @@ def test_html_without_article_or_main_keeps_all_content():
     assert blocks(f"<body><div>{menu}<div><h1>Title</h1></div><div class=body>{body}</div></div></body>") == ["Title"] + [block] * 12
 
 
+def brute_content(source):
+    """Texts that tag-path ratios select, from Python's own parser: paths as strings, every sum by a loop over all blocks."""
+    import math
+    from html.parser import HTMLParser
+
+    blocks = []
+
+    class Reader(HTMLParser):
+        stack, fresh = [], True
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in html_extract.INLINE:
+                self.fresh = True
+            if tag in html_extract.VOID:
+                return
+            if tag in html_extract.CLOSES_P and any(t == "p" for t, _ in self.stack):
+                while self.stack.pop()[0] != "p":
+                    pass
+            self.stack.append((tag, html_extract.speaks_against(dict(attrs).get("class") or "") or html_extract.speaks_against(dict(attrs).get("id") or "")))
+
+        def handle_endtag(self, tag):
+            if any(t == tag for t, _ in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+            if tag not in html_extract.INLINE:
+                self.fresh = True
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.stack]
+            if any(t in html_extract.AWAY_TAGS or t in html_extract.RAW or t == "header" for t in tags) or not data.strip():
+                return
+            if self.fresh:
+                blocks.append({"path": "/".join(t + "!" * a for t, a in self.stack if t not in html_extract.INLINE), "text": "", "size": 0, "marks": 0, "linked": 0})
+                self.fresh = False
+            size = len(" ".join(data.split()))
+            blocks[-1]["text"] += data
+            if "a" in tags:
+                blocks[-1]["linked"] += size
+            else:
+                blocks[-1]["size"] += size
+                blocks[-1]["marks"] += len(html_extract.PUNCTUATION.findall(data))
+
+    reader = Reader()
+    reader.stack = []
+    reader.feed(source)
+    main = lambda b: any(t in ("article", "main") for t in b["path"].split("/"))
+    held = sum(b["size"] for b in blocks if main(b))
+    marked = held > 0 and held >= sum(b["size"] for b in blocks if not main(b) and "!" not in b["path"])
+    weigh = lambda b: (0.05 if "!" in b["path"] else 1) * (0.05 if marked and not main(b) else 1)
+    ratio = []
+    for b in blocks:
+        same = [x for x in blocks if x["path"] == b["path"]]
+        ratio.append((weigh(b) * sum(x["size"] for x in same) / len(same), weigh(b) * (sum(x["marks"] for x in same) + 1) / len(same)))
+    smooth = lambda k, i: (ratio[max(0, i - 1)][k] + 2 * ratio[i][k] + ratio[min(len(ratio) - 1, i + 1)][k]) / 4
+    fused = [smooth(0, i) * math.sqrt(smooth(1, i)) for i in range(len(ratio))]
+    if not fused:
+        return []
+    mean = sum(fused) / len(fused)
+    cut = 0.5 * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
+    out = []
+    for b, (length, marks) in zip(blocks, ratio, strict=True):
+        of_path = [weigh(b) * f for x, f in zip(blocks, fused, strict=True) if x["path"] == b["path"]]
+        if min(sum(of_path) / len(of_path), weigh(b) * length * math.sqrt(marks)) >= cut * (1 - 1e-9):
+            out.append(" ".join(b["text"].split()))
+    return out
+
+
+HARD_PAGES = [
+    "<body><div class=top><a href=1>Home</a> <a href=2>About</a></div><div><h1>Title</h1><p>One long sentence of the text, with a comma; and more of it.</p><div>Log in now</div><ul><li><a href=1>Link one</a></li><li><a href=2>Link two</a></li><li>Terms</li></ul><p>Another long sentence of the text, with a comma; and more of it.</p></div></body>",
+    "<body><article><h1>T</h1><p>Text of the article, quite short.</p><section id=discussion><h2>Discussion</h2><p>What the article itself says on it, at length, yes.</p></section><div class=related-work><p>Earlier work by others, cited here, with care.</p></div></article><div class=comments><p>I like it, a lot, really, very much indeed, thanks. And so on, and on, and on.</p></div></body>",
+    "<body><div id=main-menu><p>Menu</p></div><table><tr><td>First cell, with text.</td><td>Second cell, with text.</td></tr></table></body>",
+    "<p>only one</p>",
+]
+
+
+def test_html_ratios_equal_brute_force(spark, small):
+    sources = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()] + HARD_PAGES
+    cut = 0
+    for source in sources:
+        page = html_extract.parse(source)
+        mine = [" ".join("".join(n.parts).split()) for n in html_extract.content_nodes(page, page.nodes)]
+        assert mine == brute_content(source)
+        cut += len(mine) < len(page.nodes)
+    assert cut > 0.9 * len(sources)
+
+
+def test_html_is_decided_by_the_ratios(spark, small, monkeypatch):
+    """Results change where the threshold is switched off, and in-article sections stay whatever their names."""
+    sources = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    usual = list(map(html_extract.extract_blocks, sources))
+    first, second = map(html_extract.extract_blocks, HARD_PAGES[:2])
+    assert first == ["Title", "One long sentence of the text, with a comma; and more of it.", "Another long sentence of the text, with a comma; and more of it."]
+    assert second == ["T", "Text of the article, quite short.", "Discussion", "What the article itself says on it, at length, yes.", "Earlier work by others, cited here, with care."]
+    monkeypatch.setattr(html_extract, "content_nodes", lambda page, nodes, share=0.5: nodes)
+    assert sum(a != html_extract.extract_blocks(s) for a, s in zip(usual, sources, strict=True)) > 0.9 * len(sources)
+
+
+def test_html_is_linear_in_hard_pages():
+    import time
+
+    for source in ("<div>" * 20_000 + "deep", '<a "' * 20_000, '<a ="' * 20_000 + ">x", '<a =">" ' * 20_000, "<!" * 50_000, "<b>" * 10_000 + "<div>" * 10_000 + "x", "<ul><li>" * 10_000 + "x"):
+        began = time.perf_counter()
+        html_extract.extract_blocks(source)
+        assert time.perf_counter() - began < 5
+
+
 def test_html_equals_the_article_of_every_page(spark, small):
     import html
 
@@ -181,14 +334,45 @@ def test_html_leaves_out_what_is_not_the_article(spark):
     assert [r["n_chars"] for r in rows] == [len(r["text"]) for r in rows] and rows[0]["text"] == rows[1]["text"] and rows[2]["text"] == ""
 
 
-def test_toxicity_held_out(spark, small):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
-    rows = [r for r in queries.op6_toxicity(spark, small).collect()]
+def test_toxicity_query(spark, small):
+    """Ranges, thresholds and held-out rows; accuracy needs more labels than this table has and is measured below."""
+    rows = queries.op6_toxicity(spark, small).collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
-    held = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
-    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count() and len({r["score"] for r in rows}) > 100
+
+
+def test_toxicity_tells_unseen_texts_apart(spark):
+    rng = np.random.default_rng(2)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "in")]
+    words = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(1500)]
+    bad = [f"zq{w}xj" for w in rng.choice(words, 25)]
+    rows = []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        own = [str(w) for w in rng.choice(words, rng.integers(40, 200))]
+        for _ in range(int(rng.integers(3, 8)) if toxic else 0):
+            own.insert(int(rng.integers(len(own))), str(rng.choice(bad)))
+        rows.append((i, " ".join(own), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(df, df.where("doc_id < 900").select("doc_id", "toxic"))
+    # Both are dictionaries that the library trained, by their magic number.
+    assert model.toxic[:4] == b"\x37\xa4\x30\xec" and b"\x37\xa4\x30\xec" in model.ordinary
+    scored = toxicity.score_toxicity(df.where("doc_id >= 900"), model).collect()
+    pos, neg = [r["score"] for r in scored if r["doc_id"] % 4 == 0], [r["score"] for r in scored if r["doc_id"] % 4]
     auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
-    assert auc > 0.85
+    assert auc > 0.97
+    # A window's distance is the difference of two compressed lengths.
+    one, two = model.compressors()
+    for w in toxicity.windows(rows[0][1])[:5]:
+        assert toxicity.saved([w], one, two)[0] == len(one.compress(w)) - len(two.compress(w))
+
+
+def test_toxicity_of_ids_with_both_labels(spark):
+    """An id with both labels is toxic, whatever the order of its rows."""
+    docs = spark.createDataFrame([(i, f"w{i} " * 40) for i in range(8)], "doc_id long, text string")
+    for labels in ([(i, i % 2) for i in range(8)] + [(0, 1)], [(0, 1)] + [(i, i % 2) for i in range(8)]):
+        found = toxicity._sample(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), 100, 100)
+        assert {r["doc_id"] for r in found.where("toxic").collect()} == {0, 1, 3, 5, 7}
 
 
 def test_toxicity_edges(spark):
@@ -210,7 +394,6 @@ def test_packing_is_exact_and_tight(spark, small):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     ids = {k: [*t.encode(v, add_special_tokens=False).ids, 0] for k, v in texts.items()}
     got, bins = defaultdict(list), defaultdict(list)
@@ -235,7 +418,6 @@ def test_packing_edges(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     texts = [None, "", "<|endoftext|> x", "a" * 5000, " " * 3000 + "b", "é\U0001f600ß²½Ⅷ they'll 123", "same", "same", "\r\n\t x  y"]
     docs = spark.createDataFrame([(i, s, 5) for i, s in enumerate(texts)] + [(0, None, 5)], "doc_id long, text string, length int")
     rows = packing.pack_documents(docs, PATH, max_tokens=64, keep_ids=True).collect()
@@ -288,6 +470,29 @@ def test_language_edges(spark):
         assert min((code[a] != code[b]).sum() for a in range(k) for b in range(a)) >= (1 if k < 3 else 2)
 
 
+def test_languages_without_a_limit(spark):
+    """More languages than any cap would leave; each is learned."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    own = [["".join(rng.choice(letters, 4)) for _ in range(12)] for _ in range(230)]
+    text = lambda k: " ".join(str(w) for w in rng.choice(own[k], 30))
+    docs = spark.createDataFrame([(k * 4 + j, text(k), f"l{k:03d}") for k in range(230) for j in range(4)], "doc_id long, text string, lang string")
+    model = langid.fit_language_model(docs.where("doc_id % 4 < 3"))
+    got = langid.identify_languages(docs.where("doc_id % 4 = 3"), model).collect()
+    assert len(model.languages) == 230 and sum(r["lang_pred"] == f"l{r['doc_id'] // 4:03d}" for r in got) > 0.9 * len(got)
+
+
+def test_language_sums_equal_direct_solution(spark):
+    """Weights from the summed blocks are those of the ridge regression on all rows at once."""
+    docs = spark.createDataFrame([(("der die das und " if i % 3 == 0 else "the and of to " if i % 3 == 1 else "el la los y ") * (1 + i % 4) + f"x{i}", ("de", "en", "es")[i % 3]) for i in range(90)], "text string, lang string")
+    model = langid.fit_language_model(docs)
+    rows = langid.sampled_vectors(docs, 600).collect()
+    x, y = np.array([np.frombuffer(r["vector"], np.float32) for r in rows], np.float64), np.array([model.languages.index(r["lang"]) for r in rows])
+    c, w = x - x.mean(axis=0), len(y) / 3 / np.bincount(y)[y]
+    want = np.linalg.solve((c * w[:, None]).T @ c + 0.3 * np.eye(x.shape[1]), (c * w[:, None]).T @ model.code[y])
+    assert np.abs(model.weights - want).max() < 1e-3
+
+
 def test_warc_round_trip(spark, small):
     pages = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     first = {}
@@ -302,6 +507,18 @@ def test_warc_round_trip(spark, small):
         assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if again else "response", lead if again else None)
 
 
+def test_warc_frequent_payloads(spark, monkeypatch):
+    """The same records where payloads with more than a few copies are dropped before the shuffle."""
+    from nubila.llm import common
+
+    rows = [(i, f"u{i}", "same page" if i % 3 else f"own {i}") for i in range(60)] + [(100, None, None), (101, "u", ""), (102, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    plain = sorted((r["record_id"], r["record_type"], r["refers_to"] or "", bytes(r["payload"] or b"")) for r in warc.read_warc(warc.write_warc(pages)).collect())
+    monkeypatch.setattr(common, "HOT_LEAST", 2)
+    hot = sorted((r["record_id"], r["record_type"], r["refers_to"] or "", bytes(r["payload"] or b"")) for r in warc.read_warc(warc.write_warc(pages)).collect())
+    assert hot == plain and sum(k[1] == "response" for k in plain) == 20 + 1 + 1
+
+
 def test_warc_splits_own_each_record_once(spark):
     """Payloads that hold gzip magic and whole members, read in small ranges."""
     trap = gzip.compress(b"WARC?").decode("latin-1")

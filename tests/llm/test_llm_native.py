@@ -105,6 +105,81 @@ def test_pii_overlaps_are_replaced_once(spark):
     assert not re.search(r"\d{4}", r["sanitised"]) and r["sanitised"].startswith("call [") and r["sanitised"].endswith(" end")
 
 
+def brute_terms(texts, alpha=1.5, support=3):
+    """Spans of revealing terms by plain loops over all documents."""
+    import math
+
+    runs = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)]
+    base = [[(int(a), int(b), k) for k, a, b in (x.split(":") for x in brute_spans(t).split(",") if x)] for t in texts]
+    words = [{w for _, _, w in runs(t) if len(w) >= 3} for t in texts]
+    outside = [{w for a, b, w in runs(t) if len(w) >= 3 and not any(s < b and a < e for s, e, _ in spans)} for t, spans in zip(texts, base, strict=True)]
+    held = [{f"{k}:{t[a:b].lower()}" for a, b, k in spans} for t, spans in zip(texts, base, strict=True)]
+    n, reveals = len(texts), defaultdict(set)
+    for entity in set().union(*held):
+        docs = [i for i in range(n) if entity in held[i]]
+        if len({texts[i].lower() for i in docs}) < support:
+            continue
+        for term in set().union(*(outside[i] for i in docs)):
+            both = [i for i in docs if term in outside[i]]
+            if len({texts[i].lower() for i in both}) >= support:
+                mutual = math.log2(len(both) * n / (len(docs) * sum(term in w for w in words)))
+                if mutual / max(math.log2(n / len(docs)), 1e-9) >= 1 / alpha:
+                    reveals[entity].add(term)
+    out = []
+    for t, spans, own in zip(texts, base, held, strict=True):
+        terms = set().union(*(reveals[e] for e in own)) if own else set()
+        out.append(sorted((a, b, w) for a, b, w in runs(t) if w in terms and not any(s < b and a < e for s, e, _ in spans)))
+    return out
+
+
+def test_pii_terms_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    common, rare = [f"word{i}" for i in range(40)], [f"Name{i}" for i in range(30)]
+    texts = []
+    for _ in range(220):
+        own = rng.choices(common, k=rng.randint(3, 25))
+        if rng.random() < 0.5:
+            k = rng.randrange(12)
+            own += [f"mail{k}@corp.example"] * rng.randint(1, 2) + [rare[k]] * rng.randint(0, 2) + ([f"+1 (456) 555-21{k:02d}"] if k % 3 == 0 else [])
+        own += rng.choices(rare, k=rng.randint(0, 2))
+        rng.shuffle(own)
+        texts.append(rng.choice([" ", ", ", "\n"]).join(own) + rng.choice(["", ".", "x@y.zz"]))
+    texts += texts[:10]
+    rows = pii.sanitise_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    want, fired = brute_terms(texts), 0
+    for r in rows:
+        mine = sorted((s["start"], s["end"], s["value"]) for s in r["spans"] if s["rank"] == len(pii.KINDS))
+        assert mine == want[r["doc_id"]], texts[r["doc_id"]]
+        fired += len(mine)
+    assert fired > 50
+
+
+def test_pii_and_chat_deal_hot_texts(spark, monkeypatch):
+    """Many copies of one text give the results they give without being dealt over tasks."""
+    from nubila.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    test_pii_terms_that_reveal_an_entity(spark)
+    test_pii_terms_far_from_the_entity(spark)
+
+
+def test_pii_very_many_spans(spark):
+    """A hundred thousand spans in one text, each found and replaced."""
+    text = " ".join(f"a{i}@b{i % 97}.example" for i in range(100_000))
+    r = pii.sanitise_documents(spark.createDataFrame([(1, text), (2, "a1@b1.example")], "doc_id long, text string")).where("doc_id = 1").select(F.size("base").alias("n"), "sanitised").first()
+    assert r["n"] == 100_000 and r["sanitised"] == " ".join(["[EMAIL]"] * 100_000)
+
+
+def test_chat_very_many_turns(spark):
+    """A hundred thousand turns in one conversation, read back."""
+    rows = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit(0).alias("place"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("</s> t"), F.col("id")).alias("text"))
+    out = chat.format_conversations(rows)
+    r = out.select(F.size(chat.parse_conversation(F.col("formatted"))).alias("n"), F.md5(chat.loss_text(F.col("formatted"), F.col("loss_spans"))).alias("loss")).first()
+    assert r["n"] == 100_000 and r["loss"] == hashlib.md5("".join(f"</s> t{i}" for i in range(1, 100_000, 2)).encode()).hexdigest()
+
+
 def test_chat_round_trip_of_the_conversations(spark, small):
     want = defaultdict(list)
     for r in sorted(spark.read.parquet(f"{small}/conversations.parquet").collect(), key=lambda r: r["turn"]):
