@@ -269,6 +269,18 @@ def hull_volume_3d(spark, d):
     return g.select(F.col("label").cast("long").alias("label"), "n", F.round("hull_3D", 2).alias("volume"), F.round(F.col("density_3D") * 1e6, 6).alias("density"))
 
 
+FLAT, BULK = (part.removeprefix(f"{PTS}, ").replace("pts", "q") for part in (HULL, SOLID))
+
+
+@query(f"""{DBSCAN}, q AS MATERIALIZED (SELECT id, x, y, z, cluster_label AS label FROM lab WHERE cluster_label <> -1), {FLAT}, {BULK}, b AS (SELECT label, count(*) AS n, (max(x) - min(x) + max(y) - min(y)) / 2 AS bb2, (max(x) - min(x) + max(y) - min(y) + max(z) - min(z)) / 3 AS bb3 FROM q GROUP BY label),
+j AS (SELECT b.*, coalesce(h.area, 0) AS area, coalesce(s.volume, 0) AS volume, b.n >= 4 AND coalesce(h.area, 0) > 0 AND coalesce(s.volume, 0) > 0 AS sound FROM b LEFT JOIN hull h ON h.label = b.label LEFT JOIN solid s ON s.label = b.label)
+SELECT label AS cluster_label, n, round(CASE WHEN sound THEN area ELSE 0 END, 3) AS "hull_2D", round(CASE WHEN sound THEN volume ELSE 0 END, 2) AS "hull_3D", round(CASE WHEN sound THEN bb2 ELSE 0 END, 6) AS "bb_2D", round(CASE WHEN sound THEN bb3 ELSE 0 END, 6) AS "bb_3D", round(CASE WHEN sound THEN n / area ELSE 0 END, 9) AS "density_2D", round(CASE WHEN sound THEN n / volume ELSE 0 END, 9) AS "density_3D" FROM j""")
+def cluster_characteristics(spark, d):
+    g = cluster.cluster_geometry(clustered(spark, d))
+    digits = {"hull_2D": 3, "hull_3D": 2, "bb_2D": 6, "bb_3D": 6, "density_2D": 9, "density_3D": 9}
+    return g.select(F.col("cluster_label").cast("long").alias("cluster_label"), "n", *[F.round(c, k).alias(c) for c, k in digits.items()])
+
+
 # --- simulation --------------------------------------------------------------------------------------------------------------------
 
 CHANCES = f"chance AS (SELECT ix, iy, ix % 5 AS iz, ix::VARCHAR || ',' || iy::VARCHAR || ',' || (ix % 5)::VARCHAR AS cell, 3e8 * value * (1 + ix % 5) / (561000000.0 * 2) AS t_m, coalesce(2e8 * value / nullif(0.5 * (iy % 3), 0), 0) * CASE WHEN iy % 3 = 0 THEN 0 ELSE 1 + ix % 5 END / (425110000.0 * 2) AS t_a FROM grid)"

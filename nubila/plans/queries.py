@@ -404,11 +404,6 @@ def density_2d(spark, d):
     return g.select(F.col("label").cast("long").alias("label"), "n", F.round("density_2D", 9).alias("density"))
 
 
-@query()
-def cluster_characteristics(spark, d):
-    return cluster.cluster_geometry(clustered(spark, d))
-
-
 @query()
 def kmeans_density(spark, d):
     return cluster.sparse_half(cluster.kmeans(points(spark, d), 10))
