@@ -29,6 +29,8 @@ PATTERNS = {
 }
 #: Texts that fail these have no match; they are cheap.
 QUICK = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
+#: A text that fails this has no match of any kind, so most texts are searched once.
+ANY = "|".join(QUICK.values())
 #: Between a word and what isn't one.
 BOUNDARY = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"
 #: Types whose values tell rows with equal texts apart.
@@ -88,10 +90,14 @@ def find_base(docs: DataFrame) -> DataFrame:
     points, ends exclusive.
     """
     plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("text", plain).withColumn("__seen", F.translate("text", MARK, STAND_IN))
-    for kind in KINDS:
-        rows = rows.withColumn(f"__{kind}", _spans_of(kind, F.col("__seen")))
-    return rows.withColumn("base", F.array_sort(F.concat(*[F.col(f"__{k}") for k in KINDS]))).drop("__seen", *[f"__{k}" for k in KINDS])
+    rows = docs.withColumn("text", plain)
+    found = let(unmarked(F.col("text")), lambda seen: F.array_sort(F.concat(*[_spans_of(k, seen) for k in KINDS])))
+    return rows.withColumn("base", F.when(F.col("text").rlike(ANY), found).otherwise(F.array().cast(SPANS)))
+
+
+def unmarked(text: Column) -> Column:
+    """The text with a stand-in for MARK; nearly all texts have none and pass as they are."""
+    return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
 
 
 def term_words(text: Column) -> Column:
@@ -103,16 +109,16 @@ def term_words(text: Column) -> Column:
 def entities_held(found: DataFrame) -> DataFrame:
     """A row for each text and entity in it: key (of the text), entity, context (key of the lower-cased text), copies."""
     entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["rank"].cast("string"), F.lower(s["value"]))))
-    # Keys are taken before the rows are spread out, so no text is copied into the rows of its entities.
-    texts = found.where(F.size("base") > 0).select(F.xxhash64("text").alias("__key"), F.xxhash64(F.lower("text")).alias("context"), entities.alias("entities"))
-    rows = texts.select("__key", "context", F.explode("entities").alias("entity"))
+    # Entities are stored before they are spread out: no text is copied into their rows, and spans are found once.
+    texts = found.select(F.xxhash64("text").alias("__key"), F.xxhash64(F.lower("text")).alias("context"), entities.alias("entities"))
+    rows = stored(texts, "pii-found").select("__key", "context", F.explode("entities").alias("entity"))
     return rows.groupBy("__key", "entity").agg(F.first("context").alias("context"), F.count("*").alias("copies"))
 
 
 def terms_outside(text: Column, base: Column) -> Column:
     """Distinct terms of a text that don't overlap a base span."""
     edge = lambda s, at: F.when(s["value"].rlike(at), F.lit(MARK)).otherwise(F.lit(""))
-    return term_words(sanitise(F.translate(text, MARK, STAND_IN), base, lambda s: F.concat(edge(s, r"^[\p{L}\p{N}]"), F.lit(" "), edge(s, r"[\p{L}\p{N}]$"))))
+    return term_words(sanitise(unmarked(text), base, lambda s: F.concat(edge(s, r"^[\p{L}\p{N}]"), F.lit(" "), edge(s, r"[\p{L}\p{N}]$"))))
 
 
 def revealing_terms(plain: DataFrame, held: DataFrame, hot: dict, alpha: float, support: int) -> DataFrame:
@@ -125,11 +131,11 @@ def revealing_terms(plain: DataFrame, held: DataFrame, hot: dict, alpha: float,
     known = held.select("__key").distinct().withColumn("__there", F.lit(True))
     texts = lookup(plain.withColumn("__key", F.xxhash64("text")), "__key", known, hot, ["__row"]).where("__there")
     outside = find_base(texts.select("__key", "text")).select("__key", terms_outside(F.col("text"), F.col("base")).alias("terms"))
-    terms = outside.select("__key", F.explode("terms").alias("term")).distinct()
+    terms = stored(outside, "pii-terms-outside").select("__key", F.explode("terms").alias("term")).distinct()
     pairs = held.join(terms, "__key").groupBy("entity", "term").agg(F.sum("copies").alias("together"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
     pairs = stored(pairs, "pii-pairs")
     entities = held.groupBy("entity").agg(F.sum("copies").alias("entity_documents"))
-    counts = plain.select(F.explode(term_words(F.translate("text", MARK, STAND_IN))).alias("term")).groupBy("term").agg(F.count("*").alias("term_documents"))
+    counts = plain.select(F.explode(term_words(unmarked(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("term_documents"))
     documents = plain.count()
     joined = pairs.join(entities, "entity").join(counts, "term")
     information = F.log2(F.lit(float(max(documents, 2))) / F.col("entity_documents"))
