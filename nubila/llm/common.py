@@ -41,9 +41,27 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Paths in the shared folder that this driver gave out.
+_GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the intermediates and archives that operators stored in the shared folder; how many there were.
+
+    For the end of a job, when its results are written: what was read from them can't be read again.
+    """
+    deleted = 0
+    while _GIVEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        deleted += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return deleted
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -75,7 +93,8 @@ def hot_keys(rows: DataFrame, key: str, weight: str | None = None) -> dict:
     """
     count = F.sum(weight) if weight else F.count("*")
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(count.alias("__n")).where(F.col("__n") > HOT_LEAST)
-    most = {r[0]: r[1] for r in counts.orderBy(F.desc("__n")).limit(HOT_SHARE).collect()}
+    plain = lambda k: bytes(k) if isinstance(k, bytearray) else k
+    most = {plain(r[0]): r[1] for r in counts.orderBy(F.desc("__n")).limit(HOT_SHARE).collect()}
     if not most:
         return {}
     total = rows.agg(count).first()[0]

@@ -154,43 +154,58 @@ def hull_3d(points: np.ndarray) -> tuple[float, np.ndarray]:
         return none
     middle = p[[a, b, c, d]].mean(axis=0)
 
-    def face(i, j, k):
-        n = np.cross(p[j] - p[i], p[k] - p[i])
-        return (i, j, k, n) if n @ (p[i] - middle) > 0 else (i, k, j, -n)
+    def outward(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Corners of faces, turned so that their normals point away from the middle, and the normals."""
+        normals = np.cross(p[corners[:, 1]] - p[corners[:, 0]], p[corners[:, 2]] - p[corners[:, 0]])
+        inward = ((p[corners[:, 0]] - middle) * normals).sum(axis=1) < 0
+        return np.where(inward[:, None], corners[:, [0, 2, 1]], corners), np.where(inward[:, None], -normals, normals)
 
-    faces = [face(a, b, c), face(a, b, d), face(a, c, d), face(b, c, d)]
+    faces, normals = outward(np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)]))
     tolerance = 1e-10 * scale**3
     for i in range(len(p)):
-        seen = [f for f in faces if (p[i] - p[f[0]]) @ f[3] > tolerance]
-        if seen:
-            edges = {(f[x], f[y]) for f in seen for x, y in ((0, 1), (1, 2), (2, 0))}
-            faces = [f for f in faces if not any(f is s for s in seen)] + [face(u, v, i) for u, v in edges if (v, u) not in edges]
-    volume = sum(abs((p[f[0]] - middle) @ f[3]) for f in faces) / 6
-    return float(volume), p[sorted({k for f in faces for k in f[:3]})]
+        seen = ((p[i] - p[faces[:, 0]]) * normals).sum(axis=1) > tolerance
+        if seen.any():
+            edges = {(f[x], f[y]) for f in faces[seen].tolist() for x, y in ((0, 1), (1, 2), (2, 0))}
+            more, more_normals = outward(np.array([(u, v, i) for u, v in edges if (v, u) not in edges]))
+            faces, normals = np.concatenate([faces[~seen], more]), np.concatenate([normals[~seen], more_normals])
+    volume = np.abs(((p[faces[:, 0]] - middle) * normals).sum(axis=1)).sum() / 6
+    return float(volume), p[np.unique(faces)]
 
 
 def cluster_geometry(clustered: DataFrame, keys: Sequence[str] = ("cluster_label",), least: int = 4) -> DataFrame:
     """Per cluster: n, hull and box sizes, densities, hull vertices and their centroid.
 
-    With fewer than `least` points, or when a hull has no area or volume, all sizes and densities are 0. Noise is left out. A
-    cluster is one group of one task.
+    With fewer than `least` points, or when a hull has no area or volume, all sizes and densities are 0. Noise is left out. Each
+    input partition's share of a cluster is first reduced to its hulls' corners, which hold the corners of the whole, so a cluster's
+    points never meet in one task.
     """
     rows = clustered.where("cluster_label <> -1") if "cluster_label" in keys else clustered
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, hull_2D double, hull_3D double, bb_2D double, bb_3D double, density_2D double, density_3D double, centroid struct<x:double,y:double,z:double>, vertices array<struct<x:double,y:double,z:double>>"
     names = list(keys)
+    typed = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf[["x", "y", "z"]].to_numpy(dtype=float)
-        p = p[~np.isnan(p).any(axis=1)]
-        flat, (volume, corners) = area_2d(p[:, :2]), hull_3d(p)
-        sound = len(p) >= least and flat > 0 and volume > 0
+        whole = p[~np.isnan(p).any(axis=1)]
+        volume, solid = hull_3d(whole)
+        solid = solid if volume > 0 else np.unique(whole, axis=0)
+        flat = hull_2d(whole[:, :2]) if len(whole) else np.empty((0, 2))
+        row = {k: pdf[k].iloc[0] for k in names} | {"n": len(pdf), "known": len(whole), "flat": flat.reshape(-1).tolist(), "solid": solid.reshape(-1).tolist()}
+        return pd.DataFrame([row])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        corners = lambda c, d: np.concatenate([np.array(v, dtype=float) for v in pdf[c]]).reshape(-1, d)
+        p, n, known = corners("solid", 3), int(pdf["n"].sum()), int(pdf["known"].sum())
+        flat, (volume, tops) = area_2d(corners("flat", 2)), hull_3d(p)
+        sound = known >= least and flat > 0 and volume > 0
         span = np.ptp(p, axis=0) if len(p) else np.zeros(3)
         point = lambda v: dict(zip("xyz", map(float, v), strict=True))
         row = {k: pdf[k].iloc[0] for k in names} | {
-            "n": len(pdf), "hull_2D": flat if sound else 0.0, "hull_3D": volume if sound else 0.0, "bb_2D": float(span[:2].mean()) if sound else 0.0, "bb_3D": float(span.mean()) if sound else 0.0,
-            "density_2D": len(p) / flat if sound else 0.0, "density_3D": len(p) / volume if sound else 0.0, "centroid": point(corners.mean(axis=0)) if sound else None, "vertices": [point(v) for v in corners] if sound else [],
+            "n": n, "hull_2D": flat if sound else 0.0, "hull_3D": volume if sound else 0.0, "bb_2D": float(span[:2].mean()) if sound else 0.0, "bb_3D": float(span.mean()) if sound else 0.0,
+            "density_2D": known / flat if sound else 0.0, "density_3D": known / volume if sound else 0.0, "centroid": point(tops.mean(axis=0)) if sound else None, "vertices": [point(v) for v in tops] if sound else [],
         }
         return pd.DataFrame([row])
 
-    return rows.select(*keys, "x", "y", "z").groupBy(*keys).applyInPandas(one, schema)
+    parted = rows.select(*keys, "x", "y", "z", F.spark_partition_id().alias("__part"))
+    partial = parted.groupBy(*keys, "__part").applyInPandas(reduced, f"{typed}, n long, known long, flat array<double>, solid array<double>")
+    return partial.groupBy(*keys).applyInPandas(one, f"{typed}, n long, hull_2D double, hull_3D double, bb_2D double, bb_3D double, density_2D double, density_3D double, centroid struct<x:double,y:double,z:double>, vertices array<struct<x:double,y:double,z:double>>")

@@ -160,16 +160,25 @@ def peel(mask: DataFrame, offsets: Sequence[tuple[int, int]] = disk(5), keys: Se
     """Ring of each cell: the erosion that removes it (inward), or the dilation inside `within` that adds it."""
     from nubila.functions.core import checkpointed
 
-    left, rings, k = checkpointed(mask), None, 0
+    cell = [*keys, "ix", "iy"]
+    if inward:
+        waiting = checkpointed(mask.select(*cell))
+        ring = waiting.join(erode(waiting, offsets, keys), cell, "left_anti")
+    else:
+        around = mask if within is None else within
+        waiting = checkpointed(around.select(*cell).join(mask, cell, "left_anti"))
+        ring = waiting.join(shifted(mask, offsets, keys).select(*cell).distinct(), cell, "left_semi")
+    rings, k = None, 0
+    # A cell's ring follows that of a neighbour, so only the last ring's neighbours are looked at.
+    back = [(-i, -j) for i, j in offsets] if inward else offsets
     while True:
         k += 1
-        after = checkpointed(erode(left, [*offsets, (0, 0)] if (0, 0) not in offsets else offsets, keys) if inward else dilate(left, offsets, within, keys))
-        big, small = (left, after) if inward else (after, left)
-        ring = checkpointed(big.join(small, [*keys, "ix", "iy"], "left_anti").withColumn("ring", F.lit(k)))
+        ring = checkpointed(ring.withColumn("ring", F.lit(k)))
+        if ring.isEmpty():
+            return ring if rings is None else rings
         rings = ring if rings is None else rings.unionByName(ring)
-        left = after
-        if (left.isEmpty() if inward else ring.isEmpty()):
-            return rings
+        waiting = checkpointed(waiting.join(ring, cell, "left_anti"))
+        ring = waiting.join(shifted(ring, back, keys).select(*cell).distinct(), cell, "left_semi")
 
 
 def lower_envelope(heights: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:

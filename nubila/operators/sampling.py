@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nubila.functions.core import ranked, uniform
+from nubila.functions.core import checkpointed, ranked, uniform
 
 
 def sample_fractions(df: DataFrame, steps: int = 10, seed: int = 42, keys: Sequence[str] = (), key: str = "id") -> DataFrame:
@@ -146,16 +147,59 @@ def spawn_rings(seeds: DataFrame, histogram: DataFrame, shrink: DataFrame, step:
     return copies.select("seed_id", "ring", "copy", (F.col("x") + far * F.cos(angle)).alias("x"), (F.col("y") + far * F.sin(angle)).alias("y"), (F.col("z") + z_spread * side * F.sqrt(axial * axial / 2) / F.col("z_ratio")).alias("z"))
 
 
-def random_outline(spark, vertices: int = 250, radius: float = 60.0, wobble: float = 0.02, seed: int = 1, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """Integer vertices (order, ix, iy) of a closed outline whose radius walks randomly and returns to its start."""
+def random_radii(spark: SparkSession, vertices: int = 250, radius: float = 60.0, wobble: float = 0.02, seed: int = 1) -> DataFrame:
+    """(order, r): radii of an outline's vertices, which walk randomly and return to their start."""
     rows = spark.range(1, vertices + 1).select(F.col("id").alias("order"))
     normal = F.sqrt(-2 * F.ln(1 - uniform("order", f"a{seed}"))) * F.cos(2 * math.pi * uniform("order", f"b{seed}"))
+    # An outline has some hundreds of vertices.
     w = Window.partitionBy(F.lit(0)).orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(F.lit(0))
     walk = rows.withColumn("step", normal * wobble).withColumn("walk", F.sum("step").over(w)).withColumn("end", F.sum("step").over(whole))
-    r = radius * F.exp(F.col("walk") - F.col("end") * F.col("order") / vertices)
+    return walk.select("order", (radius * F.exp(F.col("walk") - F.col("end") * F.col("order") / vertices)).alias("r"))
+
+
+def _vertex(centre: tuple[float, float], vertices: int) -> tuple[Column, Column]:
     angle = 2 * math.pi * F.col("order") / vertices
-    return walk.select("order", F.round(centre[0] + r * F.cos(angle)).cast("int").alias("ix"), F.round(centre[1] + r * F.sin(angle)).cast("int").alias("iy"))
+    return F.round(centre[0] + F.col("r") * F.cos(angle)).cast("int").alias("ix"), F.round(centre[1] + F.col("r") * F.sin(angle)).cast("int").alias("iy")
+
+
+def random_outline(spark: SparkSession, vertices: int = 250, radius: float = 60.0, wobble: float = 0.02, seed: int = 1, centre: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Integer vertices (order, ix, iy) of a closed outline whose radius walks randomly and returns to its start."""
+    return random_radii(spark, vertices, radius, wobble, seed).select("order", *_vertex(centre, vertices))
+
+
+def random_nucleus(spark: SparkSession, slices: int = 20, radius: float = 60.0, nucleoli: int = 2, nucleolus_radius: float = 10.0, vertices: int = 250, nucleolus_vertices: int = 75, wobble: float = 0.02, seed: int = 1, most: int = 100) -> DataFrame:
+    """Cells of a simulated nucleus: slice, ix, iy, part ("nucleus" or "nucleolus").
+
+    The outlines of the lowest and the highest slice walk randomly; those between are interpolated. Each nucleolus is an outline at
+    a random place that is drawn again until it lies inside the nucleus in every slice and touches no other one.
+    """
+    from nubila.operators import raster
+
+    middle = math.ceil(2 * radius)
+    shape = spark.range(1).select(F.lit(2 * middle).alias("nx"), F.lit(2 * middle).alias("ny"))
+    low, high = (random_radii(spark, vertices, radius, wobble, f"{seed}{end}").withColumnRenamed("r", end) for end in ("low", "high"))
+    levels = spark.range(slices).select(F.col("id").cast("int").alias("slice"))
+    between = low.join(high, "order").crossJoin(F.broadcast(levels)).withColumn("r", F.col("low") + (F.col("high") - F.col("low")) * F.col("slice") / max(slices - 1, 1))
+    body = checkpointed(raster.filled_outline(between.select("slice", "order", *_vertex((middle, middle), vertices)), levels.crossJoin(F.broadcast(shape)), ["slice"]))
+    inside = checkpointed(body.groupBy("ix", "iy").agg(F.count("*").alias("n")).where(F.col("n") == slices).select("ix", "iy"))
+    taken, found = None, 0
+    for attempt in range(most):
+        if found == nucleoli:
+            break
+        draw = [int(hashlib.md5(f"{attempt}:{seed}{axis}".encode()).hexdigest()[:8], 16) / 2**32 for axis in "rt"]
+        far, angle = radius * math.sqrt(draw[0]), 2 * math.pi * draw[1]
+        centre = (middle + far * math.cos(angle), middle + far * math.sin(angle))
+        cells = checkpointed(raster.filled_outline(random_outline(spark, nucleolus_vertices, nucleolus_radius, wobble, f"{seed}n{attempt}", centre), shape))
+        outside = not cells.join(inside, ["ix", "iy"], "left_anti").isEmpty()
+        if outside or (taken is not None and not cells.join(taken, ["ix", "iy"], "left_semi").isEmpty()):
+            continue
+        taken, found = cells if taken is None else checkpointed(taken.unionByName(cells)), found + 1
+    if found < nucleoli:
+        raise ValueError(f"no place for {nucleoli} nucleoli in {most} draws")
+    marked = body if taken is None else body.join(taken.withColumn("__in", F.lit(True)), ["ix", "iy"], "left")
+    part = F.lit("nucleus") if taken is None else F.when(F.col("__in"), "nucleolus").otherwise("nucleus")
+    return marked.select("slice", "ix", "iy", part.alias("part"))
 
 
 def camera_noise(pixels: DataFrame, em_gain: float = 300.0, read_noise: float = 1.0, seed: int = 1, column: str = "photons") -> DataFrame:

@@ -1,7 +1,8 @@
 """Spatial range joins, ring counts and nearest neighbours by bucketed equi-joins.
 
 Space is cut into cubes with the join's radius as edge. One side is copied to the neighbouring cubes, so a plain equi-join on the
-cube finds all pairs, each once; exact distances are then compared. Dense cubes are ordinary skewed join keys.
+cube finds all pairs, each once; exact distances are then compared. The left rows of a dense cube are dealt into parts, and the
+right rows sent to each part, so no task holds a dense cube.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql.window import Window
 
 from nubila.functions.core import checkpointed, squared_distance
 
+#: Left rows of one cube that are a join key of their own.
+PART = 20_000
+
 
 def _side(df: DataFrame, name: str, axes: Sequence[str], edge: float, keys: Sequence[str], spread: bool, more: Sequence[str] = ()) -> DataFrame:
     columns = [F.col("id").alias(f"{name}_id"), *[F.col(a).cast("double").alias(f"{name}_{a}") for a in axes], *[F.col(c).alias(f"{name}_{c}") for c in more]]
@@ -33,7 +37,12 @@ def box_join(left: DataFrame, right: DataFrame, reach: float, axes: Sequence[str
     near = F.lit(True)
     for x in axes:
         near = near & (F.abs(F.col(f"a_{x}") - F.col(f"b_{x}")) <= reach)
-    pairs = a.join(b, [*keys, *[f"__{x}" for x in axes]]).where(near)
+    cube = [*keys, *[f"__{x}" for x in axes]]
+    dense = a.groupBy(*cube).agg(F.ceil(F.count("*") / PART).cast("int").alias("__parts")).where("__parts > 1")
+    parts = F.coalesce("__parts", F.lit(1))
+    a = a.join(dense, cube, "left").withColumn("__part", F.pmod(F.xxhash64("a_id"), parts).cast("int")).drop("__parts")
+    b = b.join(dense, cube, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    pairs = a.join(b, [*cube, "__part"]).where(near)
     return pairs.select(*keys, "a_id", "b_id", squared_distance("a", "b", axes).alias("d2"), *[f"{s}_{c}" for c in more for s in "ab"])
 
 

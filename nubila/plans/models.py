@@ -353,6 +353,12 @@ def filled_nucleus(spark, d):
     return shaped(raster.filled_outline(sampling.random_outline(spark, radius=12.0, centre=(20.0, 20.0)), shape), "ix iy")
 
 
+@query()
+def nucleus_parts(spark, d):
+    """A small nucleus of two slices with one nucleolus."""
+    return sampling.random_nucleus(spark, 2, 9.0, 1, 2.0, 60, 20)
+
+
 # --- searches ----------------------------------------------------------------------------------------------------------------------
 
 

@@ -404,11 +404,6 @@ def density_2d(spark, d):
     return g.select(F.col("label").cast("long").alias("label"), "n", F.round("density_2D", 9).alias("density"))
 
 
-@query()
-def kmeans_density(spark, d):
-    return cluster.sparse_half(cluster.kmeans(points(spark, d), 10))
-
-
 # --- sampling and simulation -----------------------------------------------------------------------------------------------------
 
 
@@ -539,9 +534,16 @@ def exp1_fit(spark, d):
     return fitting.exponential_fits(by_size(spark, d), ["flag"])
 
 
-@query()
+RESAMPLE = """p AS (SELECT flag, value, row_number() OVER (PARTITION BY flag ORDER BY ring) - 1 AS i, count(*) OVER (PARTITION BY flag) AS n FROM prof),
+s AS (SELECT DISTINCT n, 100 // gcd(100, n) AS up, n // gcd(100, n) AS down, greatest(100, n) // gcd(100, n) AS wide FROM p), k AS (SELECT s.*, t.k, 5 * sqrt(greatest(1 - pow(t.k / (10.0 * wide), 2), 0)) AS x FROM s, (SELECT unnest(range(-2000, 2001)) AS k) t WHERE abs(t.k) <= 10 * wide),
+raw AS (SELECT *, CASE WHEN k = 0 THEN 1 ELSE sin(pi() * k / wide) / (pi() * k / wide) END * list_sum(list_transform(range(0, 31), lambda m: pow(x * x / 4, m) / pow(factorial(CAST(m AS INTEGER))::DOUBLE, 2))) AS h FROM k), taps AS (SELECT n, up, down, k, h * up / sum(h) OVER (PARTITION BY n) AS h FROM raw),
+j AS (SELECT unnest(range(0, 100)) AS j)"""
+
+
+@query(f"WITH {SIZES}, {RESAMPLE} SELECT p.flag, (j.j + 1)::BIGINT AS position, round(sum(p.value * t.h), 4) AS value FROM p CROSS JOIN j JOIN taps t ON t.n = p.n AND t.k = j.j * t.down - p.i * t.up GROUP BY p.flag, j.j")
 def resample_100(spark, d):
-    return fitting.resampled(by_size(spark, d), ["flag"])
+    out = fitting.resampled(by_size(spark, d), ["flag"])
+    return out.select("flag", F.col("position").cast("long").alias("position"), F.round("value", 4).alias("value"))
 
 
 # --- text reader -----------------------------------------------------------------------------------------------------------------

@@ -560,3 +560,39 @@ def test_pipeline_stages(spark, small):
         assert out.columns == odd.columns or set(out.columns) == set(odd.columns), name
         assert stage(spark, odd.limit(0), small).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, odd, small).count() >= 30
+
+
+def test_pipeline_equals_brute_force(spark, tiny):
+    """All stages on the smallest tables against plain loops; only the classifier's weights are taken from its fit."""
+    import corpus_pipeline
+    from test_llm_native import brute_spans, brute_terms
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{tiny}/labels.parquet"))
+    score = lambda t: model if isinstance(model, float) else model.score(t)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if score(r["text"]) < 0.5}
+    whole = brute_components(list(texts.items()), 5, 80)
+    texts = {i: t for i, t in texts.items() if whole[i][1] == i}
+    items = [w for w in (decontaminate.tokens(r["text"]) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()) if w]
+    leaks = lambda t: any(longest_first(w, decontaminate.tokens(t), min(5, len(w))) >= 0.8 * len(w) for w in items if len(set(w) & set(decontaminate.tokens(t))) >= 0.5 * len(set(w)))
+    texts = {i: t or "" for i, t in texts.items() if not leaks(t)}
+    clean, order = {}, list(texts)
+    for i, terms in zip(order, brute_terms([texts[i] for i in order]), strict=True):
+        base = [x.split(":") for x in brute_spans(texts[i]).split(",") if x]
+        kinds = ("email", "ip", "card", "phone")
+        spans = sorted([(int(a), kinds.index(k), int(b), f"[{k.upper()}]") for k, a, b in base] + [(a, 9, b, "[NUMBER]" if w.isdigit() else "[TERM]") for a, b, w in terms])
+        at, out = 0, ""
+        for a, _, b, new in spans:
+            if a >= at:
+                out += texts[i][at:a] + new
+            at = max(at, b)
+        clean[i] = out + texts[i][at:]
+    encode, want = Tokenizer.from_file(PATH), set()
+    for i, t in clean.items():
+        ids = [*encode.encode(t, add_special_tokens=False).ids, 0]
+        first = (len(ids) - 1) % 2048 + 1
+        for k, (a, b) in enumerate([(0, first)] + [(a, a + 2048) for a in range(first, len(ids), 2048)]):
+            want.add((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    got = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, tiny).collect()]
+    assert len(got) == len(want) and set(got) == want and len(texts) < docs.count()

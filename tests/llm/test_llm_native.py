@@ -165,6 +165,29 @@ def test_pii_and_chat_deal_hot_texts(spark, monkeypatch):
     test_pii_terms_far_from_the_entity(spark)
 
 
+def test_stored_intermediates_can_be_dropped(spark):
+    import os
+
+    from nubila.llm import common
+
+    common.drop_stored(spark)
+    kept = common.stored(spark.range(3), "kept")
+    path = common._GIVEN[-1]
+    assert kept.count() == 3 and os.path.exists(path)
+    assert common.drop_stored(spark) == 1 and not os.path.exists(path)
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as Some
+
+    from nubila.llm import common
+
+    unset = Some(isDefined=lambda: False)
+    context = Some(master="spark://host:7077", _jsc=Some(sc=lambda: Some(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError):
+        common.shared_root(Some(conf=Some(get=lambda key, default: default), sparkContext=context))
+
+
 def test_pii_very_many_spans(spark):
     """A hundred thousand spans in one text, each found and replaced."""
     text = " ".join(f"a{i}@b{i % 97}.example" for i in range(100_000))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nubila.functions.core import uniform
+from nubila.functions.core import ranked, uniform
 from nubila.operators import cluster, filters, fitting, profiles, raster, sampling, spatial
 
 NONE = "id long, x double, y double, z double"
@@ -199,3 +199,91 @@ def test_profiles_and_filters(spark):
     assert filters.filter_axial(z, 0.5).count() == 1 and filters.filter_axial(z.limit(0)).count() == 0 and filters.filter_quantile(z, "z", 0.0).count() == 3
     colours = spark.range(-1, 2).select(filters.cluster_color(F.col("id")).alias("c")).collect()
     assert colours[0]["c"] == [0.7, 0.7, 0.7, 0.5] and colours[1]["c"] != colours[2]["c"]
+
+
+def test_ranked_is_the_place_in_the_whole_order(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), int(v)) for i, v in enumerate(rng.integers(0, 5, 500))]
+    got = ranked(spark.createDataFrame(rows, "id long, v long").repartition(7), "v", "id").collect()
+    want = {i: k + 1 for k, (v, i) in enumerate(sorted((v, i) for i, v in rows))}
+    assert {r["id"]: r["rank"] for r in got} == want
+    assert ranked(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def test_poisson_has_no_upper_bound(spark):
+    """Counts are the inverse distribution at any rate."""
+    for rate in (0.0, 0.3, 7.0, 100.0, 900.0):
+        got = [r["n"] for r in spark.range(400).select(sampling.poisson(uniform("id", 3), F.lit(rate)).alias("n")).collect()]
+        assert abs(np.mean(got) - rate) <= 4 * math.sqrt(rate / 400) + 1e-9
+        u = [r["u"] for r in spark.range(400).select(uniform("id", 3).alias("u")).collect()]
+        for a, n in list(zip(u, got, strict=True))[:40]:
+            below = sum(math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) for k in range(n)) if rate else 0.0
+            assert below <= a + 1e-9 and (rate == 0 or a <= below + math.exp(-rate + n * math.log(rate) - math.lgamma(n + 1)) + 1e-9)
+
+
+def test_distance_map_of_random_masks(spark):
+    rng = np.random.default_rng(8)
+    for fill in (0.3, 0.9, 0.99):
+        grid = rng.random((23, 17)) < fill
+        cells = [(int(i), int(j)) for i, j in np.argwhere(grid)]
+        shape = spark.createDataFrame([(23, 17)], "nx int, ny int")
+        got = {(r["ix"], r["iy"]): r["distance"] for r in raster.distance_map(spark.createDataFrame(cells, "ix int, iy int"), shape).collect()}
+        free = np.argwhere(~grid)
+        for c in cells:
+            want = math.sqrt(((free - c) ** 2).sum(axis=1).min()) if len(free) else None
+            assert got[c] == want or abs(got[c] - want) < 1e-9
+    full = spark.createDataFrame([(i, j) for i in range(3) for j in range(3)], "ix int, iy int")
+    assert {r["distance"] for r in raster.distance_map(full, spark.createDataFrame([(3, 3)], "nx int, ny int")).collect()} == {None}
+
+
+def test_costs_at_several_radii_share_one_join(spark):
+    p, df = cloud(spark, 200, 3, 200.0)
+    got = {r["eps"]: r["cost"] for r in fitting.eps_grid_cost(df, (10.0, 20.0, 30.0), 40.0, 4).collect()}
+    for eps in got:
+        value = fitting.sizes_at(df, eps, 4, "bb_2D").agg(F.avg("bb_2D")).first()[0]
+        assert abs(got[eps] - (abs(value - 40.0) if value is not None else fitting.NO_CLUSTER)) < 1e-9
+
+
+def test_bounded_search_is_no_worse_than_a_grid(spark):
+    p, df = cloud(spark, 200, 3, 200.0)
+    eps, cost = fitting.find_eps(df, 40.0, 10.0, 60.0, 4, tolerance=8.0)
+    grid = min(r["cost"] for r in fitting.eps_grid_cost(df, (10.0, 60.0), 40.0, 4).collect())
+    assert 10 <= eps <= 60 and cost <= grid + 1e-9
+
+
+def test_decay_constants_follow_the_segment(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.uniform(0, 2000, (25, 3))
+    near = np.concatenate([c + rng.normal(0, 25, (20, 3)) for c in centres])
+    own = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(near)], NONE)
+    other = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.uniform(0, 2000, (3000, 3)))], NONE)
+    part = {r["r"]: r["value"] for r in profiles.decay_segments(own, other, 300.0).collect()}
+    fit = profiles.decay_constants(own, other, 300.0).collect()
+    assert len(part) > 3 and len(fit) == 1 and fit[0]["b"] < 0
+    error = lambda a, b: sum((a * math.exp(b * r) - v) ** 2 for r, v in part.items())
+    best = error(fit[0]["a"], fit[0]["b"])
+    assert all(error(fit[0]["a"] * (1 + i * 0.02), fit[0]["b"] * (1 + j * 0.02)) >= best - 1e-9 for i in (-1, 0, 1) for j in (-1, 0, 1))
+
+
+def test_random_nucleus_holds_its_nucleoli(spark):
+    rows = sampling.random_nucleus(spark, 3, 14.0, 2, 2.5, 80, 24, seed=4).collect()
+    nucleus = {(r["slice"], r["ix"], r["iy"]) for r in rows}
+    spots = {(r["slice"], r["ix"], r["iy"]) for r in rows if r["part"] == "nucleolus"}
+    assert len(rows) == len(nucleus) and {s for s, _, _ in spots} == {0, 1, 2} and len(spots) % 3 == 0
+    assert all((s, x, y) in nucleus for s in range(3) for _, x, y in spots)
+    todo, parts = {(x, y) for _, x, y in spots}, 0
+    while todo:
+        parts, front = parts + 1, [todo.pop()]
+        while front:
+            x, y = front.pop()
+            for c in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if c in todo:
+                    todo.remove(c)
+                    front.append(c)
+    assert parts in (1, 2)  # two that touch look like one
+
+
+def test_weighted_rings_without_nucleoli(spark):
+    rings = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "ix int, iy int, ring int")
+    profile = spark.createDataFrame([(1, 2.0, 4.0), (2, 3.0, 0.25)], "ring int, density double, ratio double")
+    assert {(r["iy"], r["density"], r["ratio"]) for r in raster.weighted_rings(rings, profile).collect()} == {(0, 2.0, 8.0), (1, 3.0, 0.125)}

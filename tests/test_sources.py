@@ -102,3 +102,25 @@ def test_particles_and_images(spark, tmp_path):
     assert "1.0 2.0 3.0" in "".join(p.read_text() for p in (tmp_path / "ascii").glob("part-*"))
     page = tables.tiff_pages(spark.createDataFrame([(1, 2, 1, 500.0), (1, 0, 0, 70000.0)], "frame int, ix int, iy int, value double"), 3, 2).first()["tiff"]
     assert bytes(page[:4]) == b"II*\0" and struct.unpack("<6H", bytes(page[8:20])) == (65535, 0, 0, 0, 0, 500)
+
+
+def test_columns_of_late_wide_lines_are_kept(spark, tmp_path):
+    path = tmp_path / "wide.txt"
+    path.write_text("\n".join(["1 2"] * 500 + ["3 4 5"]))
+    rows = text.read_matrix(spark, str(path)).collect()
+    assert len(rows) == 501 and [r["c3"] for r in rows if r["c3"] is not None] == [5.0]
+    assert "c3" not in text.read_matrix(spark, str(path), columns=2).columns
+
+
+def test_blocks_and_intervals_over_many_lines(spark, monkeypatch):
+    monkeypatch.setattr(text, "LINES", 7)
+    monkeypatch.setattr(text, "BUCKET", 5)
+    lines = spark.createDataFrame([(i, " ".join(str(10 * i + k) for k in range(i % 4))) for i in range(1, 60)], "line long, value string").repartition(5)
+    flat = [float(10 * i + k) for i in range(1, 60) for k in range(i % 4)]
+    got = sorted(tuple(r) for r in text.flatten_blocks(lines, 5).collect())
+    assert [v for r in got for v in r[1:] if v is not None] == flat and [r[0] for r in got] == list(range(1, len(got) + 1))
+    spans = spark.createDataFrame([(3, 4), (10, 31), (50, 50)], "low long, high long")
+    inside = {3, 4, 50, *range(10, 32)}
+    assert {r["line"] for r in text.in_intervals(lines, spans).collect()} == inside
+    assert {r["line"] for r in text.in_intervals(lines, spans, keep=False).collect()} == set(range(1, 60)) - inside
+    assert text.in_intervals(lines, spans.limit(0)).count() == 0 and text.in_intervals(lines, spans.limit(0), keep=False).count() == 59
