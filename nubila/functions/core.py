@@ -70,9 +70,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint() in the folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df cut from its lineage: written as Parquet to the folder that all executors share, and read back.
+
+    checkpoint() keeps the constraints of the plan it cuts, and in a loop they grow exponentially with its rounds.
+    """
+    path = new_path(df.sparkSession, "checkpoint")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranked(df: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
