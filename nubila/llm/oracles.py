@@ -68,4 +68,21 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM hashed
 """
 
-SQL = {"op4_minmax_dedup": MINMAX_DEDUP, "op5_chat_format": CHAT_FORMAT, "op10_warc_round_trip": WARC_ROUND_TRIP}
+#: The words of each text, every tenth text made periodic by the crc32 of its id; equal words a quarter of the text apart at most,
+#: joined and cut into islands of one distance; the least distance of each stretch is its period.
+WORD_RUNS = r"""
+WITH bits AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(i))),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k::INT, 1))::BIGINT)), lambda c, b: xor(c // 256, crcs[xor(c, b) % 256 + 1])), 4294967295) AS h FROM documents, bits),
+a AS (SELECT doc_id, w0, len(w0) AS n, h, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM d),
+p AS (SELECT doc_id, w0, n, a, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+words AS (SELECT doc_id, i, n, w0[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1] AS w FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= 6 AND length >= 4 * q GROUP BY doc_id, start, length),
+best AS (SELECT doc_id, count(*) AS n_runs, max_by((start, length, period), (length, -start, -period)) AS r, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, r[1]::BIGINT AS start, r[2]::BIGINT AS length, r[3]::BIGINT AS period, (1000 * r[2] // r[3])::BIGINT AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256 FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op4_minmax_dedup": MINMAX_DEDUP, "op5_chat_format": CHAT_FORMAT, "op10_warc_round_trip": WARC_ROUND_TRIP, "op12_word_runs": WORD_RUNS}

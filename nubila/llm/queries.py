@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, as registered queries, with SQL where SQL can say the same."""
+"""The operators over their whole tables, as registered queries, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubila.llm import chat, decontaminate, fingerprint, html_extract, langid, near_dedup, oracles, packing, pii, toxicity, warc
+from nubila.llm import chat, decontaminate, fingerprint, html_extract, langid, near_dedup, oracles, packing, pii, quality, runs, toxicity, warc
 from nubila.llm.common import id_crc, table
 
 
@@ -82,6 +82,34 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(number("record_id").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_crc(F.col("doc_id")) % 5 == 0
+    learnt = docs.where(~F.coalesce(held_out, F.lit(True)))
+    model = quality.fit_quality(learnt, table(spark, sf_dir, "labels").where(~held_out))
+    return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, n = id_crc(F.col("doc_id")), F.size("__words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("__h"))
+    docs = docs.withColumn("__words", F.when(F.col("__h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
+    g = F.floor(F.col("__h") / 10)
+    docs = docs.withColumn("__n", n).withColumn("__a", F.when(F.col("__n") > 0, g % F.col("__n")).cast("int"))
+    docs = docs.withColumn("__p", (1 + F.floor((F.col("__n") - F.col("__a")) / (3 + g % 8))).cast("int"))
+    rest = F.col("__n") - F.col("__a")
+    again = F.flatten(F.array_repeat(F.slice("__words", F.col("__a") + 1, F.col("__p")), F.ceil(rest / F.col("__p")).cast("int")))
+    periodic = F.array_join(F.concat(F.slice("__words", F.lit(1), F.col("__a")), F.slice(again, F.lit(1), rest)), " ")
+    found = runs.periodic_runs(docs.select("doc_id", F.when(F.col("__a").isNotNull(), periodic).otherwise(F.col("text")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("__best", longest)
+    start, length, period = -F.col("__best.s"), F.col("__best.length"), -F.col("__best.q")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_html_main_text, op3_pii_sanitise, op4_minmax_dedup, op5_chat_format, op6_toxicity, op7_pack, op8_language_id, op9_scaled_sketch, op10_warc_round_trip, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_html_main_text, op3_pii_sanitise, op4_minmax_dedup, op5_chat_format, op6_toxicity, op7_pack, op8_language_id, op9_scaled_sketch, op10_warc_round_trip, op11_quality, op12_word_runs, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
