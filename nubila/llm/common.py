@@ -5,8 +5,9 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -101,13 +102,18 @@ def hot_keys(rows: DataFrame, key: str, weight: str | None = None) -> dict:
     return {k: n for k, n in most.items() if n * HOT_SHARE > total}
 
 
+def named(column: str) -> Column:
+    """The column of that name, whatever is in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def lookup(rows: DataFrame, key: str, facts: DataFrame, hot: dict, spread: Sequence[str]) -> DataFrame:
     """rows left-joined with facts, which has the column `key` and one row for each key; rows without facts get nulls.
 
     The facts of hot keys (fewer than HOT_SHARE rows) are broadcast. Hot and null keys meet nothing in the shuffled join, where
     the columns in `spread` deal their rows over all tasks, so no task holds a hot key's rows.
     """
-    own, more = rows.columns, [c for c in facts.columns if c != key]
+    own, more = [named(c) for c in rows.columns], [c for c in facts.columns if c != key]
     names = [f"__cold_{c}" for c in more]
     cold = facts.select(F.col(key).alias("__lookup_key"), F.lit(0).alias("__lookup_at"), *[F.col(c).alias(n) for c, n in zip(more, names, strict=True)])
     idle = F.col(key).isNull()
@@ -159,3 +165,14 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """`mapInArrow` over short batches."""
     short_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def filter_arrow(df: DataFrame, column: str, keep) -> DataFrame:
+    """The rows of df for which keep(values of the column) is true, over short batches; columns can have any names."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    at, plain = df.columns.index(column), df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return map_arrow(plain, chosen, plain.schema).toDF(*df.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubila.llm.common import map_arrow
+from nubila.llm.common import filter_arrow, map_arrow
 
 LEAST, COVERAGE = 5, 0.8
 #: Item tokens that are sent to the tasks at once.
@@ -188,16 +188,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covera
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of docs, with all their columns, that leak no item."""
-    spark, at, out = docs.sparkSession, docs.columns.index("text"), docs
-
-    def keep(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            for batch in batches:
-                yield batch.filter(pa.array([not block.leaks(t.as_py()) for t in batch.column(at)], pa.bool_()))
-
-        return run
-
+    spark, out = docs.sparkSession, docs
+    keep = lambda sent: lambda texts: [not sent.value.leaks(t) for t in texts]
     for block in item_blocks(benchmark, least, coverage, block_tokens):
-        out = map_arrow(out, keep(spark.sparkContext.broadcast(block)), docs.schema)
+        out = filter_arrow(out, "text", keep(spark.sparkContext.broadcast(block)))
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nubila.llm.arrays import let, pieces, running, sums_before
-from nubila.llm.common import hot_keys, lookup, stored
+from nubila.llm.common import hot_keys, lookup, named, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -195,7 +195,7 @@ def sanitise_documents(docs: DataFrame, alpha: float = 1.5, support: int = 3) ->
     """
     found = find_base(docs.drop("base", "spans", "sanitised"))
     others = [c for c in docs.columns if c not in ("text", "base", "spans", "sanitised")]
-    row = F.xxhash64(*[F.col(c) for c in others if dict(docs.dtypes)[c] in SIMPLE], F.lit(3)).alias("__row")
+    row = F.xxhash64(*[named(c) for c in others if dict(docs.dtypes)[c] in SIMPLE], F.lit(3)).alias("__row")
     plain = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row)
     # Only keys and entities are kept; texts are read again for the terms, the counts and the result.
     held = stored(entities_held(found.select("text", "base")), "pii-entities")

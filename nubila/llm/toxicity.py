@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubila.llm.common import cached, map_arrow, stored
+from nubila.llm.common import cached, filter_arrow, map_arrow, stored
 
 #: Labelled rows in the fit, at most: toxic and ordinary; and windows of one of their texts that train, at most.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_WINDOWS = 1500, 3000, 64
@@ -247,10 +247,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | float, threshold: flo
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel | float, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold; ties at it go. Null text counts as empty."""
-    at = docs.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([s < threshold for s in _scores(model, batch.column(at).to_pylist())], pa.bool_()))
-
-    return map_arrow(docs, keep, docs.schema)
+    return filter_arrow(docs, "text", lambda texts: [s < threshold for s in _scores(model, texts)])

@@ -2,7 +2,8 @@
 
 The writer stores each record as a gzip member of its own, so a file can be read from the middle. The reader deals byte
 ranges of the files to tasks. A task scans its range for the gzip magic, takes a place as a member only if it inflates to a
-WARC header, and owns the records that start inside its range, reading past the range's end to finish the last one.
+WARC header, and owns the records that start inside its range, reading past the range's end to finish the last one. Where a
+range begins inside a member that itself holds gzipped records, the scan of the range before says where its own records begin.
 
 Files live in the folder all executors share and are opened through `pyarrow.fs`, by URI. A task writes to a name of its own
 attempt and renames it when complete, so a repeated task leaves one whole file.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nubila.llm.common import hot_keys, map_arrow, scratch, stored
 
@@ -149,10 +151,14 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     return (bytes(out), used) if out.startswith(b"WARC/") else None
 
 
-def records_in_range(uri: str, begin: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers and block of each record that starts in [begin, end)."""
+def members_in_range(uri: str, begin: int, end: int | None) -> Iterator[tuple[int, bytes]]:
+    """Offset and inflated bytes of the members that a scan from `begin` finds before `end` (None: the file's end), in order.
+
+    After a member the scan goes on at its end, so what lies inside one isn't looked at; but `begin` itself may lie inside one.
+    """
     files, path = opened(uri)
     with files.open_input_file(path) as source:
+        end = source.size() if end is None else end
         window, at = _Window(source, begin), begin
         while at < end:
             found = window.data.find(MAGIC, at - window.begin)
@@ -171,37 +177,78 @@ def records_in_range(uri: str, begin: int, end: int) -> Iterator[tuple[int, dict
             if whole is None:
                 at += 1
                 continue
-            head, _, block = whole[0].partition(b"\r\n\r\n")
-            lines = head.decode("utf-8", "replace").split("\r\n")
-            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-            yield at, headers, block[: int(headers.get("content-length", len(block)))]
+            yield at, whole[0]
             at = whole[1]
 
 
-def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
-    """Reads archives listed as (path, bytes), in byte ranges of `split_bytes`.
+def next_start(uri: str, begin: int, end: int) -> int | None:
+    """Where the scan from `begin` finds its first member at or after `end`; None at the file's end."""
+    return next((at for at, _ in members_in_range(uri, begin, None) if at >= end), None)
 
-    Returns path, offset, record_type, record_id, url, refers_to, payload_digest (as in the header), payload_bytes (of the full
-    payload, by the HTTP header), payload (null for revisits). No files give no rows.
+
+def _length(said: str | None, otherwise: int) -> int:
+    """A length as a header says it; where it says none that can be read, the other one."""
+    return int(said) if said is not None and said.isascii() and said.isdigit() and len(said) < 19 else otherwise
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines after the first, by lower-case name."""
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+def records_in_range(uri: str, begin: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Offset, headers (by lower-case name) and block of each record that a scan from `begin` finds before `end`."""
+    for at, whole in members_in_range(uri, begin, end):
+        head, _, block = whole.partition(b"\r\n\r\n")
+        headers = _fields(head)
+        yield at, headers, block[: _length(headers.get("content-length"), len(block))]
+
+
+def owned_ranges(files: DataFrame, split_bytes: int) -> DataFrame:
+    """path, first and end of the byte ranges of the files: a range owns the records from `first`, which is never inside a member.
+
+    A stored block can hold a gzipped record, which a range that begins inside its member would take for one of the file's. But
+    the range with that member's start scans on to the next member's. So each range is scanned beyond its end for where the next
+    member begins, and a range owns nothing before the furthest such place of the ranges before it.
     """
     spark: SparkSession = files.sparkSession
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("begin"))
     ranges = ranges.select("path", "begin", F.least(F.col("begin") + split_bytes, F.col("bytes")).alias("end"))
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = ranges.repartition(tasks, "path", "begin")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                after = next_start(path, begin, end)
+                yield pa.RecordBatch.from_pydict({"path": [path], "begin": [begin], "end": [end], "after": pa.array([after], pa.int64())})
+
+    followed = map_arrow(ranges.repartition(tasks, "path", "begin"), follow, "path string, begin long, end long, after long")
+    before = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    # At the file's end nothing is left for the ranges behind.
+    furthest = F.max(F.coalesce("after", F.lit(1 << 62))).over(before)
+    owned = followed.select("path", F.greatest("begin", F.coalesce(furthest, F.lit(0))).alias("first"), "end").where("first < end")
+    return stored(owned, "warc-ranges").repartition(tasks, "path", "first")
+
+
+def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
+    """Reads archives listed as (path, bytes), in byte ranges of `split_bytes`.
+
+    Returns path, offset, record_type, record_id, url, refers_to, payload_digest (as in the header), payload_bytes (of the full
+    payload, by the HTTP header), payload (null for revisits). No files give no rows. A length that can't be read counts as the
+    length of what is there; header names are compared without case; members that aren't WARC records are passed over.
+    """
     schema = "path string, offset long, record_type string, record_id string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary"
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, first, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
-                for offset, h, block in records_in_range(path, begin, end):
+                for offset, h, block in records_in_range(path, first, end):
                     http, _, payload = block.partition(b"\r\n\r\n")
-                    fields = dict(x.split(": ", 1) for x in http.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
                     kind = h.get("warc-type", "")
-                    rows.append((path, offset, kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), int(fields.get("Content-Length", len(payload))), None if kind == "revisit" else payload))
+                    rows.append((path, offset, kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), _length(_fields(http).get("content-length"), len(payload)), None if kind == "revisit" else payload))
                     held += len(payload)
                     if len(rows) >= 500 or held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -209,4 +256,4 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return map_arrow(ranges, read, schema)
+    return map_arrow(owned_ranges(files, split_bytes), read, schema)
