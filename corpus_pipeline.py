@@ -8,7 +8,7 @@ result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nubila.llm import decontaminate, near_dedup, packing, pii, toxicity
@@ -40,8 +40,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and the terms that reveal it replaced; n_chars follows the new text. Null texts become empty."""
-    found = pii.sanitise_documents(docs)
-    return found.select(*[F.col("sanitised").alias("text") if c == "text" else F.char_length("sanitised").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c != "text"}  # names that no result of the operator has
+    found = pii.sanitise_documents(docs.toDF(*[own.get(c, c) for c in docs.columns]))
+
+    def kept(c: str) -> Column:
+        return F.col("sanitised") if c == "text" else F.char_length("sanitised").cast("long") if c == "n_chars" else F.col(own[c])
+
+    return found.select(*[kept(c).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
