@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nubila.functions.core import new_path
 from nubila.plans.queries import LIGHT, PTS, points, query, shaped, table, wavelengths
-from nubila.sources import tables, text
+from nubila.sources import lines, tables, text
 
 
 def written_lines(spark, rows, name):
@@ -104,3 +104,36 @@ def reader_formats(spark, d):
     parsed = text.parse_columns(lines, 3, ";", ["hex", "skip", "double"], ["code", "other", "balance"])
     kept = parsed.select("line", "code", "balance")
     return shaped(kept.withColumn("line", F.col("line") - 1 - F.floor((F.col("line") - 1) / 11)), "line code", "balance")
+
+
+@query("SELECT row_number() OVER (ORDER BY CASE o_orderkey % 50 WHEN 7 THEN 0 WHEN 8 THEN 2 ELSE 1 END, o_orderkey) AS line, o_orderkey::VARCHAR || ' ' || o_orderpriority AS value FROM orders")
+def line_numbers(spark, d):
+    """Numbers over parts of very unequal size, of which Spark reads the largest first."""
+    path, k = new_path(spark, "numbers"), F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("place"), F.concat_ws(" ", k.cast("string"), "o_orderpriority").alias("value"))
+    for name, part in (("a", rows.where("place % 50 = 7")), ("b", rows.where("place % 50 NOT IN (7, 8)")), ("c", rows.where("place % 50 = 8"))):
+        part.orderBy("place").select("value").write.text(f"{path}/{name}")
+    return text.read_lines(spark, path)
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS step, o_orderkey::VARCHAR AS value FROM orders UNION ALL SELECT 3, c_custkey::VARCHAR FROM customer")
+def reader_resume(spark, d):
+    """Three reads of a growing folder, each from the position where the one before ended."""
+    path, position, out = new_path(spark, "growing"), None, None
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("place"))
+    for step, rows in enumerate((orders.where("place % 3 = 0"), orders.where("place % 3 <> 0"), table(spark, d, "customer").select(F.col("c_custkey").alias("place"))), 1):
+        rows.select(F.col("place").cast("string").alias("value")).write.mode("append").text(path)
+        found, position = lines.read_on(spark, path, position)
+        part = found.select(F.lit(step).cast("long").alias("step"), "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey)::BIGINT AS line, s_suppkey * 7 AS c1, round(s_acctbal, 2) AS c2, s_name AS c4 FROM supplier QUALIFY line BETWEEN 3 AND 40")
+def reader_format_string(spark, d):
+    """Columns by a format string, of a range of rows; the header and the delimiter are found."""
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(k.alias("place"), F.concat_ws(";", F.hex(k * 7), F.format_string("%.2f", "s_acctbal"), F.lit("9"), "s_name").alias("value"))
+    path = written_lines(spark, rows, "formatted")
+    out = text.read_matrix(spark, path, header_lines=0, delimiter=";", format_string="%x;%f;%*d;%s", rows=(3, 40))
+    return shaped(out, "line c1", "c2", "c4")

@@ -1,59 +1,83 @@
 """A reader of delimited text with replacements, line filters and gap filling, as one DataFrame plan.
 
-Lines keep their one-based number in their file's order; files are read whole-line splittable by Spark.
+Lines keep their one-based number in the order of file names and places, whatever parts Spark reads (see `lines`).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-NUMBER = re.compile(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eEdD][+-]?\d+)?$|^[+-]?(?:nan|inf)$", re.I)
-#: Lines that are looked at to guess a file's form: its header, delimiter and decimal mark. Columns are counted over all lines.
-SAMPLE = 200
+from nubila.sources.lines import LineIndex, line_index, lines_of
+
+#: A number as a field, in any case; gaps are fields too.
+NUMBER = r"(?i)^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[ed][+-]?[0-9]+)?|[+-]?(?:nan|inf))?$"
+#: Delimiters that are tried, and with which of them a comma can be the decimal mark.
+DELIMITERS = ((";", False), (";", True), ("\t", False), ("\t", True), (",", False), (" ", False), (" ", True))
 #: Lines of a block in flatten_blocks, and least width of a bucket in in_intervals.
 LINES, BUCKET = 100_000, 1024
 
 
-def read_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
-    """Lines (line, value) of a file, numbered from 1.
+def read_lines(spark: SparkSession, path: str, line_sep: str | None = None, rows: tuple[int, int] | None = None) -> DataFrame:
+    """Lines (line, value) of a file or folder, numbered from 1 in the order of file names and places.
+
+    rows: the first and last line that are wanted; only the byte ranges that hold them are read.
+    """
+    index = line_index(spark, path, line_sep)
+    return _numbered(spark, index, rows)
+
+
+def _numbered(spark: SparkSession, index: LineIndex, rows: tuple[int, int] | None = None) -> DataFrame:
+    lines = lines_of(spark, index.within(*rows) if rows else index).select("line", "value")
+    return lines.where(F.col("line").between(*rows)) if rows else lines
+
+
+def _delimited(delimiter: str) -> str:
+    return r"\s+" if delimiter == " " else re.escape(delimiter)
+
 
-    Numbers come from the order of the file's parts: counts of each part are summed up to it, so no task sees all lines.
+def detect_form(lines: DataFrame) -> dict:
+    """Header lines, delimiter, decimal comma and columns of lines (line, value), by what most lines agree with.
+
+    For each delimiter and decimal mark all lines are counted whose fields are numbers or gaps; the first of them ends the header. All
+    lines count, in one pass that gives one row. A delimiter at a line's end opens no field.
+    """
+    each = [F.count("*").alias("n"), F.count_if(F.contains("value", F.lit(","))).alias("commas")]
+    for k, (delimiter, comma) in enumerate(DELIMITERS):
+        plain = F.translate("value", ",", ".") if comma else F.col("value")
+        fields = F.split(F.regexp_replace(F.trim(plain), f"(?:{_delimited(delimiter)})$", ""), _delimited(delimiter), -1)
+        good = F.forall(fields, lambda f: F.trim(f).rlike(NUMBER)) & (F.trim("value") != "") & (F.size(fields) > 0)
+        each += [F.count_if(good).alias(f"good{k}"), F.min(F.when(good, F.col("line"))).alias(f"first{k}"), F.max(F.when(good, F.size(fields))).alias(f"columns{k}")]
+    row, best = lines.agg(*each).first(), (-1.0, None)
+    for k, (delimiter, comma) in enumerate(DELIMITERS):
+        if row[f"good{k}"]:
+            score = row[f"good{k}"] * 100 + min(row[f"columns{k}"], 50) - 10 * comma * (not row["commas"]) - 5 * (delimiter == " ") - comma
+            if score > best[0]:
+                best = (score, {"header_lines": row[f"first{k}"] - 1, "delimiter": delimiter, "decimal_comma": comma, "columns": row[f"columns{k}"]})
+    return best[1] or {"header_lines": row["n"], "delimiter": " ", "decimal_comma": False, "columns": 0}
+
+
+#: Conversions of a format string and the kinds they mean; with a star the field is left out.
+CONVERSIONS = {"f": "double", "g": "double", "e": "double", "d": "bigint", "i": "bigint", "u": "bigint", "x": "hex", "s": "string"}
+
+
+def kinds_of(format_string: str) -> list[str]:
+    """The kinds of columns that a format string names: "%f %x %*s" are a double, a hexadecimal number and a field left out.
+
+    Widths are passed over; what stands between conversions is the delimiter's affair. Other conversions are an error.
     """
-    reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
-    raw = reader.text(path).withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
-    parts = raw.groupBy("__p").agg(F.count("*").alias("n"))
-    start = parts.withColumn("__start", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    numbered = raw.join(F.broadcast(start), "__p")  # one row for each part of the file
-    return numbered.select((F.col("__start") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1).alias("line"), "value")
-
-
-def detect(sample: Sequence[str]) -> dict:
-    """Guessed header lines, delimiter, decimal comma and columns of a text sample."""
-    def fields(text: str, delimiter: str) -> list[str]:
-        parts = text.split() if delimiter == " " else [p.strip() for p in text.split(delimiter)]
-        return parts if parts and parts[-1] != "" else parts[:-1]
-
-    best = (-1.0, None)
-    for delimiter in (";", "\t", ",", " "):
-        for comma in (False, True):
-            if comma and delimiter == ",":
-                continue
-            swap = (lambda t: t.replace(",", ".")) if comma else (lambda t: t)
-            good = [bool(f) and all(NUMBER.match(swap(x)) or x == "" for x in f) for f in (fields(t, delimiter) for t in sample)]
-            if any(good):
-                header = good.index(True)
-                widths = Counter(len(fields(t, delimiter)) for t, g in zip(sample, good, strict=True) if g)
-                columns = max(widths)
-                score = sum(good) * 100 + min(columns, 50) - 10 * comma * (not any("," in t for t in sample)) - 5 * (delimiter == " ") - comma
-                if score > best[0]:
-                    best = (score, {"header_lines": header, "delimiter": delimiter, "decimal_comma": comma, "columns": columns})
-    return best[1] or {"header_lines": len(sample), "delimiter": " ", "decimal_comma": False, "columns": 0}
+    kinds = []
+    for star, letter in re.findall(r"%(\*?)[0-9.]*(?:l|h)?([A-Za-z])", format_string):
+        if letter.lower() not in CONVERSIONS:
+            raise ValueError(f"%{letter} is no conversion")
+        kinds.append("skip" if star else CONVERSIONS[letter.lower()])
+    if len(kinds) != format_string.count("%"):
+        raise ValueError(f"{format_string} has an unknown conversion")
+    return kinds
 
 
 def clean_lines(lines: DataFrame, replace_regex: Sequence[tuple[str, str]] = (), replace_text: Sequence[tuple[Sequence[str], str]] = (), replace_chars: Sequence[str] = (), bad: Sequence[str] = (), good: Sequence[str] = (), select: Callable[[Column], Column] | None = None, rows: tuple[int, int] | None = None, header_lines: int = 0) -> DataFrame:
@@ -91,8 +115,7 @@ def parse_columns(lines: DataFrame, columns: int, delimiter: str = " ", kinds: S
 
     kinds: a Spark type for each column, "hex" for hexadecimal integers, "skip" to leave it out; or one for all.
     """
-    pattern = r"\s+" if delimiter == " " else re.escape(delimiter)
-    parts = F.split(F.trim(F.col("value")), pattern, -1)
+    parts = F.split(F.trim(F.col("value")), _delimited(delimiter), -1)
     kinds = [kinds] * columns if isinstance(kinds, str) else list(kinds)
     names = names or [f"c{i + 1}" for i in range(columns)]
     out = []
@@ -108,8 +131,7 @@ def flatten_blocks(lines: DataFrame, columns: int, delimiter: str = " ") -> Data
 
     Line breaks don't matter; each number's place is the sum of the counts before it, by line number.
     """
-    pattern = r"\s+" if delimiter == " " else re.escape(delimiter)
-    split = lines.select("line", F.filter(F.split(F.trim("value"), pattern, -1), lambda p: F.trim(p) != "").alias("p"))
+    split = lines.select("line", F.filter(F.split(F.trim("value"), _delimited(delimiter), -1), lambda p: F.trim(p) != "").alias("p"))
     # Blocks of lines, of which there is one count each, are summed up first; then the lines inside each block.
     split = split.withColumn("__block", F.floor(F.col("line") / LINES))
     sizes = split.groupBy("__block").agg(F.sum(F.size("p")).alias("n"))
@@ -121,25 +143,31 @@ def flatten_blocks(lines: DataFrame, columns: int, delimiter: str = " ") -> Data
     return rows.agg(*[F.max(F.when(F.col("k") % columns == i, F.col("v"))).alias(f"c{i + 1}") for i in range(columns)]).select((F.col("r") + 1).alias("line"), *[f"c{i + 1}" for i in range(columns)])
 
 
-def read_matrix(spark: SparkSession, path: str, columns: int | None = None, header_lines: int | None = None, delimiter: str | None = None, decimal_comma: bool | None = None, kinds: Sequence[str] | str = "double", mode: str = "matrix", line_sep: str | None = None, grow: bool = False, **cleaning) -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, columns: int | None = None, header_lines: int | None = None, delimiter: str | None = None, decimal_comma: bool | None = None, kinds: Sequence[str] | str = "double", mode: str = "matrix", line_sep: str | None = None, grow: bool = False, rows: tuple[int, int] | None = None, format_string: str | None = None, **cleaning) -> DataFrame:
     """A text file as a numeric table (mode "matrix", "line", "auto"), re-dealt numbers ("block") or clean lines ("char", "cell", "string").
 
-    What isn't given is guessed from the first lines, but for the columns: those of the widest line, unless `columns` is given
-    without `grow`. See clean_lines for the rest.
+    What isn't given is found from all lines; the columns are those of the widest line, unless `columns` is given without `grow`.
+    rows: first and last line after the header; with the header given, only the byte ranges that hold them are read. format_string
+    stands for kinds and columns. See clean_lines for the rest.
     """
-    lines = read_lines(spark, path, line_sep)
-    form = detect([r["value"] for r in lines.where(F.col("line") <= SAMPLE).orderBy("line").collect()])
+    index = line_index(spark, path, line_sep)
+    lines = _numbered(spark, index)
+    if format_string is not None:
+        kinds = kinds_of(format_string)
+        columns = len(kinds)
+    form = detect_form(lines) if header_lines is None or delimiter is None else {"header_lines": 0, "delimiter": delimiter, "decimal_comma": False}
     header = form["header_lines"] if header_lines is None else header_lines
     delimiter = form["delimiter"] if delimiter is None else delimiter
     if decimal_comma or (decimal_comma is None and form["decimal_comma"]):
         cleaning["replace_chars"] = [*cleaning.get("replace_chars", ()), ",."]
-    cleaned = clean_lines(lines, header_lines=header, **cleaning)
+    if rows:
+        lines = _numbered(spark, index, (rows[0] + header, rows[1] + header))
+    cleaned = clean_lines(lines, header_lines=header, rows=rows, **cleaning)
     if mode in ("char", "cell", "string"):
         return cleaned
     if grow or columns is None:
-        pattern = r"\s+" if delimiter == " " else re.escape(delimiter)
         # A delimiter at a line's end opens no column.
-        parts = F.split(F.regexp_replace(F.trim("value"), f"(?:{pattern})$", ""), pattern)
+        parts = F.split(F.regexp_replace(F.trim("value"), f"(?:{_delimited(delimiter)})$", ""), _delimited(delimiter))
         columns = cleaned.agg(F.max(F.size(parts))).first()[0] or 0
     return flatten_blocks(cleaned, columns, delimiter) if mode == "block" else parse_columns(cleaned, columns, delimiter, kinds)
 

@@ -1,11 +1,12 @@
 """Readers and writers."""
 
+import gzip
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from nubila.sources import tables, text
+from nubila.sources import lines, tables, text
 
 
 @pytest.fixture
@@ -124,3 +125,113 @@ def test_blocks_and_intervals_over_many_lines(spark, monkeypatch):
     assert {r["line"] for r in text.in_intervals(lines, spans).collect()} == inside
     assert {r["line"] for r in text.in_intervals(lines, spans, keep=False).collect()} == set(range(1, 60)) - inside
     assert text.in_intervals(lines, spans.limit(0)).count() == 0 and text.in_intervals(lines, spans.limit(0), keep=False).count() == 59
+
+
+def numbered(folder, name_order):
+    """file name, offset, number in the file, number of all, text of each line, by plain Python."""
+    out, n = [], 0
+    for name in name_order:
+        raw, at = (folder / name).read_bytes(), 0
+        ends = b"\n" if b"\n" in raw or b"\r" not in raw else b"\r"
+        parts = raw.split(ends)
+        for k, part in enumerate(parts if parts[-1] else parts[:-1]):
+            n += 1
+            out.append((name, at, k + 1, n, part.removesuffix(b"\r").decode()))
+            at += len(part) + 1
+    return out
+
+
+def as_tuples(df):
+    return sorted((r["file"].rpartition("/")[2], r["offset"], r["number"], r["line"], r["value"]) for r in df.collect())
+
+
+def test_line_numbers_over_unequal_parts(spark, tmp_path):
+    """Spark reads the largest part first; numbers follow the names, whatever the byte ranges and the session's splits."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for name, n in (("a", 3), ("b", 5000), ("c", 100), ("_hidden", 7)):
+        (folder / name).write_text("".join(f"{name} {i} {'x' * (i % 17)}\n" for i in range(n)))
+    (folder / "d").write_bytes(b"one\r\ntwo\r\n\r\nlast, unfinished")
+    (folder / "e").write_bytes(b"only\rreturns\rhere")
+    (folder / "f").write_bytes(b"")
+    want = numbered(folder, "abcde")
+    for size in (1, 7, 64, 1000, None):
+        if size == 1:
+            index = lines.line_index(spark, str(folder / "d"), range_bytes=1)
+            assert as_tuples(lines.lines_of(spark, index)) == sorted(numbered(folder, "d"))
+            continue
+        index = lines.line_index(spark, str(folder), range_bytes=size and size * 40)
+        assert as_tuples(lines.lines_of(spark, index)) == sorted(want) and index.lines == len(want)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = text.read_lines(spark, str(folder)).orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["line"], r["value"]) for r in got] == [(n, v) for _, _, _, n, v in want]
+    assert [r["line"] for r in text.read_lines(spark, str(folder), rows=(5001, 5004)).orderBy("line").collect()] == [5001, 5002, 5003, 5004]
+
+
+def test_ranges_outside_the_wanted_rows_are_not_read(spark, file):
+    path = file("".join(f"{i}\n" for i in range(1, 2001)))
+    index = lines.line_index(spark, path, range_bytes=500)
+    near = index.within(1000, 1003)
+    assert len(index.ranges) > 15 and 1 <= len(near.ranges) <= 2
+    assert {1000, 1001, 1002, 1003} <= {r["line"] for r in lines.lines_of(spark, near).collect()}
+    assert index.within(3000, 4000).ranges == [] and lines.lines_of(spark, index.within(3000, 4000)).count() == 0
+
+
+def test_reading_on_equals_the_tail_of_a_whole_read(spark, tmp_path):
+    """Positions kept as text; lines are taken once they are finished, each once, with the numbers of a whole read."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    steps = [{"a": b"1\n2\n3"}, {"a": b"4 goes on\n5\n"}, {}, {"b": b"x\r\n" * 50 + b"y"}, {"a": b"6\n", "b": b"\r\nz\r\n"}, {"c": b"no end"}]
+    position, got = lines.Position(), []
+    for step in steps:
+        for name, more in step.items():
+            with (folder / name).open("ab") as f:
+                f.write(more)
+        df, position = lines.read_on(spark, str(folder), lines.Position.from_json(position.to_json()), range_bytes=16)
+        new = [(r["file"].rpartition("/")[2], r["offset"], r["number"], r["value"]) for r in df.collect()]
+        assert bool(new) == (step not in ({}, {"c": b"no end"}))
+        got += new
+    assert sorted(got) == sorted((f, o, k, v) for f, o, k, _, v in numbered(folder, "ab"))
+    (folder / "a").write_bytes(b"1\n")
+    with pytest.raises(ValueError, match="had been read"):
+        lines.read_on(spark, str(folder), position)
+
+
+def test_packed_files_other_ends_and_very_long_lines(spark, tmp_path):
+    rows = [f"row {i}" for i in range(3000)]
+    (tmp_path / "p.txt.gz").write_bytes(gzip.compress("\n".join(rows).encode()))
+    assert [r["value"] for r in text.read_lines(spark, str(tmp_path / "p.txt.gz")).orderBy("line").collect()] == rows
+    (tmp_path / "s.txt").write_text("a|b|c")
+    assert [r["value"] for r in text.read_lines(spark, str(tmp_path / "s.txt"), "|").orderBy("line").collect()] == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="one byte"):
+        text.read_lines(spark, str(tmp_path / "s.txt"), "ab")
+    with pytest.raises(FileNotFoundError):
+        text.read_lines(spark, str(tmp_path / "absent"))
+    (tmp_path / "long.txt").write_text("s\n" + "y" * 5_000_000 + "\nt\n")
+    index = lines.line_index(spark, str(tmp_path / "long.txt"), range_bytes=300_000)
+    assert [(r["line"], len(r["value"])) for r in lines.lines_of(spark, index).orderBy("line").collect()] == [(1, 1), (2, 5_000_000), (3, 1)]
+
+
+def test_headers_longer_than_any_sample_and_forms(spark, file):
+    path = file("".join(f"header {i}\n" for i in range(700)) + "1;2,5;\n3;;4\n" * 400)
+    form = text.detect_form(text.read_lines(spark, path))
+    assert form == {"header_lines": 700, "delimiter": ";", "decimal_comma": True, "columns": 3}
+    got = text.read_matrix(spark, path, rows=(1, 2)).orderBy("line").collect()
+    assert [tuple(r) for r in got] == [(1, 1.0, 2.5, None), (2, 3.0, None, 4.0)]
+    assert text.detect_form(text.read_lines(spark, file("only words\n", "w.txt")))["header_lines"] == 1
+    for content, want in (("1,2,3\n", (",", False, 3)), ("1 2\n", (" ", False, 2)), ("1,5 2,5\n", (" ", True, 2)), ("-1e3\tNaN\n", ("\t", False, 2)), ("7\n", (";", False, 1))):
+        form = text.detect_form(text.read_lines(spark, file(content * 3, "f.txt")))
+        assert (form["delimiter"], form["decimal_comma"], form["columns"]) == want, content
+
+
+def test_format_strings(spark, file):
+    assert text.kinds_of("%f %5.2f,%d %x %*s %s") == ["double", "double", "bigint", "hex", "skip", "string"]
+    for wrong in ("%q", "%f %"):
+        with pytest.raises(ValueError, match="conversion"):
+            text.kinds_of(wrong)
+    path = file("1.5 ff skip 7 word\n2.5 0x10 skip 8 other\n")
+    df = text.read_matrix(spark, path, header_lines=0, delimiter=" ", format_string="%f %x %*s %d %s")
+    assert values(df) == [(1.5, 255, 7, "word"), (2.5, 16, 8, "other")] and dict(df.dtypes)["c4"] == "bigint"
