@@ -91,3 +91,30 @@ def ranked(df: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     # One row for each range.
     return dealt.withColumn("__place", place).join(F.broadcast(before), "__range").withColumn(rank, F.col("__place") + F.col("__before")).drop("__range", "__place", "__before")
+
+
+#: A key with more than this share of the rows is hot, unless it has no more than HOT_LEAST of them.
+HOT_SHARE, HOT_LEAST = 1000, 10_000
+
+
+def hot_rows(counts: DataFrame, n: str = "n") -> DataFrame | None:
+    """The rows of counts whose n is more than a HOT_SHARE-th of the sum of n, so fewer than HOT_SHARE; None if there are none."""
+    total = counts.agg(F.sum(n).alias("n"), F.max(n).alias("most")).first()
+    if not total["n"] or total["most"] <= max(HOT_LEAST, total["n"] // HOT_SHARE):
+        return None
+    return counts.where(F.col(n) > max(HOT_LEAST, total["n"] // HOT_SHARE))
+
+
+def looked_up(rows: DataFrame, on: Sequence[str], facts: DataFrame, hot: DataFrame | None, spread: Sequence[str]) -> DataFrame:
+    """rows left-joined with facts, which has one row for each key; rows without facts get nulls.
+
+    The facts of hot keys (hot: from hot_rows, with the columns of `on`) are broadcast, and their rows are dealt by the columns in
+    `spread` in the shuffled join, where they meet nothing; so no task holds a hot key's rows.
+    """
+    if hot is None:
+        return rows.join(facts, list(on), "left")
+    more = [c for c in facts.columns if c not in on]
+    known = facts.join(F.broadcast(hot.select(*on)), list(on), "left_semi").select(*on, *[F.col(c).alias(f"__hot_{c}") for c in more], F.lit(True).alias("__hot"))
+    dealt = rows.join(F.broadcast(known), list(on), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).otherwise(0))
+    joined = dealt.join(facts.withColumn("__salt", F.lit(0).cast("long")), [*on, "__salt"], "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in more])

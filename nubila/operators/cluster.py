@@ -11,43 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nubila.functions.core import checkpointed
-from nubila.operators.spatial import range_join
+from nubila.operators.cells import density_clusters, numbered_clusters
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over undirected edges (a, b). Ids can be of any ordered type.
-
-    Rounds of smallest neighbour label and label jump, each checkpointed; only whether anything changed reaches the driver.
-    """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = checkpointed(vertices.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        lower = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("mid"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))
-        labels = checkpointed(lower.join(jump, "mid", "left").select("id", "was", F.least("mid", F.coalesce("far", "mid")).alias("component")))
-        if labels.where(F.col("was") != F.col("component")).isEmpty():
-            return labels.select("id", "component")
-        labels = labels.select("id", "component")
-
-
-def dbscan(points: DataFrame, eps: float, min_samples: int = 8, axes: Sequence[str] = ("x", "y"), first_label: int = 0, pairs: DataFrame | None = None) -> DataFrame:
-    """points with cluster_label: noise -1, clusters numbered by their smallest core id.
+def dbscan(points: DataFrame, eps: float, min_samples: int = 8, axes: Sequence[str] = ("x", "y"), first_label: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """points with cluster_label: noise -1, clusters numbered by their smallest core id, for each value of the keys.
 
     A core point has min_samples points within eps, itself included; a border point takes the smallest of its clusters, so the
-    result is that of a scan in id order whatever the partitioning. pairs: a range join (a_id, b_id, d2) of at least that radius,
-    if there is one already.
+    result is that of a scan in id order whatever the partitioning. Points without a coordinate are noise.
     """
-    pairs = checkpointed(range_join(points, points, eps, axes).select("a_id", "b_id")) if pairs is None else pairs.where(F.col("d2") <= eps * eps).select("a_id", "b_id")
-    core = checkpointed(pairs.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a_id").alias("id")))
-    to_core = pairs.join(core.withColumnRenamed("id", "b_id"), "b_id", "left_semi")
-    edges = to_core.join(core.withColumnRenamed("id", "a_id"), "a_id", "left_semi").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    parts = connected_components(core, edges)
-    owner = to_core.join(parts.withColumnRenamed("id", "b_id"), "b_id").groupBy(F.col("a_id").alias("id")).agg(F.min("component").alias("component"))
-    # There are few clusters beside points, so numbering them is small.
-    number = parts.select("component").distinct().withColumn("cluster_label", (F.row_number().over(Window.orderBy("component")) - 1 + first_label).cast("int"))
-    labelled = owner.join(number, "component").select("id", "cluster_label")
-    return points.join(labelled, "id", "left").withColumn("cluster_label", F.coalesce("cluster_label", F.lit(-1)))
+    clusters = checkpointed(density_clusters(points, eps, min_samples, axes, keys))
+    labelled = numbered_clusters(clusters, keys, first_label)
+    return points.join(labelled, [*keys, "id"], "left").withColumn("cluster_label", F.coalesce("cluster_label", F.lit(-1)))
 
 
 def cluster_sizes(clustered: DataFrame, keys: Sequence[str] = ("cluster_label",)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nubila.functions.core import ranked, uniform
+from nubila.functions.quantiles import exact_quantiles
 
 
 def _against(df: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,9 +18,8 @@ def _against(df: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def filter_quantile(df: DataFrame, column: str, percent: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows with column between its interpolated quantiles percent and 1 - percent, both included; nulls are dropped."""
-    q = F.percentile(column, F.array(F.lit(percent), F.lit(1 - percent)))
-    bounds = df.groupBy(*keys).agg(q.alias("__q"))
+    """Rows with column between its interpolated quantiles percent and 1 - percent, both included; nulls and NaN are dropped."""
+    bounds = exact_quantiles(df, column, (percent, 1 - percent), keys).withColumnRenamed("q", "__q")
     return _against(df, bounds, keys).where((F.col(column) >= F.col("__q")[0]) & (F.col(column) <= F.col("__q")[1])).drop("__q")
 
 
@@ -136,4 +136,4 @@ def stacked(parts: Sequence[DataFrame]) -> DataFrame:
 
 def plot_limit(df: DataFrame, column: str, share: float = 0.99, keys: Sequence[str] = ()) -> DataFrame:
     """Upper limit of a plot's colours: an interpolated quantile of the values."""
-    return df.groupBy(*keys).agg(F.percentile(column, F.lit(share)).alias("upper"))
+    return exact_quantiles(df, column, (share,), keys).select(*keys, F.col("q")[0].alias("upper"))

@@ -9,9 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nubila.functions.core import checkpointed
 from nubila.operators.cluster import cluster_geometry, cluster_sizes, dbscan
+from nubila.operators.graph import connected_components, spanning_forest
 from nubila.operators.spatial import range_join
 
 #: Cost where no cluster is found.
@@ -93,18 +95,62 @@ def resampled(profile: DataFrame, keys: Sequence[str], points: int = 100, y: str
     return _grouped(profile, keys, (x, y), "position int, value double", run)
 
 
+class RadiusForest:
+    """Density clusters of points (id, axes) at any radius up to `high`, from one join of the points.
+
+    Two points belong together from the radius on at which both are core points and within reach of each other: the greatest of
+    their core distances (to the min_samples-th nearest, itself included) and their own distance. The minimum spanning forest of
+    these links has the same components at every radius, so a radius is a cut of the forest. A point that is no core point at a
+    radius has all its neighbours within it among its min_samples - 1 nearest, which are kept for the border points.
+
+    Work and space grow with the pairs of points within `high`; afterwards each radius costs no more than the points.
+    """
+
+    def __init__(self, points: DataFrame, high: float, min_samples: int = 8, axes: Sequence[str] = ("x", "y")):
+        self.points, self.high, self.least = points, float(high), min_samples
+        pairs = checkpointed(range_join(points, points, high, axes).select("a_id", "b_id", "d2"))
+        place = F.row_number().over(Window.partitionBy("a_id").orderBy("d2", "b_id"))
+        # The rank's limit is applied by every task before the shuffle.
+        self.near = checkpointed(pairs.withColumn("rank", place).where(F.col("rank") <= min_samples))
+        self.core = checkpointed(self.near.where(F.col("rank") == min_samples).select(F.col("a_id").alias("id"), F.col("d2").alias("core2")))
+        a, b = (self.core.select(F.col("id").alias(f"{s}_id"), F.col("core2").alias(f"{s}_core")) for s in "ab")
+        links = pairs.where("a_id < b_id").join(a, "a_id").join(b, "b_id")
+        self.forest = spanning_forest(links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.greatest("a_core", "b_core", "d2").alias("w")))
+
+    def clusters(self, eps: float) -> DataFrame:
+        """(id, component) of the points in clusters at a radius, as density_clusters gives them."""
+        if eps > self.high:
+            raise ValueError(f"the forest reaches to {self.high}")
+        square = float(eps) * float(eps)
+        core = self.core.where(F.col("core2") <= square).select("id")
+        parts = checkpointed(connected_components(core, self.forest.where(F.col("w") <= square)))
+        loose = self.near.where(F.col("d2") <= square).join(core.withColumnRenamed("id", "a_id"), "a_id", "left_anti")
+        border = loose.join(parts.withColumnRenamed("id", "b_id"), "b_id").groupBy(F.col("a_id").alias("id")).agg(F.min("component").alias("component"))
+        return parts.union(border)
+
+    def sizes(self, eps: float, metric: str = "bb_2D") -> DataFrame:
+        """component and the metric of each cluster at a radius."""
+        found = self.points.join(self.clusters(eps), "id")
+        rows = cluster_sizes(found, ["component"]) if metric.startswith("bb") else cluster_geometry(found, ["component"])
+        return rows.select("component", metric)
+
+    def signed_cost(self, eps: float, target: float, metric: str = "bb_2D") -> float:
+        """Mean cluster size less the target; -100 where no cluster is found."""
+        value = self.sizes(eps, metric).agg(F.avg(metric).alias("v")).first()["v"]
+        return -100.0 if value is None else float(value) - target
+
+
 def eps_grid_cost(points: DataFrame, radii: Sequence[float], target: float, min_samples: int = 8, metric: str = "bb_2D") -> DataFrame:
-    """|mean cluster size - target| for each radius; 99999 where no cluster is found. Points are joined once, at the largest."""
-    pairs, out = checkpointed(range_join(points, points, max(radii), ("x", "y"))), None
+    """|mean cluster size - target| for each radius; 99999 where no cluster is found. One forest serves all radii."""
+    forest, out = RadiusForest(points, max(radii), min_samples), None
     for eps in radii:
-        sizes = sizes_at(points, eps, min_samples, metric, pairs)
-        one = sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.abs(F.avg(metric) - target), F.lit(NO_CLUSTER)).alias("cost")).select(F.lit(float(eps)).alias("eps"), "clusters", "cost")
+        one = forest.sizes(eps, metric).agg(F.count("*").alias("clusters"), F.coalesce(F.abs(F.avg(metric) - target), F.lit(NO_CLUSTER)).alias("cost")).select(F.lit(float(eps)).alias("eps"), "clusters", "cost")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def sizes_at(points: DataFrame, eps: float, min_samples: int, metric: str, pairs: DataFrame | None = None) -> DataFrame:
-    clustered = dbscan(points, eps, min_samples, pairs=pairs)
+def sizes_at(points: DataFrame, eps: float, min_samples: int, metric: str) -> DataFrame:
+    clustered = dbscan(points, eps, min_samples)
     return (cluster_sizes(clustered) if metric.startswith("bb") else cluster_geometry(clustered)).select("cluster_label", metric)
 
 
@@ -148,10 +194,11 @@ def signed_cost(points: DataFrame, eps: float, target: float, min_samples: int =
 
 
 def find_eps(points: DataFrame, target: float, low: float = 10.0, high: float = 200.0, min_samples: int = 8, metric: str = "bb_2D", tolerance: float = 1.0) -> tuple[float, float]:
-    """Radius in [low, high] whose mean cluster size comes nearest to the target, and its cost."""
+    """Radius in [low, high] whose mean cluster size comes nearest to the target, and its cost; one forest serves the search."""
+    forest = RadiusForest(points, high, min_samples)
 
     def cost(eps: float) -> float:
-        value = signed_cost(points, eps, target, min_samples, metric)
+        value = forest.signed_cost(eps, target, metric)
         return NO_CLUSTER if value == -100.0 else abs(value)
 
     return bounded_minimum(cost, low, high, tolerance)
@@ -163,13 +210,23 @@ def with_targets(samples: DataFrame, targets: DataFrame) -> DataFrame:
     return key(samples).join(key(targets).drop("fraction"), "__f").drop("__f")
 
 
-def chained_radii(samples: DataFrame, targets: dict[float, float], start: float = 30.0, back: float = 2.0, **search) -> DataFrame:
-    """fraction, eps, cost, steps: step halving for each fraction, dense first; each search starts at the last result less `back`."""
+def chained_radii(samples: DataFrame, targets: dict[float, float], start: float = 30.0, back: float = 2.0, reach: float = 2.0, min_samples: int = 8, **search) -> DataFrame:
+    """fraction, eps, cost, steps: step halving for each fraction, dense first; each search starts at the last result less `back`.
+
+    A fraction's forest reaches to `reach` times where its search starts, and is grown to as much beyond a step that leaves it.
+    """
     rows = []
     for fraction, target in sorted(targets.items(), reverse=True):
         part = samples.where(F.abs(F.col("fraction") - fraction) < 1e-9)
-        eps, cost, steps = halving_search(lambda e: signed_cost(part, e, target), start, **search)  # noqa: B023
-        rows.append((float(fraction), float(eps), float(cost), int(steps)))
+        forests = [RadiusForest(part, reach * start, min_samples)]
+
+        def cost(eps: float) -> float:
+            if eps > forests[-1].high:  # noqa: B023
+                forests.append(RadiusForest(part, reach * eps, min_samples))  # noqa: B023
+            return forests[-1].signed_cost(eps, target)  # noqa: B023
+
+        eps, value, steps = halving_search(cost, start, **search)
+        rows.append((float(fraction), float(eps), float(value), int(steps)))
         start = max(eps - back, 1.0)
     return samples.sparkSession.createDataFrame(rows, "fraction double, eps double, cost double, steps int")
 

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nubila.functions.core import grid_index, voxel_index
-from nubila.operators.cluster import connected_components
+from nubila.functions.core import checkpointed, grid_index, voxel_index
+from nubila.operators.graph import connected_components
 
 FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
 EIGHT = (*FOUR, (1, 1), (1, -1), (-1, 1), (-1, -1))
@@ -82,20 +82,65 @@ def gaussian_kernel(sigma: float, radius: int) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
+#: Cells of a tile's edge.
+TILE = 128
+
+
+def tile_rows(cells: DataFrame, reach: int, shape: DataFrame, keys: Sequence[str] = (), tile: int | None = None) -> DataFrame:
+    """Each cell in its tile (tx, ty) and in those around that it is within reach of, where the grid has them."""
+    tile = tile or TILE
+    at = lambda axis, n: F.explode(F.sequence(F.greatest(F.floor((F.col(axis) - reach) / tile), F.lit(0)), F.least(F.floor((F.col(axis) + reach) / tile), F.floor((F.col(n) - 1) / tile))))
+    inside = _with(cells, shape.select(*keys, "nx", "ny"), keys).where("ix BETWEEN 0 AND nx - 1 AND iy BETWEEN 0 AND ny - 1")
+    return inside.withColumn("tx", at("ix", "nx")).withColumn("ty", at("iy", "ny"))
+
+
+def _tiles(shape: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """One row for each tile of the grids."""
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / tile)))
+    rows = shape.select(*keys, "nx", "ny", span("nx").alias("tx")).repartition(*keys, "tx")
+    return rows.select(*keys, "nx", "ny", "tx", span("ny").alias("ty"))
+
+
+def _taps(start: int, n: int, size: int, kernel: Sequence[float], border: str) -> np.ndarray:
+    """The matrix that smooths the cells from `start` on, of a line of n cells, out of these and the kernel's radius around them."""
+    radius = len(kernel) // 2
+    out = np.zeros((min(size, n - start), size + 2 * radius))
+    for i in range(len(out)):
+        for k, w in enumerate(kernel, start=-radius):
+            at = start + i + k
+            turn = at % (2 * n)
+            folded = (turn if turn < n else 2 * n - 1 - turn) if border == "reflect" else min(max(at, 0), n - 1)
+            out[i, folded - start + radius] += w
+    return out
+
+
 def gaussian(grid: DataFrame, shape: DataFrame, sigma: float = 4.0, radius: int | None = None, border: str = "reflect", keys: Sequence[str] = ()) -> DataFrame:
-    """Smoothed values of all cells: two one-dimensional passes with folded borders ("reflect" or "replicate")."""
+    """Smoothed values of all cells, by separable taps with folded borders ("reflect" or "replicate").
+
+    Cells meet in tiles. Only those within the kernel's radius of a tile's edge are sent to the next one too, so the shuffle is that
+    of the occupied cells and a margin, whatever the kernel; inside a tile both passes are products with a band matrix.
+    """
     radius = int(4 * sigma + 0.5) if radius is None else radius
-    kernel = F.array(*[F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(gaussian_kernel(sigma, radius))])
-    value = dense(shape, keys).join(grid.select(*keys, "ix", "iy", F.col("value").cast("double").alias("value")), [*keys, "ix", "iy"], "left").na.fill(0.0, ["value"])
-    for axis, n in (("ix", "nx"), ("iy", "ny")):
-        other = "iy" if axis == "ix" else "ix"
-        taps = _with(dense(shape, keys), shape.select(*keys, n), keys).withColumn("t", F.explode(kernel))
-        at = F.col(axis) + F.col("t.k")
-        turn = F.pmod(at, 2 * F.col(n))
-        folded = F.when(turn < F.col(n), turn).otherwise(2 * F.col(n) - 1 - turn) if border == "reflect" else F.least(F.greatest(at, F.lit(0)), F.col(n) - 1)
-        taps = taps.select(*keys, F.col(axis).alias("to"), other, F.col("t.w").alias("w"), folded.cast("int").alias(axis))
-        value = taps.join(value, [*keys, "ix", "iy"]).groupBy(*keys, F.col("to").alias(axis) if axis == "ix" else "ix", "iy" if axis == "ix" else F.col("to").alias("iy")).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-    return value
+    tile, kernel, kinds = max(TILE, radius), gaussian_kernel(sigma, radius), dict(shape.dtypes)
+    cells = tile_rows(grid.select(*keys, "ix", "iy", F.col("value").cast("double").alias("value")), radius, shape, keys, tile)
+    every = _tiles(shape, keys, tile).select(*keys, "nx", "ny", "tx", "ty", F.lit(None).cast("int").alias("ix"), F.lit(None).cast("int").alias("iy"), F.lit(0.0).alias("value"))
+    rows = cells.select(*keys, "nx", "ny", "tx", "ty", F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), "value").union(every)
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        x0, y0, nx, ny = int(first["tx"]) * tile, int(first["ty"]) * tile, int(first["nx"]), int(first["ny"])
+        known = pdf[pdf["ix"].notna()]
+        values = np.zeros((tile + 2 * radius, tile + 2 * radius))
+        np.add.at(values, (known["ix"].to_numpy(int) - x0 + radius, known["iy"].to_numpy(int) - y0 + radius), known["value"].to_numpy(float))
+        out = _taps(x0, nx, tile, kernel, border) @ values @ _taps(y0, ny, tile, kernel, border).T
+        ix, iy = np.indices(out.shape)
+        done = pd.DataFrame({"ix": (ix + x0).ravel().astype("int32"), "iy": (iy + y0).ravel().astype("int32"), "value": out.ravel()})
+        for k in keys:
+            done.insert(0, k, first[k])
+        return done[[*keys, "ix", "iy", "value"]]
+
+    typed = "".join(f"{k} {kinds[k]}, " for k in keys)
+    return rows.groupBy(*keys, "tx", "ty").applyInPandas(smooth, f"{typed}ix int, iy int, value double")
 
 
 def threshold(grid: DataFrame, cut: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -110,12 +155,57 @@ def shifted(cells: DataFrame, offsets: Sequence[tuple[int, int]], keys: Sequence
     return moved.select(*keys, "fx", "fy", (F.col("fx") + F.col("s.i")).alias("ix"), (F.col("fy") + F.col("s.j")).alias("iy"))
 
 
+def row_runs(mask: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Stretches of neighbouring cells of each row: keys, iy, lo, hi."""
+    w = Window.partitionBy(*keys, "iy").orderBy("ix")
+    cells = mask.select(*keys, "ix", "iy").distinct().withColumn("__run", F.col("ix") - F.row_number().over(w))
+    return cells.groupBy(*keys, "iy", "__run").agg(F.min("ix").alias("lo"), F.max("ix").alias("hi")).drop("__run")
+
+
+def run_cells(runs: DataFrame, keys: Sequence[str] = (), more: Sequence[str] = ()) -> DataFrame:
+    """The cells of runs: keys, ix, iy and more columns."""
+    return runs.select(*keys, F.explode(F.sequence("lo", "hi")).alias("ix"), "iy", *more)
+
+
+def gaps(runs: DataFrame, shape: DataFrame, keys: Sequence[str] = (), margin: int = 0) -> DataFrame:
+    """The stretches of each row of the grids, with a margin around them, that the runs leave free."""
+    rows = shape.select(*keys, "nx", F.explode(F.sequence(F.lit(-margin), F.col("ny") - 1 + margin)).alias("iy")).repartition(*keys, "iy")
+    bounds = rows.join(runs, [*keys, "iy"], "left").withColumn("last", F.col("nx") - 1 + margin)
+    w = Window.partitionBy(*keys, "iy").orderBy("lo")
+    bounds = bounds.withColumns({"before": F.lag("hi").over(w), "behind": F.lead("lo").over(w)})
+    free = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    first = free(F.coalesce(F.col("before") + 1, F.lit(-margin)), F.coalesce(F.col("lo") - 1, F.col("last")))
+    last = F.when(F.col("lo").isNotNull() & F.col("behind").isNull(), free(F.col("hi") + 1, F.col("last")))
+    parts = bounds.select(*keys, "iy", F.explode(F.array(first, last)).alias("g"))
+    return parts.select(*keys, "iy", "g.lo", "g.hi").where("lo <= hi")
+
+
+#: Columns of a bucket in which runs of neighbouring rows meet.
+STRIP = 64
+
+
+def run_components(runs: DataFrame, keys: Sequence[str] = (), diagonal: bool = False) -> DataFrame:
+    """runs with component: the smallest cell (keys, ix, iy) of the connected part.
+
+    Runs are the vertices, so a wide area costs its rows and not its cells. Runs of neighbouring rows that overlap, or with diagonal
+    touch at corners, are linked; they meet in strips of STRIP columns, so no row is one key.
+    """
+    slack = 1 if diagonal else 0
+    cell = F.struct(*keys, F.col("lo").alias("ix"), "iy")
+    own = checkpointed(runs.select(*keys, "iy", "lo", "hi", cell.alias("id")))
+    strips = lambda lo, hi: F.explode(F.sequence(F.floor(lo / STRIP), F.floor(hi / STRIP)))
+    above = own.select(*keys, (F.col("iy") + 1).alias("iy"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("id").alias("a"), strips(F.col("lo") - slack, F.col("hi") + slack).alias("strip"))
+    below = own.select(*keys, "iy", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("id").alias("b"), strips(F.col("lo"), F.col("hi")).alias("strip"))
+    links = above.join(below, [*keys, "iy", "strip"]).where((F.col("a_lo") <= F.col("b_hi") + slack) & (F.col("b_lo") <= F.col("a_hi") + slack))
+    parts = connected_components(own.select("id"), links.select("a", "b"))
+    return own.join(parts, "id").select(*keys, "iy", "lo", "hi", "component")
+
+
 def components(mask: DataFrame, neighbours: Sequence[tuple[int, int]] = FOUR, keys: Sequence[str] = ()) -> DataFrame:
-    """mask with component: the smallest cell (as struct) of each connected part."""
-    cell = lambda x, y: F.struct(*keys, F.col(x).alias("ix"), F.col(y).alias("iy"))
-    edges = shifted(mask, neighbours, keys).join(mask.select(*keys, "ix", "iy"), [*keys, "ix", "iy"]).select(cell("fx", "fy").alias("a"), cell("ix", "iy").alias("b"))
-    parts = connected_components(mask.select(cell("ix", "iy").alias("id")), edges)
-    return parts.select(*[F.col(f"id.{c}").alias(c) for c in (*keys, "ix", "iy")], "component")
+    """mask with component: the smallest cell (as struct) of each connected part. neighbours: FOUR or EIGHT."""
+    if set(neighbours) not in (set(FOUR), set(EIGHT)):
+        raise ValueError("neighbours are four or eight")
+    return run_cells(run_components(row_runs(mask, keys), keys, set(neighbours) == set(EIGHT)), keys, ["component"])
 
 
 def component_sizes(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -124,9 +214,13 @@ def component_sizes(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def largest(parts: DataFrame, count: int = 1, keys: Sequence[str] = ()) -> DataFrame:
     """Cells of the largest components; of equal ones that with the smallest cell."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = component_sizes(parts, keys).withColumn("rank", F.row_number().over(w.orderBy(F.desc("pixels"), "component")))
-    return parts.join(ranked.where(F.col("rank") <= count).select(*keys, "component"), [*keys, "component"], "left_semi").select(*keys, "ix", "iy")
+    sizes = component_sizes(parts, keys)
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(F.desc("pixels"), "component")
+        kept = sizes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count)
+    else:
+        kept = sizes.orderBy(F.desc("pixels"), "component").limit(count)
+    return parts.join(kept.select(*keys, "component"), [*keys, "component"], "left_semi").select(*keys, "ix", "iy")
 
 
 def drop_small(parts: DataFrame, least: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -136,12 +230,15 @@ def drop_small(parts: DataFrame, least: int, keys: Sequence[str] = ()) -> DataFr
 
 
 def fill_holes(mask: DataFrame, shape: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The mask with the background parts that don't reach the border."""
-    around = dense(shape, keys, margin=1)
-    parts = components(around.join(mask, [*keys, "ix", "iy"], "left_anti"), FOUR, keys)
-    outer = parts.where("ix = -1 and iy = -1").select(*keys, F.col("component").alias("outer"))
-    outside = _with(parts, outer, keys).where("component = outer").select(*keys, "ix", "iy")
-    return around.join(outside, [*keys, "ix", "iy"], "left_anti")
+    """The mask with the background parts that don't reach the border.
+
+    The background is the gaps between the mask's runs, so what is labelled grows with the mask's outline and the rows.
+    """
+    inside = _with(mask.select(*keys, "ix", "iy"), shape, keys).where("ix BETWEEN -1 AND nx AND iy BETWEEN -1 AND ny").select(*keys, "ix", "iy")
+    parts = run_components(gaps(row_runs(inside, keys), shape, keys, margin=1), keys)
+    outer = parts.where("iy = -1 AND lo = -1").select(*keys, F.col("component").alias("outer"))
+    outside = _with(parts, outer, keys).where("component = outer").select(*keys, "iy", "lo", "hi")
+    return run_cells(gaps(outside, shape, keys, margin=1), keys)
 
 
 def erode(mask: DataFrame, offsets: Sequence[tuple[int, int]], keys: Sequence[str] = ()) -> DataFrame:
@@ -158,8 +255,6 @@ def dilate(mask: DataFrame, offsets: Sequence[tuple[int, int]], within: DataFram
 
 def peel(mask: DataFrame, offsets: Sequence[tuple[int, int]] = disk(5), keys: Sequence[str] = (), inward: bool = True, within: DataFrame | None = None) -> DataFrame:
     """Ring of each cell: the erosion that removes it (inward), or the dilation inside `within` that adds it."""
-    from nubila.functions.core import checkpointed
-
     cell = [*keys, "ix", "iy"]
     if inward:
         waiting = checkpointed(mask.select(*cell))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,10 +70,86 @@ def ring_counts(left: DataFrame, right: DataFrame, radius: float, step: float =
     return counts.select(*keys, "id", "ring", "in_ring", F.sum("in_ring").over(w).alias("within"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, reach: float, axes: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = ()) -> DataFrame:
-    """The k nearest right points in the box of reach around each left point: a_id, b_id, d2, rank; ties by id."""
+#: Halvings of the box that counts are taken at.
+LEVELS = 14
+
+
+def _pyramid(points: DataFrame, name: str, reach: float, axes: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """keys, id, coordinates and the finest cell of each point; coarser cells are this one's shifted right."""
+    out = points.select(*keys, F.col("id").alias(f"{name}_id"), *[F.col(a).cast("double").alias(f"{name}_{a}") for a in axes]).dropna(subset=[f"{name}_{a}" for a in axes])
+    return out.withColumns({f"__{a}": F.floor(F.col(f"{name}_{a}") / reach * 2.0 ** (LEVELS - 1)).cast("long") for a in axes})
+
+
+def _at_level(level: Column, axes: Sequence[str]) -> dict[str, Column]:
+    return {f"__{a}": F.floor(F.col(f"__{a}") / F.pow(F.lit(2.0), LEVELS - 1 - level)).cast("long") for a in axes}
+
+
+def search_radii(left: DataFrame, counts: DataFrame, k: int, reach: float, axes: Sequence[str], keys: Sequence[str], square: bool = True) -> DataFrame:
+    """left (finest cells) with level and r: a radius that holds the k nearest, and the level of the cells to search.
+
+    counts: n right points of each cell at each level. A cell with k points or more lies within its diagonal around each of its
+    points; one level finer, the nearest of the 27 cells around that hold k points together give a smaller radius. Points of whose
+    cells none holds k keep the whole box: their r is null. square: distances are Euclidean; else the greatest axis counts.
+    """
+    places, d = [f"__{a}" for a in axes], len(axes)
+    finest = left.select(*keys, *places).distinct()
+    up = finest.withColumns({f"__fine{i}": F.col(c) for i, c in enumerate(places)}).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    full = counts.where(F.col("n") >= k).select(*keys, "level", *places)
+    fine = [f"__fine{i}" for i in range(d)]
+    deepest = up.withColumns(_at_level(F.col("level"), axes)).join(full, [*keys, "level", *places]).groupBy(*keys, *fine).agg(F.max("level").alias("level"))
+    known = checkpointed(deepest.withColumnsRenamed(dict(zip(fine, places, strict=True))))
+    # The cells around, one level finer, by the axes along which they are others.
+    cells = known.where(F.col("level") < LEVELS - 1).select(*keys, (F.col("level") + 1).alias("level"), *places).withColumns(_at_level(F.col("level"), axes)).distinct()
+    steps = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(s, axes, strict=True)], F.lit(sum(map(abs, s))).alias("others")) for s in itertools.product((-1, 0, 1), repeat=d)])
+    moved = cells.withColumns({f"__own{i}": F.col(c) for i, c in enumerate(places)}).withColumn("step", F.explode(steps)).withColumns({f"__{a}": F.col(f"__{a}") + F.col(f"step.{a}") for a in axes})
+    around = moved.join(counts, [*keys, "level", *places])
+    own = [f"__own{i}" for i in range(d)]
+    held = around.groupBy(*keys, "level", *own).agg(*[F.coalesce(F.sum(F.when(F.col("step.others") <= z, F.col("n"))), F.lit(0)).alias(f"n{z}") for z in range(d + 1)])
+    far = F.lit(None).cast("double")
+    for z in reversed(range(d + 1)):
+        far = F.when(F.col(f"n{z}") >= k, F.lit((4 * z + d - z) ** 0.5 if square else 2.0 if z else 1.0)).otherwise(far)
+    tight = held.select(*keys, (F.col("level") - 1).alias("level"), *[F.col(o).alias(c) for o, c in zip(own, places, strict=True)], (far * F.lit(reach) / F.pow(F.lit(2.0), F.col("level"))).alias("tight"))
+    named = known.withColumns({f"__own{i}": v for i, v in enumerate(_at_level(F.least(F.col("level") + 1, F.lit(LEVELS - 1)), axes).values())})
+    named = named.join(tight.withColumnsRenamed(dict(zip(places, own, strict=True))), [*keys, "level", *own], "left")
+    wide = F.lit(reach * (d**0.5 if square else 1.0)) / F.pow(F.lit(2.0), F.col("level"))
+    radii = named.select(*keys, *places, "level", (F.coalesce("tight", wide) * (1 + 1e-9)).alias("r"))
+    return left.join(radii, [*keys, *places], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, reach: float, axes: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = (), square: bool = True) -> DataFrame:
+    """The k nearest right points in the box of reach around each left point: a_id, b_id, d2, rank; ties by id.
+
+    Counts of points in cells of halving size give each left point a radius that holds its k nearest, so only cells it touches are
+    searched, at a level where they hold few points. square: by Euclidean distance; else by the greatest axis, whose square is d2.
+    Points without a coordinate have no neighbours and are none.
+    """
+    places, edge = [f"__{a}" for a in axes], F.lit(reach) / F.pow(F.lit(2.0), F.col("level"))
+    a, b = _pyramid(left, "a", reach, axes, keys), _pyramid(right, "b", reach, axes, keys)
+    at_all = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    counts = checkpointed(b.select(*keys, *places, at_all.alias("level")).withColumns(_at_level(F.col("level"), axes)).groupBy(*keys, "level", *places).agg(F.count("*").alias("n")))
+    a = search_radii(a, counts, k, reach, axes, keys, square).withColumns(_at_level(F.col("level"), axes))
+    steps = F.array(*[F.struct(*[F.lit(v).alias(x) for v, x in zip(s, axes, strict=True)]) for s in itertools.product(range(-2, 3), repeat=len(axes))])
+    touched = a.withColumn("step", F.explode(steps)).withColumns({f"__{x}": F.col(f"__{x}") + F.col(f"step.{x}") for x in axes}).drop("step")
+    gap = {x: F.greatest(F.col(f"__{x}") * edge - F.col(f"a_{x}"), F.col(f"a_{x}") - (F.col(f"__{x}") + 1) * edge, F.lit(0.0)) * (1 - 1e-9) for x in axes}
+    reached = F.greatest(*gap.values()) <= F.least(F.coalesce("r", F.lit(reach)), F.lit(reach)) if len(axes) > 1 else gap[axes[0]] <= F.least(F.coalesce("r", F.lit(reach)), F.lit(reach))
+    if square:
+        reached = reached & (F.col("r").isNull() | (sum((g * g for g in gap.values()), F.lit(0.0)) <= F.col("r") * F.col("r")))
+    cube = [*keys, "level", *places]
+    # A crowded cell's points are dealt into parts, and what searches it goes to each.
+    met = touched.where(reached).join(counts, cube).withColumn("__part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1))).drop("n")
+    crowded = counts.where(F.col("n") > PART).withColumnRenamed("n", "__n")
+    dealt = b.withColumn("level", at_all).withColumns(_at_level(F.col("level"), axes)).join(crowded, cube, "left")
+    dealt = dealt.withColumn("__part", F.pmod(F.xxhash64("b_id"), F.coalesce(F.ceil(F.col("__n") / PART), F.lit(1))).cast("int")).drop("__n")
+    pairs = met.join(dealt, [*cube, "__part"])
+    for x in axes:
+        pairs = pairs.where(F.abs(F.col(f"a_{x}") - F.col(f"b_{x}")) <= reach)
+    apart = [F.abs(F.col(f"a_{x}") - F.col(f"b_{x}")) for x in axes]
+    far = apart[0] if len(axes) == 1 else F.greatest(*apart)
+    d2 = squared_distance("a", "b", axes) if square else far * far
+    close = pairs.withColumn("d2", d2).where(F.col("r").isNull() | (F.col("d2") <= F.col("r") * F.col("r")))
+    # The rank's limit is applied by every task before the shuffle.
     w = Window.partitionBy(*keys, "a_id").orderBy("d2", "b_id")
-    return box_join(left, right, reach, axes, keys).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return close.select(*keys, "a_id", "b_id", "d2").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def mean_nearest(left: DataFrame, right: DataFrame, k: int = 10, reach: float = 1000.0, axes: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = (), skip: int = 0) -> DataFrame:
@@ -85,24 +161,27 @@ def mean_nearest(left: DataFrame, right: DataFrame, k: int = 10, reach: float =
 def adaptive_mean_nearest(points: DataFrame, k: int = 11, least: int = 10, divisor: float = 70.0, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Mean distance to neighbours 2..k inside a box that is widened until it holds `least` points: id, distance.
 
-    The box starts at the largest axis range over divisor and doubles; only points that lack neighbours are looked up again.
+    The box starts at the largest axis range over divisor and doubles. How far it has to reach follows from the distance, along the
+    greatest axis, to the least-th nearest point, so each point is joined at its own reach only.
     """
     row = points.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes], F.count("*").alias("n")).first()
     if not row["n"]:
         return points.select("id", F.lit(None).cast("double").alias("distance"))
     span = max(max(float(row[a] or 0) for a in axes), 1e-9)
-    reach, waiting, done = span / divisor, points.select("id", *axes), None
-    while True:
-        near = nearest(waiting, points, k, reach, axes)
-        last = reach >= span
-        mean = near.groupBy("a_id").agg(F.avg(F.when(F.col("rank") > 1, F.sqrt("d2"))).alias("distance"), F.max("rank").alias("found"))
-        mean = checkpointed(mean if last else mean.where(F.col("found") >= min(least, row["n"])))
-        part = mean.select(F.col("a_id").alias("id"), "distance")
-        done = part if done is None else done.unionByName(part)
-        waiting = checkpointed(waiting.join(part.select("id"), "id", "left_anti"))
-        if last or waiting.isEmpty():
-            return done
-        reach *= 2
+    reaches = [span / divisor]
+    while reaches[-1] < span:
+        reaches.append(reaches[-1] * 2)
+    # One box of the last reach holds all points.
+    last = nearest(points, points, min(least, row["n"]), reaches[-1], axes, square=False).groupBy("a_id").agg(F.max("d2").alias("d2"))
+    step = F.lit(len(reaches) - 1)
+    for i in reversed(range(len(reaches) - 1)):
+        step = F.when(F.sqrt("d2") <= reaches[i], F.lit(i)).otherwise(step)
+    placed = checkpointed(points.select("id", *axes).join(last.select(F.col("a_id").alias("id"), step.alias("step")), "id"))
+    out = None
+    for r in placed.select("step").distinct().orderBy("step").collect():
+        near = nearest(placed.where(F.col("step") == r["step"]), points, k, reaches[r["step"]], axes)
+        out = near if out is None else out.unionByName(near)
+    return out.groupBy(F.col("a_id").alias("id")).agg(F.avg(F.when(F.col("rank") > 1, F.sqrt("d2"))).alias("distance"))
 
 
 def paired_in_frames(events: DataFrame, frame: str, position: str, intensity: str | None = None, far: float = 500.0) -> DataFrame:

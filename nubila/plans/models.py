@@ -365,7 +365,7 @@ def nucleus_parts(spark, d):
 @query()
 def bounded_radius(spark, d):
     """Radius in [10, 200] whose mean cluster size comes nearest to 60."""
-    eps, cost = fitting.find_eps(points(spark, d), 60.0, tolerance=20.0)
+    eps, cost = fitting.find_eps(points(spark, d), 60.0)
     return spark.createDataFrame([(eps, cost)], "eps double, cost double")
 
 
@@ -373,4 +373,4 @@ def bounded_radius(spark, d):
 def halving_radii(spark, d):
     """Radius for each of two densities by step halving, each search starting at the last result less two."""
     samples = sampling.sample_fractions(points(spark, d), 2)
-    return fitting.chained_radii(samples, {1.0: 60.0, 0.5: 80.0}, most=3)
+    return fitting.chained_radii(samples, {1.0: 60.0, 0.5: 80.0})
