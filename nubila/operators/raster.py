@@ -253,27 +253,118 @@ def dilate(mask: DataFrame, offsets: Sequence[tuple[int, int]], within: DataFram
     return grown if within is None else grown.join(within, [*keys, "ix", "iy"], "left_semi")
 
 
+#: A ring that isn't known yet.
+FAR = 1 << 30
+
+
+def settle(ring: np.ndarray, free: np.ndarray, steps: Sequence[tuple[int, int]], reach: int) -> np.ndarray:
+    """Rings of a tile with its margin of `reach`, when a free cell's is one more than the least of those a step away."""
+    n, m = ring.shape[0] - 2 * reach, ring.shape[1] - 2 * reach
+    ring, own = ring.copy(), free[reach : reach + n, reach : reach + m]
+    while True:
+        inner = ring[reach : reach + n, reach : reach + m]
+        best = inner.copy()
+        for i, j in steps:
+            np.minimum(best, ring[reach + i : reach + i + n, reach + j : reach + j + m] + 1, out=best)
+        best = np.where(own, best, inner)
+        if (best == inner).all():
+            return ring
+        ring[reach : reach + n, reach : reach + m] = best
+
+
+def _strip(d: int, tile: int, reach: int) -> slice:
+    """The cells of a tile, by place in its array with margin, that lie in the margin of the tile d away."""
+    return slice(reach, 2 * reach) if d < 0 else slice(tile, tile + reach) if d > 0 else slice(reach, reach + tile)
+
+
+def _margin(d: int, tile: int, reach: int) -> slice:
+    """Where the strip that comes from the tile d away goes."""
+    return slice(0, reach) if d < 0 else slice(tile + reach, tile + 2 * reach) if d > 0 else slice(reach, reach + tile)
+
+
+def wave_rings(cells: DataFrame, steps: Sequence[tuple[int, int]], outside: int, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, ix, iy and ring of the free cells that a wave reaches, which goes one step a ring.
+
+    cells: keys, ix, iy, free; those that aren't free have ring 0, and cells that aren't there have `outside` (0 or FAR). Every tile
+    settles its own cells and sends strips as wide as a step to the tiles around when they changed, so the rounds are the tiles that
+    the wave has to cross one after the other, however many rings it has.
+    """
+    tile, reach, kinds = TILE, max(max(abs(i), abs(j)) for i, j in steps), dict(cells.dtypes)
+    if reach > tile:
+        raise ValueError("a step is at most a tile")
+    size, row = tile + 2 * reach, [*keys, "tx", "ty"]
+    typed = "".join(f"{k} {kinds[k]}, " for k in keys)
+    state = f"{typed}tx long, ty long, ring binary, free binary, moved array<int>"
+    around = [(i, j) for i, j in EIGHT]
+    near = lambda a: F.explode(F.sequence(F.floor((F.col(a) - reach) / tile), F.floor((F.col(a) + reach) / tile)))
+    spread = cells.select(*keys, "ix", "iy", "free").withColumn("tx", near("ix")).withColumn("ty", near("iy"))
+
+    def held(values: bytes, kind: str) -> np.ndarray:
+        return np.frombuffer(values, kind).reshape(size, size)
+
+    def told(first, ring: np.ndarray, free: np.ndarray, before: np.ndarray) -> pd.DataFrame:
+        """A row of the state; moved: the neighbours, by their place in `around`, whose margin changed."""
+        moved = [k for k, (i, j) in enumerate(around) if (ring[_strip(i, tile, reach), _strip(j, tile, reach)] != before[_strip(i, tile, reach), _strip(j, tile, reach)]).any()]
+        return pd.DataFrame([{**{k: first[k] for k in row}, "ring": ring.tobytes(), "free": free.tobytes(), "moved": moved}])
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        x, y = pdf["ix"].to_numpy(int) - int(first["tx"]) * tile + reach, pdf["iy"].to_numpy(int) - int(first["ty"]) * tile + reach
+        if not ((x >= reach) & (x < reach + tile) & (y >= reach) & (y < reach + tile)).any():
+            return pd.DataFrame(columns=[*row, "ring", "free", "moved"])
+        ring, free = np.full((size, size), outside, np.int32), np.zeros((size, size), np.uint8)
+        mine = pdf["free"].to_numpy(bool)
+        ring[x, y], free[x, y] = np.where(mine, FAR, 0), mine
+        return told(first, settle(ring, free, steps, reach), free, ring)
+
+    def send(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                ring = held(r["ring"], "<i4")
+                for k in r["moved"]:
+                    i, j = around[k]
+                    out.append({**{c: r[c] for c in keys}, "tx": r["tx"] + i, "ty": r["ty"] + j, "i": -i, "j": -j, "strip": ring[_strip(i, tile, reach), _strip(j, tile, reach)].tobytes()})
+            yield pd.DataFrame(out, columns=[*row, "i", "j", "strip"])
+
+    def receive(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame(columns=[*row, "ring", "free", "moved"])
+        first = own.iloc[0]
+        before, free = held(first["ring"], "<i4"), held(first["free"], "u1")
+        ring = before.copy()
+        for r in sent.itertuples():
+            place = _margin(r.i, tile, reach), _margin(r.j, tile, reach)
+            ring[place] = np.minimum(ring[place], np.frombuffer(r.strip, "<i4").reshape(ring[place].shape))
+        return told(first, settle(ring, free, steps, reach) if len(sent) else ring, free, before)
+
+    def opened(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                ring, free = held(r["ring"], "<i4"), held(r["free"], "u1")
+                inner = (slice(reach, reach + tile),) * 2
+                x, y = np.nonzero((ring[inner] < FAR) & (free[inner] > 0))
+                out = pd.DataFrame({"ix": (x + r["tx"] * tile).astype("int32"), "iy": (y + r["ty"] * tile).astype("int32"), "ring": ring[inner][x, y]})
+                for k in reversed(keys):
+                    out.insert(0, k, r[k])
+                yield out
+
+    tiles = checkpointed(spread.groupBy(*row).applyInPandas(begin, state))
+    while not (moved := tiles.where(F.size("moved") > 0)).isEmpty():
+        strips = moved.mapInPandas(send, f"{typed}tx long, ty long, i int, j int, strip binary")
+        tiles = checkpointed(tiles.groupBy(*row).cogroup(strips.groupBy(*row)).applyInPandas(receive, state))
+    return tiles.mapInPandas(opened, f"{typed}ix int, iy int, ring int")
+
+
 def peel(mask: DataFrame, offsets: Sequence[tuple[int, int]] = disk(5), keys: Sequence[str] = (), inward: bool = True, within: DataFrame | None = None) -> DataFrame:
     """Ring of each cell: the erosion that removes it (inward), or the dilation inside `within` that adds it."""
     cell = [*keys, "ix", "iy"]
     if inward:
-        waiting = checkpointed(mask.select(*cell))
-        ring = waiting.join(erode(waiting, offsets, keys), cell, "left_anti")
-    else:
-        around = mask if within is None else within
-        waiting = checkpointed(around.select(*cell).join(mask, cell, "left_anti"))
-        ring = waiting.join(shifted(mask, offsets, keys).select(*cell).distinct(), cell, "left_semi")
-    rings, k = None, 0
-    # A cell's ring follows that of a neighbour, so only the last ring's neighbours are looked at.
-    back = [(-i, -j) for i, j in offsets] if inward else offsets
-    while True:
-        k += 1
-        ring = checkpointed(ring.withColumn("ring", F.lit(k)))
-        if ring.isEmpty():
-            return ring if rings is None else rings
-        rings = ring if rings is None else rings.unionByName(ring)
-        waiting = checkpointed(waiting.join(ring, cell, "left_anti"))
-        ring = waiting.join(shifted(ring, back, keys).select(*cell).distinct(), cell, "left_semi")
+        return wave_rings(mask.select(*cell, F.lit(True).alias("free")), offsets, 0, keys)
+    seeds = mask.select(*cell, F.lit(False).alias("free"))
+    around = mask if within is None else within
+    rest = around.select(*cell).join(mask, cell, "left_anti").withColumn("free", F.lit(True))
+    return wave_rings(seeds.unionByName(rest), [(-i, -j) for i, j in offsets], FAR, keys)
 
 
 def lower_envelope(heights: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -79,3 +79,53 @@ def test_smoothing_by_tiles(spark, monkeypatch, border):
         assert len(got) == nx * ny + 16 and all(abs(r["value"] - (want[r["ix"], r["iy"]] if r["cell"] == "a" else 0)) < 1e-9 for r in got)
     sent = raster.tile_rows(spark.range(64).select((F.col("id") % 8).cast("int").alias("ix"), F.floor(F.col("id") / 8).cast("int").alias("iy")), 2, spark.createDataFrame([(8, 8)], "nx int, ny int"), tile=8)
     assert sent.count() == 64  # nothing leaves a grid of one tile
+
+
+def brute_rings(free, seeds, steps, outside):
+    """Rings by one pass over all cells for each ring; cells beyond the grid are like those that aren't free or seeds."""
+    n, m = free.shape
+    ring = np.where(seeds, 0, np.where(free, 10**9, outside))
+    k = 0
+    while True:
+        k += 1
+        new = [(x, y) for x, y in np.argwhere(free & (ring == 10**9)) if any((ring[x + i, y + j] if 0 <= x + i < n and 0 <= y + j < m else outside) < k for i, j in steps)]
+        if not new:
+            return {(int(x), int(y)): int(ring[x, y]) for x, y in np.argwhere(free & (ring < 10**9))}
+        for c in new:
+            ring[tuple(c)] = k
+
+
+@pytest.mark.parametrize("steps", [raster.FOUR, raster.disk(2), ((1, 0), (0, -3), (0, 0))])
+def test_waves_over_tiles(spark, monkeypatch, steps):
+    monkeypatch.setattr(raster, "TILE", 5)
+    rng = np.random.default_rng(6)
+    masks = {1: rng.random((17, 24)) < 0.9, 2: np.ones((26, 9), bool), 3: np.zeros((4, 4), bool)}
+    rows = [(k, int(i) - 7, int(j) - 3) for k, g in masks.items() for i, j in np.argwhere(g)]
+    df = spark.createDataFrame(rows, "cell long, ix int, iy int").repartition(3)
+    got = {(r["cell"], r["ix"] + 7, r["iy"] + 3): r["ring"] for r in raster.peel(df, steps, ["cell"]).collect()}
+    assert got == {(k, *c): v for k, g in masks.items() for c, v in brute_rings(g, ~g, steps, 0).items()}
+    inner = df.where("pmod(ix * 31 + iy * 17, 61) = 0")
+    got = {(r["cell"], r["ix"] + 7, r["iy"] + 3): r["ring"] for r in raster.peel(inner, steps, ["cell"], inward=False, within=df).collect()}
+    want = {}
+    for k, g in masks.items():
+        seeds = np.array([[g[i, j] and ((i - 7) * 31 + (j - 3) * 17) % 61 == 0 for j in range(g.shape[1])] for i in range(g.shape[0])], bool).reshape(g.shape)
+        want |= {(k, *c): v for c, v in brute_rings(g & ~seeds, seeds, [(-i, -j) for i, j in steps], 10**9).items()}
+    assert got == want and max(want.values()) > 3
+
+
+def test_a_winding_front_crosses_tiles(spark, monkeypatch):
+    """A spiral corridor: hundreds of rings, and rounds as many as tiles are crossed."""
+    monkeypatch.setattr(raster, "TILE", 16)
+    grid = np.zeros((40, 40), bool)
+    for y in range(0, 40, 2):
+        grid[:, y] = True
+        if y + 1 < 40:
+            grid[-1 if y % 4 == 0 else 0, y + 1] = True
+    df = spark.createDataFrame([(int(i), int(j)) for i, j in np.argwhere(grid)], "ix int, iy int")
+    seen, before = [], raster.checkpointed
+    monkeypatch.setattr(raster, "checkpointed", lambda x: seen.append(1) or before(x))
+    seeds = np.zeros_like(grid)
+    seeds[0, 0] = True
+    got = {(r["ix"], r["iy"]): r["ring"] for r in raster.peel(df.where("ix = 0 AND iy = 0"), raster.FOUR, inward=False, within=df).collect()}
+    want = brute_rings(grid & ~seeds, seeds, raster.FOUR, 10**9)
+    assert got == want and max(got.values()) > 700 and len(seen) < 80
