@@ -115,7 +115,12 @@ def area_2d(points: np.ndarray) -> float:
 
 
 def hull_3d(points: np.ndarray) -> tuple[float, np.ndarray]:
-    """Volume and vertices of the convex hull; coplanar points give 0 and none. Points are added one by one."""
+    """Volume and vertices of the convex hull; coplanar points give 0 and none.
+
+    Every face keeps the points that it sees. The farthest of a face's points becomes a corner: the faces that see it go, new ones
+    close the gap around it, and the points of those that went are dealt to the new ones. Points inside are dropped at once, so the
+    steps are the hull's corners, each over arrays.
+    """
     p = np.unique(points, axis=0)
     none = 0.0, np.empty((0, 3))
     if len(p) < 4:
@@ -135,14 +140,27 @@ def hull_3d(points: np.ndarray) -> tuple[float, np.ndarray]:
         inward = ((p[corners[:, 0]] - middle) * normals).sum(axis=1) < 0
         return np.where(inward[:, None], corners[:, [0, 2, 1]], corners), np.where(inward[:, None], -normals, normals)
 
-    faces, normals = outward(np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)]))
     tolerance = 1e-10 * scale**3
-    for i in range(len(p)):
-        seen = ((p[i] - p[faces[:, 0]]) * normals).sum(axis=1) > tolerance
-        if seen.any():
-            edges = {(f[x], f[y]) for f in faces[seen].tolist() for x, y in ((0, 1), (1, 2), (2, 0))}
-            more, more_normals = outward(np.array([(u, v, i) for u, v in edges if (v, u) not in edges]))
-            faces, normals = np.concatenate([faces[~seen], more]), np.concatenate([normals[~seen], more_normals])
+    faces, normals = outward(np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)]))
+
+    def dealt(which: np.ndarray, faces: np.ndarray, normals: np.ndarray) -> list[np.ndarray]:
+        """For each face those of the points that it sees farthest, the farthest last."""
+        best, face = np.full(len(which), tolerance), np.full(len(which), -1)
+        for k, (corner, n) in enumerate(zip(faces[:, 0], normals, strict=True)):
+            height = (p[which] - p[corner]) @ n
+            best, face = np.where(height > best, height, best), np.where(height > best, k, face)
+        order = np.argsort(best, kind="stable")
+        return [which[order][face[order] == k] for k in range(len(faces))]
+
+    seen_by = dealt(np.arange(len(p)), faces, normals)
+    while waiting := [k for k, seen in enumerate(seen_by) if len(seen)]:
+        tip = int(seen_by[waiting[0]][-1])
+        visible = ((p[tip] - p[faces[:, 0]]) * normals).sum(axis=1) > tolerance
+        edges = {(f[x], f[y]) for f in faces[visible].tolist() for x, y in ((0, 1), (1, 2), (2, 0))}
+        more, more_normals = outward(np.array([(u, v, tip) for u, v in edges if (v, u) not in edges]))
+        loose = np.concatenate([seen_by[k] for k in np.flatnonzero(visible)])
+        seen_by = [seen_by[k] for k in np.flatnonzero(~visible)] + dealt(loose[loose != tip], more, more_normals)
+        faces, normals = np.concatenate([faces[~visible], more]), np.concatenate([normals[~visible], more_normals])
     volume = np.abs(((p[faces[:, 0]] - middle) * normals).sum(axis=1)).sum() / 6
     return float(volume), p[np.unique(faces)]
 

@@ -74,6 +74,14 @@ def tiff_pages(spark, d):
     return pages.select(F.col("frame").cast("long").alias("frame"), F.length("tiff").cast("long").alias("bytes"), F.md5(F.lower(F.hex(F.substring("tiff", 9, 11 * 24 * 2)))).alias("pixels"))
 
 
+@query("""WITH g AS (SELECT l_orderkey % 100 AS frame, floor(l_quantity / 5)::BIGINT AS ix, floor(l_extendedprice / 5000)::BIGINT AS iy, count(*) AS value FROM lineitem GROUP BY 1, 2, 3), p AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS k FROM (SELECT DISTINCT frame FROM g))
+SELECT p.k // 30 + 1 AS file, p.k % 30 + 1 AS page, ix, iy, value::BIGINT AS value FROM g JOIN p ON g.frame = p.frame""")
+def tiff_stack(spark, d):
+    """Files of thirty pages each, read back page by page by their chained directories."""
+    pixels = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("frame"), F.floor(F.col("l_quantity") / 5).alias("ix"), F.floor(F.col("l_extendedprice") / 5000).alias("iy")).agg(F.count("*").alias("value"))
+    return shaped(tables.tiff_pixels(tables.tiff_stacks(pixels, 11, 24, per_file=30)), "file page ix iy value")
+
+
 HEADER = [(-2, "supplier accounts"), (-1, "key; balance")]
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nubila.functions.core import ranked
+
 # Column names of localization files, and ours.
 NAMES = {
     "id": "id", "frame": "frame", "x [nm]": "x", "y [nm]": "y", "z [nm]": "z", "sigmax [nm]": "sigma_x", "sigmay [nm]": "sigma_y",
@@ -90,9 +92,63 @@ def tiff_pages(pages: DataFrame, width: int, height: int, keys: Sequence[str] =
     return pages.select(*keys, "ix", "iy", "value").groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", tiff binary")
 
 
-def tiff_bytes(data: bytes, width: int, height: int) -> bytes:
-    """A baseline little-endian greyscale TIFF of 16-bit pixels."""
+def tiff_bytes(data: bytes, width: int, height: int, at: int = 8, following: bool = False) -> bytes:
+    """A baseline little-endian greyscale TIFF of 16-bit pixels; with `at` over 8 a further page of a file, without the header.
+
+    at: where the page's pixels are in the file. following: whether another page comes right behind its directory.
+    """
     # Tag numbers and types of the TIFF 6.0 baseline.
-    tags = [(256, 4, width), (257, 4, height), (258, 3, 16), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(data))]
+    tags = [(256, 4, width), (257, 4, height), (258, 3, 16), (259, 3, 1), (262, 3, 1), (273, 4, at), (277, 3, 1), (278, 4, height), (279, 4, len(data))]
     entries: Iterator[bytes] = (struct.pack("<HHII", tag, kind, 1, value) for tag, kind, value in tags)
-    return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", len(tags)) + b"".join(entries) + struct.pack("<I", 0)
+    directory = struct.pack("<H", len(tags)) + b"".join(entries)
+    behind = at + len(data) + len(directory) + 4
+    page = data + directory + struct.pack("<I", behind + len(data) if following else 0)
+    return (b"II*\0" + struct.pack("<I", 8 + len(data)) if at == 8 else b"") + page
+
+
+def tiff_stacks(pages: DataFrame, width: int, height: int, key: str = "frame", per_file: int = 500) -> DataFrame:
+    """Files of up to per_file pages each, in the order of a key, from pixels (key, ix, iy, value): file (from 1), first, pages, tiff.
+
+    The pages' places in the whole order, found without a task that sees them all, say which file they go to; a file is built by one
+    task, so per_file pages must fit it. Frames without pixels have no page. Frames are numbered by the place of their key.
+    """
+    if per_file * (2 * width * height + 114) + 8 >= 1 << 32:
+        raise ValueError("a file of this format has less than 4 GB")
+    frames = ranked(pages.select(key).distinct(), key, rank="__page")
+    placed = pages.select(key, "ix", "iy", F.col("value").cast("double").alias("value")).join(frames, key)
+    dealt = placed.select("__page", "ix", "iy", "value", (F.floor((F.col("__page") - 1) / per_file) + 1).cast("long").alias("file"))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        first, n = int(pdf["__page"].min()), int(pdf["__page"].nunique())
+        images = np.zeros((n, height, width), dtype="<u2")
+        images[pdf["__page"].to_numpy(int) - first, pdf["iy"].to_numpy(int), pdf["ix"].to_numpy(int)] = np.clip(pdf["value"].to_numpy(float), 0, 65535)
+        parts, at = [], 8
+        for k, image in enumerate(images):
+            parts.append(tiff_bytes(image.tobytes(), width, height, at, k < n - 1))
+            at += len(parts[-1]) - (8 if k == 0 else 0)
+        return pd.DataFrame([{"file": pdf["file"].iloc[0], "first": first, "pages": n, "tiff": b"".join(parts)}])
+
+    return dealt.groupBy("file").applyInPandas(build, "file long, first long, pages long, tiff binary")
+
+
+def tiff_pixels(stacks: DataFrame) -> DataFrame:
+    """The pixels over zero of files (file, tiff): file, page (from 1 in its file), ix, iy, value. Directories are followed by their offsets."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for pdf in batches:
+            for file, tiff in zip(pdf["file"], pdf["tiff"], strict=True):
+                at, page = struct.unpack_from("<I", tiff, 4)[0], 0
+                while at:
+                    page += 1
+                    n = struct.unpack_from("<H", tiff, at)[0]
+                    tags = {tag: value for tag, _, _, value in (struct.unpack_from("<HHII", tiff, at + 2 + 12 * k) for k in range(n))}
+                    image = np.frombuffer(tiff, "<u2", tags[256] * tags[257], tags[273]).reshape(tags[257], tags[256])
+                    iy, ix = np.nonzero(image)
+                    yield pd.DataFrame({"file": file, "page": page, "ix": ix.astype("int32"), "iy": iy.astype("int32"), "value": image[iy, ix].astype("int32")})
+                    at = struct.unpack_from("<I", tiff, at + 2 + 12 * n)[0]
+
+    return stacks.select("file", "tiff").mapInPandas(read, "file long, page long, ix int, iy int, value int")

@@ -105,6 +105,19 @@ def test_particles_and_images(spark, tmp_path):
     assert bytes(page[:4]) == b"II*\0" and struct.unpack("<6H", bytes(page[8:20])) == (65535, 0, 0, 0, 0, 500)
 
 
+def test_files_of_many_pages(spark):
+    """Pages in the key's order, chained in files; a file alone equals what a plain reader of its directories sees."""
+    rows = [(f * 3, x, y, f * 10 + x + y) for f in range(7) for x in range(4) for y in range(3) if (f + x + y) % 2]
+    stacks = tables.tiff_stacks(spark.createDataFrame(rows, "frame int, ix int, iy int, value int").repartition(4), 4, 3, per_file=3)
+    assert [(r["file"], r["first"], r["pages"]) for r in stacks.orderBy("file").collect()] == [(1, 1, 3), (2, 4, 3), (3, 7, 1)]
+    got = {((r["file"] - 1) * 3 + r["page"] - 1, r["ix"], r["iy"], r["value"]) for r in tables.tiff_pixels(stacks).collect()}
+    assert got == {(f // 3, x, y, v) for f, x, y, v in rows if v}
+    one = bytes(tables.tiff_stacks(spark.createDataFrame([(1, 2, 1, 500.0)], "frame int, ix int, iy int, value double"), 3, 2).first()["tiff"])
+    assert one == bytes(tables.tiff_pages(spark.createDataFrame([(1, 2, 1, 500.0)], "frame int, ix int, iy int, value double"), 3, 2).first()["tiff"])
+    with pytest.raises(ValueError, match="4 GB"):
+        tables.tiff_stacks(spark.createDataFrame([], "frame int, ix int, iy int, value double"), 5000, 5000)
+
+
 def test_columns_of_late_wide_lines_are_kept(spark, tmp_path):
     path = tmp_path / "wide.txt"
     path.write_text("\n".join(["1 2"] * 500 + ["3 4 5"]))
