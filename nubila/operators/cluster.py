@@ -59,14 +59,47 @@ def sparse_half(clustered: DataFrame, label: str = "kmeans_label") -> DataFrame:
     return dense.withColumn("sparse", rank <= F.round(F.count("*").over(everything) / 2))
 
 
+def _with_means(rows: DataFrame, means: DataFrame, label: str, axes: Sequence[str]) -> DataFrame:
+    """rows beside one array of all means, of which there are few: `label` and the axes, as structs."""
+    whole = means.agg(F.collect_list(F.struct(F.col(label).alias("label"), *[F.col(a).alias(a) for a in axes])).alias("__means"))
+    return rows.crossJoin(F.broadcast(whole))
+
+
+def _nearest_mean(axes: Sequence[str]) -> F.Column:
+    """d2 and label of the nearest of the row's means; of equal ones the least label."""
+    d2 = lambda m: sum(((F.col(a) - m[a]) * (F.col(a) - m[a]) for a in axes), F.lit(0.0))
+    return F.array_min(F.transform("__means", lambda m: F.struct(d2(m).alias("d2"), m["label"].alias("label"))))
+
+
+#: Means of k-means at most: each row is compared with all of them.
+MEANS = 10_000
+
+
+def lloyd(points: DataFrame, seeds: DataFrame, steps: int = 10, axes: Sequence[str] = ("x", "y", "z"), label: str = "kmeans_label") -> DataFrame:
+    """points with the label of the nearest mean after so many steps from the seeds (label and axes), which number MEANS at most.
+
+    Each step gives every point to the nearest mean and then moves the means to their points; a mean without points stays. One row
+    holds all means, so points are neither joined nor shuffled but for the sums of each mean.
+    """
+    means = checkpointed(seeds.select(F.col(label).cast("int").alias(label), *[F.col(a).cast("double").alias(a) for a in axes]))
+    if means.count() > MEANS:
+        raise ValueError(f"more than {MEANS} means")
+    rows = points.select(*[F.col(a).cast("double").alias(a) for a in axes])
+    for _ in range(steps):
+        given = _with_means(rows, means, label, axes).select(*axes, _nearest_mean(axes)["label"].alias(label))
+        moved = given.groupBy(label).agg(*[F.avg(a).alias(f"__{a}") for a in axes])
+        means = checkpointed(means.join(moved, label, "left").select(label, *[F.coalesce(f"__{a}", a).alias(a) for a in axes]))
+    return _with_means(points, means, label, axes).withColumn(label, _nearest_mean(axes)["label"]).drop("__means")
+
+
 def misplaced(clustered: DataFrame, label: str, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """points, clusters, and how many points lie clearly nearer to another cluster's mean than to their own."""
-    means = clustered.groupBy(label).agg(*[F.avg(a).alias(f"__{a}") for a in axes]).withColumnRenamed(label, "__label")
-    d2 = sum((F.col(a) - F.col(f"__{a}")) * (F.col(a) - F.col(f"__{a}")) for a in axes)
-    # One row for each cluster.
-    each = clustered.crossJoin(F.broadcast(means)).withColumn("__d2", d2)
-    nearest = each.groupBy("id", label).agg(F.min("__d2").alias("least"), F.min(F.when(F.col("__label") == F.col(label), F.col("__d2"))).alias("own"))
-    return nearest.agg(F.count("*").alias("points"), F.count_distinct(label).alias("clusters"), F.count(F.when(F.sqrt("own") > F.sqrt("least") * 1.1 + 1, 1)).alias("misplaced"))
+    means = clustered.groupBy(label).agg(*[F.avg(a).alias(a) for a in axes])
+    each = _with_means(clustered, means, label, axes)
+    own = F.filter("__means", lambda m: m["label"] == F.col(label))[0]
+    d2 = sum(((F.col(a) - own[a]) * (F.col(a) - own[a]) for a in axes), F.lit(0.0))
+    rows = each.select(label, d2.alias("own"), _nearest_mean(axes)["d2"].alias("least"))
+    return rows.agg(F.count("*").alias("points"), F.count_distinct(label).alias("clusters"), F.count(F.when(F.sqrt("own") > F.sqrt("least") * 1.1 + 1, 1)).alias("misplaced"))
 
 
 def segment_by_clusters(points: DataFrame, label: str, flip: float, seed: int = 1) -> DataFrame:

@@ -1,26 +1,11 @@
-"""Simulated camera frames: point spread, first-order spectra, and convolution and sub-pixel shifts of images."""
+"""Simulated camera frames: point spread and first-order spectra."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def shifted_image(image: np.ndarray, dy: float, dx: float) -> np.ndarray:
-    """An image moved by a fraction of pixels, by the phase of its Fourier transform; edges wrap."""
-    fy, fx = np.fft.fftfreq(image.shape[0])[:, None], np.fft.fftfreq(image.shape[1])[None, :]
-    return np.fft.ifft2(np.fft.fft2(image) * np.exp(-2j * np.pi * (fy * dy + fx * dx))).real
-
-
-def convolved(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Two-dimensional convolution of the image's size, zeros outside."""
-    shape = [a + b - 1 for a, b in zip(image.shape, kernel.shape, strict=True)]
-    whole = np.fft.irfft2(np.fft.rfft2(image, shape) * np.fft.rfft2(kernel, shape), shape)
-    top, left = (kernel.shape[0] - 1) // 2, (kernel.shape[1] - 1) // 2
-    return whole[top : top + image.shape[0], left : left + image.shape[1]]
-
-
 def camera_frames(blinks: DataFrame, height: int, width: int, px: float = 100.0, spectrum: tuple[list[float], list[float]] | None = None, displacement: tuple[float, float] | None = None) -> DataFrame:
     """Photons of each pixel and frame: frame, ix, iy, photons (zeros left out).
 

@@ -158,6 +158,17 @@ def mean_nearest(left: DataFrame, right: DataFrame, k: int = 10, reach: float =
     return near.groupBy(*keys, F.col("a_id").alias("id")).agg(F.avg(F.sqrt("d2")).alias("distance"), F.count("*").alias("found"))
 
 
+def density_ratio(own: DataFrame, other: DataFrame, k: int = 10, reach: float = 1000.0, axes: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = ()) -> DataFrame:
+    """own with ratio: mean distance to the k nearest other points over that to the k nearest own ones, the point itself among them.
+
+    Null where no other point is in the box of reach, or no own point but those at the same place.
+    """
+    near, far = mean_nearest(own, own, k, reach, axes, keys), mean_nearest(own, other, k, reach, axes, keys)
+    both = near.select(*keys, "id", F.col("distance").alias("__near")).join(far.select(*keys, "id", F.col("distance").alias("__far")), [*keys, "id"], "left")
+    ratio = F.when(F.col("__near") > 0, F.col("__far") / F.col("__near"))
+    return own.join(both.select(*keys, "id", ratio.alias("ratio")), [*keys, "id"], "left")
+
+
 def adaptive_mean_nearest(points: DataFrame, k: int = 11, least: int = 10, divisor: float = 70.0, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Mean distance to neighbours 2..k inside a box that is widened until it holds `least` points: id, distance.
 

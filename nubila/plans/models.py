@@ -237,6 +237,29 @@ def kmeans_is_nearest(spark, d):
     return shaped(cluster.misplaced(cluster.kmeans(points(spark, d), 10), "kmeans_label"), "points clusters misplaced")
 
 
+STEP = """m{k} AS (SELECT label, coalesce(avg(p.x), any_value(m.x)) AS x, coalesce(avg(p.y), any_value(m.y)) AS y, coalesce(avg(p.z), any_value(m.z)) AS z FROM m{j} m LEFT JOIN g{j} p USING (label) GROUP BY label)"""
+GIVE = """g{k} AS (SELECT p.id, p.x, p.y, p.z, min_by(m.label, ((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) + (p.z - m.z) * (p.z - m.z), m.label)) AS label FROM pts p, m{k} m GROUP BY ALL)"""
+
+
+@query(f"WITH {PTS}, m0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS label, x, y, z FROM pts ORDER BY id LIMIT 6), {GIVE.format(k=0)}, " + ", ".join(f"{STEP.format(k=k, j=k - 1)}, {GIVE.format(k=k)}" for k in range(1, 5)) + " SELECT id, label::BIGINT AS label FROM g4")
+def kmeans_steps(spark, d):
+    """Four steps of k-means from the first six points."""
+    p = points(spark, d)
+    seeds = ranked(p.orderBy("id").limit(6), "id").select((F.col("rank") - 1).alias("kmeans_label"), "x", "y", "z")
+    return shaped(cluster.lloyd(p.drop("label"), seeds, 4).withColumnRenamed("kmeans_label", "label"), "id label")
+
+
+@query(
+    f"WITH {PTS}, m0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS label, x, y, z FROM pts ORDER BY id LIMIT 6), {GIVE.format(k=0)}, " + ", ".join(f"{STEP.format(k=k, j=k - 1)}, {GIVE.format(k=k)}" for k in range(1, 5))
+    + f", b AS (SELECT label, count(*) / nullif((max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)), 0) AS density FROM g4 GROUP BY label), s AS (SELECT label, CASE WHEN row_number() OVER (ORDER BY density, label) <= round(count(*) OVER () / 2.0) THEN 0 ELSE 1 END AS class FROM b) SELECT p.id, CASE WHEN {U.format(key='p.id::VARCHAR', seed=6)} < 0.1 THEN 1 - class ELSE class END::BIGINT AS class FROM g4 p JOIN s USING (label)"
+)
+def segment_by_kmeans(spark, d):
+    """Two classes of points by the density of their k-means clusters, each flipped with a probability."""
+    p = points(spark, d)
+    seeds = ranked(p.orderBy("id").limit(6), "id").select((F.col("rank") - 1).alias("kmeans_label"), "x", "y", "z")
+    return shaped(cluster.segment_by_clusters(cluster.lloyd(p, seeds, 4), "kmeans_label", 0.1, 6), "id class")
+
+
 SPAN = "span AS (SELECT greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS span, count(*) AS n FROM pts)"
 ADAPTIVE = f"""{PTS}, {SPAN}, reach AS (SELECT l, span / 70 * pow(2, l) AS r, span / 70 * pow(2, l) >= span AS last FROM span, (SELECT unnest(range(0, 8)) AS l)),
 near AS (SELECT reach.l, reach.last, a.id, b.id AS nid, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM pts a JOIN reach ON true JOIN pts b ON abs(a.x - b.x) <= r AND abs(a.y - b.y) <= r AND abs(a.z - b.z) <= r),
@@ -263,6 +286,13 @@ DET = "(b.x - a.x) * ((c.y - a.y) * ({d}.z - a.z) - (c.z - a.z) * ({d}.y - a.y))
 SOLID = f"{PTS}, face AS (SELECT a.label, a.x * (b.y * c.z - b.z * c.y) - a.y * (b.x * c.z - b.z * c.x) + a.z * (b.x * c.y - b.y * c.x) AS v FROM pts a JOIN pts b ON a.label = b.label AND a.id < b.id JOIN pts c ON a.label = c.label AND a.id < c.id AND b.id <> c.id WHERE NOT EXISTS (SELECT 1 FROM pts e WHERE e.label = a.label AND {DET.format(d='e')} > 1e-6)), solid AS (SELECT label, sum(v) / 6 AS volume FROM face GROUP BY label)"
 
 
+@query(f"WITH {PTS}, face AS (SELECT a.label, a.id AS a, b.id AS b, c.id AS c FROM pts a JOIN pts b ON a.label = b.label AND a.id < b.id JOIN pts c ON a.label = c.label AND a.id < c.id AND b.id <> c.id WHERE NOT EXISTS (SELECT 1 FROM pts e WHERE e.label = a.label AND {DET.format(d='e')} > 1e-6)), corner AS (SELECT label, a AS id FROM face UNION SELECT label, b FROM face UNION SELECT label, c FROM face) SELECT p.label::BIGINT AS label, count(*) AS corners, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM corner JOIN pts p ON p.id = corner.id GROUP BY p.label")
+def hull_corner_centroids(spark, d):
+    """Mean of the corners of each cluster's hull, and how many there are."""
+    g = cluster.cluster_geometry(points(spark, d), ("label",)).where("hull_3D > 0")
+    return shaped(g.select("label", F.size("vertices").alias("corners"), *[F.col(f"centroid.{a}").alias(f"c{a}") for a in "xyz"]), "label corners", "cx cy cz")
+
+
 @query(f"WITH {SOLID}, n AS (SELECT label, count(*) AS n FROM pts GROUP BY label) SELECT n.label::BIGINT AS label, n.n, round(volume, 2) AS volume, round(n.n / volume * 1e6, 6) AS density FROM n JOIN solid ON n.label = solid.label")
 def hull_volume_3d(spark, d):
     g = cluster.cluster_geometry(points(spark, d), ("label",))

@@ -149,6 +149,24 @@ def heat_voxels(spark, d):
     return shaped(raster.heat_voxels(points(spark, d).withColumn("ratio", F.col("z") / 7), 50.0), "ix iy iz", "value")
 
 
+D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+def near_sql(name: str, other: str) -> str:
+    return f"{name} AS (SELECT id, avg(sqrt(d2)) AS distance FROM (SELECT a.id, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS k FROM pts a JOIN pts b ON a.channel = 'C1' AND b.channel = '{other}' AND abs(a.x - b.x) <= 200 AND abs(a.y - b.y) <= 200 AND abs(a.z - b.z) <= 200) WHERE k <= 10 GROUP BY id)"
+
+
+@query(
+    f"WITH {PTS}, {near_sql('n', 'C1')}, {near_sql('f', 'C2')}, q AS (SELECT p.id, p.x, p.y, p.z, f.distance / n.distance AS ratio FROM pts p JOIN n ON p.id = n.id AND n.distance > 0 JOIN f ON p.id = f.id), low AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM q), "
+    "v AS (SELECT id, ratio, (floor((x + 0.01 - x0) / 50) + 1)::BIGINT AS ix, (floor((y + 0.01 - y0) / 50) + 1)::BIGINT AS iy, (floor((z + 0.01 - z0) / 50) + 1)::BIGINT AS iz FROM q, low) SELECT ix, iy, iz, round(count(*) + max_by(ratio, id), 6) AS value FROM v GROUP BY ix, iy, iz"
+)
+def density_ratio_voxels(spark, d):
+    """Voxels of the first channel, heated by how much nearer its own points are than the other channel's."""
+    p = points(spark, d)
+    rated = spatial.density_ratio(channel(p, "C1"), channel(p, "C2"), 10, 200.0).where("ratio IS NOT NULL")
+    return shaped(raster.heat_voxels(rated, 50.0), "ix iy iz", "value")
+
+
 @query("SELECT floor(l_quantity / 5)::BIGINT AS ix, floor(l_extendedprice / 5000)::BIGINT AS iy, count(*) AS value FROM lineitem GROUP BY 1, 2")
 def density_grid_large(spark, d):
     df = table(spark, d, "lineitem").select(F.floor(F.col("l_quantity") / 5).alias("ix"), F.floor(F.col("l_extendedprice") / 5000).alias("iy"))
@@ -197,6 +215,15 @@ def drop_small_components(spark, d):
     return shaped(raster.drop_small(parts_of(spark, d)[3], 3), "ix iy")
 
 
+@query(f"""WITH RECURSIVE {PTS}, m AS (SELECT DISTINCT cell_id, floor(x / 60)::BIGINT AS ix, floor(y / 60)::BIGINT AS iy FROM pts), link AS (SELECT a.cell_id, a.ix, a.iy, b.ix AS jx, b.iy AS jy FROM m a JOIN m b ON a.cell_id = b.cell_id AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1),
+reach(cell_id, ix, iy, root) AS (SELECT cell_id, ix, iy, (ix, iy) FROM m UNION SELECT l.cell_id, l.jx, l.jy, r.root FROM reach r JOIN link l ON r.cell_id = l.cell_id AND r.ix = l.ix AND r.iy = l.iy),
+c AS (SELECT cell_id, ix, iy, min(root) AS root FROM reach GROUP BY cell_id, ix, iy), k AS (SELECT cell_id, root, row_number() OVER (PARTITION BY cell_id ORDER BY count(*) DESC, root) AS k FROM c GROUP BY cell_id, root) SELECT c.cell_id, ix, iy FROM c JOIN k ON c.cell_id = k.cell_id AND c.root = k.root WHERE k <= 2""")
+def largest_by_cell(spark, d):
+    """The two largest parts of each cell's own mask."""
+    mask = points(spark, d).select("cell_id", F.floor(F.col("x") / 60).cast("int").alias("ix"), F.floor(F.col("y") / 60).cast("int").alias("iy")).distinct()
+    return shaped(raster.largest(raster.components(mask, keys=["cell_id"]), 2, ["cell_id"]), "cell_id ix iy")
+
+
 @query(f"""WITH RECURSIVE {MASK}, {CELLS}, free AS (SELECT c.ix, c.iy FROM cells c LEFT JOIN mask m ON c.ix = m.ix AND c.iy = m.iy WHERE m.ix IS NULL),
 outside(ix, iy) AS (SELECT ix, iy FROM free WHERE ix = -1 AND iy = -1 UNION SELECT f.ix, f.iy FROM outside o JOIN free f ON abs(f.ix - o.ix) + abs(f.iy - o.iy) = 1)
 SELECT c.ix, c.iy FROM cells c LEFT JOIN outside o ON c.ix = o.ix AND c.iy = o.iy WHERE o.ix IS NULL""")
@@ -380,6 +407,26 @@ def centroid_profile(spark, d):
     return shaped(profiles.centroid_profile(points(spark, d), centres(spark, d), 100.0), "id ring within")
 
 
+def centres_of(spark, d, name):
+    """Centroids of the clusters of one channel's points, in three dimensions."""
+    found = cluster.dbscan(channel(points(spark, d), name), 60.0, 4, ("x", "y", "z"))
+    return cluster.cluster_sizes(found).select(F.col("cluster_label").cast("long").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+
+
+SOLID_DBSCAN = (
+    DBSCAN.replace(PTS, PTS.replace("FROM embeddings", "FROM embeddings WHERE label % 2 = 0") + ", every AS (" + PTS.removeprefix("pts AS (")[:-1] + ")")
+    .replace("(a.y - b.y) * (a.y - b.y) <= 625", "(a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 3600")
+    .replace("count(*) >= 8", "count(*) >= 4")
+)
+
+
+@query(f"{SOLID_DBSCAN}, c AS (SELECT cluster_label AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM lab WHERE cluster_label <> -1 GROUP BY cluster_label), r AS (SELECT unnest(range(1, 21)) AS ring) SELECT c.id, r.ring, count(b.id) AS within FROM c JOIN r ON true LEFT JOIN every b ON b.channel = 'C2' AND sqrt((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y) + (c.z - b.z) * (c.z - b.z)) <= r.ring * 10 GROUP BY c.id, r.ring")
+def centroid_profile_3d(spark, d):
+    """The second channel's points around the centroids of the first one's clusters, in three dimensions."""
+    other = channel(points(spark, d), "C2")
+    return shaped(profiles.centroid_profile(other, centres_of(spark, d, "C1"), 200.0, axes=("x", "y", "z")), "id ring within")
+
+
 def centres(spark, d):
     return cluster.cluster_sizes(clustered(spark, d)).select(F.col("cluster_label").cast("long").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
 
@@ -529,9 +576,17 @@ def interp_lookup(spark, d):
     return profiles.interpolated_lookup(table(spark, d, "part"), "p_size", "p_retailprice", 2.0, 40.0, 0.75).select("x", F.round("y", 6).alias("y"))
 
 
-@query()
+SUMS = "sum(e * e) AS ee, sum(a * x * e * e) AS exe, sum(a * a * x * x * e * e) AS xexe, sum(e * r) AS er, sum(a * x * e * r) AS xer"
+
+
+def newton_sql(k: int) -> str:
+    """A step of the normal equations of a e^(b x)."""
+    return f"s{k} AS (SELECT flag, a + (er * xexe - xer * exe) / (ee * xexe - exe * exe) AS a, b + (xer * ee - er * exe) / (ee * xexe - exe * exe) AS b FROM (SELECT flag, any_value(a) AS a, any_value(b) AS b, {SUMS} FROM (SELECT p.flag, s.a, s.b, p.ring::DOUBLE AS x, exp(s.b * p.ring) AS e, p.value - s.a * exp(s.b * p.ring) AS r FROM prof p JOIN s{k - 1} s ON p.flag = s.flag) GROUP BY flag))"
+
+
+@query(f"WITH {SIZES}, s0 AS (SELECT flag, exp(regr_intercept(ln(value), ring)) AS a, regr_slope(ln(value), ring) AS b FROM prof GROUP BY flag), {', '.join(map(newton_sql, range(1, 26)))} SELECT flag, round(a, 3) AS a, round(b, 8) AS b FROM s25")
 def exp1_fit(spark, d):
-    return fitting.exponential_fits(by_size(spark, d), ["flag"])
+    return fitting.exponential_fits(by_size(spark, d), ["flag"]).select("flag", F.round("a", 3).alias("a"), F.round("b", 8).alias("b"))
 
 
 RESAMPLE = """p AS (SELECT flag, value, row_number() OVER (PARTITION BY flag ORDER BY ring) - 1 AS i, count(*) OVER (PARTITION BY flag) AS n FROM prof),
@@ -576,9 +631,13 @@ def interval_rows(spark, d):
     return text.in_intervals(table(spark, d, "events").select(F.col("event_id").alias("line")), spans)
 
 
+#: Where the flagship query finds its tables.
+ENTRY_DATA = "/root/testdata/sf0.001"
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship query on the smallest tables."""
-    return contact_ratio(spark, "/root/testdata/sf0.001")
+    return contact_ratio(spark, ENTRY_DATA)
 
 
 from nubila.plans import files, models  # noqa: E402, F401  (they register their queries here)

@@ -1,20 +1,10 @@
 """Camera frames against direct sums."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from nubila.operators import imaging
 
 
-def test_convolution_and_shift():
-    rng = np.random.default_rng(0)
-    image, kernel = rng.uniform(size=(9, 12)), rng.uniform(size=(3, 5))
-    padded = np.pad(image, ((1, 1), (2, 2)))
-    want = sum(kernel[i, j] * padded[2 - i : 11 - i, 4 - j : 16 - j] for i in range(3) for j in range(5))
-    assert np.allclose(imaging.convolved(image, kernel), want)
-    assert np.allclose(imaging.shifted_image(image, 2, -3), np.roll(image, (2, -3), (0, 1)))
-
-
 def test_frames_hold_the_photons(spark):
     rows = [(1, 1000.0, 800.0, 110.0, 120.0, 500.0, 680.0), (1, 500.0, 500.0, 110.0, 110.0, 300.0, 680.0), (2, 700.0, 700.0, 110.0, 110.0, 50.0, 700.0), (2, None, 1.0, 1.0, 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "frame int, x double, y double, sigma_x double, sigma_y double, intensity double, wavelength double")
