@@ -33,7 +33,7 @@ def graphs():
     yield 5, []
 
 
-@pytest.mark.parametrize("residual", [0, 7, 50_000])
+@pytest.mark.parametrize("residual", [0, 50_000])
 def test_components_by_contraction(spark, monkeypatch, residual):
     monkeypatch.setattr(graph, "RESIDUAL", residual)
     monkeypatch.setattr(core, "HOT_LEAST", 3)

@@ -7,7 +7,7 @@ from nubila.functions import quantiles
 from nubila.operators import filters
 
 
-@pytest.mark.parametrize("bins, broadcast, direct", [(4096, 50_000, 0), (32, 0, 0), (4096, 50_000, 100_000)])
+@pytest.mark.parametrize("bins, broadcast, direct", [(4096, 50_000, 0), (256, 0, 0), (4096, 50_000, 100_000)])
 def test_quantiles_equal_numpy(spark, monkeypatch, bins, broadcast, direct):
     monkeypatch.setattr(quantiles, "BINS", bins)
     monkeypatch.setattr(quantiles, "BROADCAST", broadcast)
