@@ -17,7 +17,7 @@ from nubila.functions.core import checkpointed
 
 BINS = 4096
 #: Values of the largest group that one task may hold; if none has more, one aggregation finds all quantiles.
-DIRECT = 100_000
+DIRECT = 1_000_000
 #: Rows of ranges that are broadcast at most; more are joined by key.
 BROADCAST = 50_000
 
