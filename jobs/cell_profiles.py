@@ -1,8 +1,8 @@
 """Contact profiles of every cell and their roll-up over cells, from a localization table.
 
 For each cell the extremes of one axis are trimmed by quantiles; then the contact ratio of the two channels (own-channel over
-other-channel neighbours, for each radius) and the mean distance to the nearest own-channel neighbours are taken, and the profiles
-of a condition's cells are rolled up to mean and number. Rows of both kinds are written as Parquet by level and condition.
+other-channel neighbours, for each radius), the mean distance to the nearest own-channel neighbours and the number and mean size of
+the own channel's density clusters are taken, and the profiles of a condition's cells are rolled up to mean and number. Rows of both kinds are written as Parquet by level and condition.
 
 A run overwrites the partitions that it has rows for and leaves the others, so repeating one changes nothing, and conditions can be
 done one by one (--conditions).
@@ -21,12 +21,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubila.operators import filters, profiles, spatial
+from nubila.functions.core import checkpoints_dropped
+from nubila.operators import cluster, filters, profiles, spatial
 
 log = logging.getLogger("jobs.cell_profiles")
 
 CONFIG = Path(__file__).with_suffix(".json")
-SCHEMA = "cell_id long, ring int, r double, own double, other double, ratio double, near double, points long, cells long, level string, condition string"
+SCHEMA = "cell_id long, ring int, r double, own double, other double, ratio double, near double, points long, clusters long, size double, cells long, level string, condition string"
 
 
 def settings(path: str | Path = CONFIG) -> dict:
@@ -41,7 +42,7 @@ def localizations(table: DataFrame, config: dict, conditions: Sequence[str] | No
 
 
 def cell_profiles(points: DataFrame, config: dict) -> DataFrame:
-    """Rows of level "cell": contact ratio for each radius, nearest-neighbour distance and points of each cell."""
+    """Rows of level "cell": contact ratio for each radius, nearest-neighbour distance, points and clusters of each cell."""
     keys, (first, second) = ["condition", "cell_id"], config["channels"]
     kept = filters.filter_quantile(points, config["trim"]["column"], config["trim"]["percent"], keys).where(F.col("channel").isin(first, second))
     own, other = kept.where(F.col("channel") == first), kept.where(F.col("channel") == second)
@@ -49,16 +50,18 @@ def cell_profiles(points: DataFrame, config: dict) -> DataFrame:
     # The nearest of all is the point itself.
     near = spatial.mean_nearest(own, own, config["neighbours"] + 1, config["reach"], keys=keys, skip=1).groupBy(*keys).agg(F.avg("distance").alias("near"))
     sizes = kept.groupBy(*keys).agg(F.count("*").alias("points"))
-    rows = ratio.join(sizes, keys).join(near, keys, "left")
-    return rows.select("cell_id", F.col("ring").cast("int").alias("ring"), "r", "own", "other", "ratio", "near", "points", F.lit(1).cast("long").alias("cells"), F.lit("cell").alias("level"), "condition")
+    clustered = cluster.dbscan(own, config["eps"], config["min_samples"], keys=keys)
+    groups = cluster.cluster_sizes(clustered, [*keys, "cluster_label"]).where("cluster_label <> -1").groupBy(*keys).agg(F.count("*").alias("clusters"), F.avg("bb_2D").alias("size"))
+    rows = ratio.join(sizes, keys).join(near, keys, "left").join(groups, keys, "left").withColumn("clusters", F.coalesce("clusters", F.lit(0)))
+    return rows.select("cell_id", F.col("ring").cast("int").alias("ring"), "r", "own", "other", "ratio", "near", "points", "clusters", "size", F.lit(1).cast("long").alias("cells"), F.lit("cell").alias("level"), "condition")
 
 
 def rolled_up(cells: DataFrame) -> DataFrame:
     """Rows of level "condition": means over the condition's cells, and how many have a ratio, for each radius."""
     mean = profiles.replicate_mean(cells, "ratio", ["condition"]).select("condition", "ring", F.col("mean").alias("ratio"), "cells")
-    rest = cells.groupBy("condition", "ring").agg(F.first("r").alias("r"), F.avg("own").alias("own"), F.avg("other").alias("other"), F.avg("near").alias("near"), F.sum("points").alias("points"))
+    rest = cells.groupBy("condition", "ring").agg(F.first("r").alias("r"), F.avg("own").alias("own"), F.avg("other").alias("other"), F.avg("near").alias("near"), F.sum("points").alias("points"), F.sum("clusters").alias("clusters"), F.avg("size").alias("size"))
     rows = rest.join(mean, ["condition", "ring"])
-    return rows.select(F.lit(None).cast("long").alias("cell_id"), "ring", "r", "own", "other", "ratio", "near", "points", "cells", F.lit("condition").alias("level"), "condition")
+    return rows.select(F.lit(None).cast("long").alias("cell_id"), "ring", "r", "own", "other", "ratio", "near", "points", "clusters", "size", "cells", F.lit("condition").alias("level"), "condition")
 
 
 def run(spark: SparkSession, source: str, target: str, config: dict | None = None, conditions: Sequence[str] | None = None) -> dict[str, int]:
@@ -72,7 +75,8 @@ def run(spark: SparkSession, source: str, target: str, config: dict | None = Non
     def write(rows: DataFrame) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level", "condition").parquet(target, compression="zstd")
 
-    write(cell_profiles(points, config))
+    with checkpoints_dropped(spark):
+        write(cell_profiles(points, config))
     # The roll-up reads what has been written instead of computing it again.
     cells = read_output(spark, target).where("level = 'cell'")
     write(rolled_up(cells.where(F.col("condition").isin(list(conditions))) if conditions else cells))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,17 +65,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Checkpoints that this driver has written.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def checkpoints_dropped(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the checkpoints written inside it; for work whose results are written by then, on one thread.
+
+    Tables that read from these checkpoints can't be read afterwards. Checkpoints of other work stay.
+    """
+    begin = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > begin:
+            place = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage: written as Parquet to the folder that all executors share, and read back.
 
     checkpoint() keeps the constraints of the plan it cuts, and in a loop they grow exponentially with its rounds.
     """
     path = new_path(df.sparkSession, "checkpoint")
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

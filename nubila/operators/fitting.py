@@ -249,3 +249,23 @@ def until_close(run: Callable[[int], float], limit: float = 0.3, most: int = 10)
         k += 1
         value = run(k)
     return k, value
+
+
+def calibrated_factors(simulate: Callable[[DataFrame], DataFrame], real: DataFrame, factor: DataFrame, limit: float = 0.3, most: int = 10) -> tuple[DataFrame, int]:
+    """Factors (ring, factor, dif) that bring simulate(factors) within the limit of the real profile, and the rounds it took.
+
+    In every round each ring's factor is divided by the ratio of the simulated to the real value; dif is the largest |ratio - 1| of the
+    round. It ends when that is at most the limit, or after `most` rounds.
+    """
+    from nubila.operators.profiles import calibration_update
+
+    now = [factor.select("ring", "factor")]
+
+    def one(_: int) -> float:
+        held = now[0].select("ring", F.col("factor").alias("value"))
+        now[0] = checkpointed(calibration_update(real, simulate(held), held).select("ring", "factor", "dif"))
+        worst = now[0].agg(F.max("dif").alias("dif")).first()["dif"]
+        return float("inf") if worst is None else float(worst)
+
+    rounds, _ = until_close(one, limit, most)
+    return now[0], rounds

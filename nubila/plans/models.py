@@ -169,6 +169,14 @@ def two_step_mask(spark, d):
     return shaped(raster.two_step_mask(raster.density_grid(p, 50.0, box=box), box, 0.7).where("value > 0.001"), "ix iy", "value")
 
 
+@query(f"WITH {GRID}, {_taps('one', 1, 2)}, {_smoothed('one', 'grid')}, cut AS (SELECT ix, iy, 1.0 AS value FROM one WHERE value > 0.7 AND (ix * 7 + iy * 3) % 5 <> 0), {_taps('two', 2, 4)}, {_smoothed('two', 'cut')} SELECT ix, iy, round(value, 6) AS value FROM two WHERE value > 0.001")
+def mask_product(spark, d):
+    """The smoothed and cut mask inside another mask, smoothed again."""
+    p, box, _ = gridded(spark, d)
+    within = raster.dense(box).where((F.col("ix") * 7 + F.col("iy") * 3) % 5 != 0)
+    return shaped(raster.two_step_mask(raster.density_grid(p, 50.0, box=box), box, 0.7, within).where("value > 0.001"), "ix iy", "value")
+
+
 @query(f"""WITH RECURSIVE {MASK}, reach(ix, iy, rx, ry) AS (SELECT ix, iy, ix, iy FROM mask UNION SELECT m.ix, m.iy, r.rx, r.ry FROM reach r JOIN mask m ON abs(m.ix - r.ix) <= 1 AND abs(m.iy - r.iy) <= 1) SELECT ix, iy, min(rx * 1000 + ry) AS component FROM reach GROUP BY ix, iy""")
 def components_8(spark, d):
     parts = raster.components(mask_of(spark, d)[2], raster.EIGHT)
@@ -389,6 +397,23 @@ def nucleus_parts(spark, d):
     return sampling.random_nucleus(spark, 2, 9.0, 1, 2.0, 60, 20)
 
 
+LOOP = ", ".join(f"l{k} AS (SELECT ring, n, r, 3 * n * sqrt(factor) / r AS ratio, factor / (3 * n * sqrt(factor) / r) AS factor, {k} AS k FROM l{k - 1})" for k in range(1, 11))
+
+
+@query(
+    f"WITH m AS (SELECT l_returnflag AS flag, month(l_shipdate) AS ring, avg(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2), l0 AS (SELECT s.ring, s.value AS n, r.value AS r, 1.0::DOUBLE AS factor FROM m s JOIN m r ON s.ring = r.ring AND s.flag = 'N' AND r.flag = 'R'), {LOOP}, "
+    f"w AS ({' UNION ALL '.join(f'SELECT ring, ratio, factor, k FROM l{k}' for k in range(1, 11))}), d AS (SELECT k, max(abs(ratio - 1)) AS dif FROM w GROUP BY k), e AS (SELECT coalesce(min(k) FILTER (WHERE dif <= 0.3), 10) AS k FROM d) SELECT ring::BIGINT AS ring, w.k::BIGINT AS rounds, round(factor, 6) AS factor, round(dif, 6) AS dif FROM w JOIN e ON w.k = e.k JOIN d ON d.k = w.k"
+)
+def calibration_loop(spark, d):
+    """Factors whose model comes within a third of a measured profile; the model goes with their root, so several rounds are needed."""
+    m = monthly(spark, d)
+    one = lambda flag: m.where(F.col("flag") == flag).select("ring", "value")
+    base = one("N").withColumnRenamed("value", "base")
+    model = lambda factors: factors.join(base, "ring").select("ring", (3 * F.col("base") * F.sqrt("value")).alias("value"))
+    found, rounds = fitting.calibrated_factors(model, one("R"), one("N").select("ring", F.lit(1.0).alias("factor")))
+    return shaped(found.withColumn("rounds", F.lit(rounds)), "ring rounds", "factor dif")
+
+
 # --- searches ----------------------------------------------------------------------------------------------------------------------
 
 

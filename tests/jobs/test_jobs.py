@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from jobs import cell_profiles, clean_texts
 from jobs.queries import QUERIES, SQL
+from nubila.functions import core
 
 ROOT = Path(__file__).resolve().parent.parent.parent
 
@@ -91,7 +92,9 @@ def test_conditions_one_by_one(spark, small, tmp_path):
     """Conditions done in two runs equal all done in one; a repeated run overwrites its own partitions only, and settings stay."""
     source, before = f"{small}/embeddings.parquet", spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     read = lambda name: rows_of(map(tuple, cell_profiles.read_output(spark, str(tmp_path / name)).collect()))
+    left = set(core._WRITTEN)
     done = cell_profiles.run(spark, source, str(tmp_path / "all"))
+    assert set(core._WRITTEN) == left  # its checkpoints are deleted
     assert done == {"cell": 80, "condition": 20}
     for conditions in (["control"], ["treated"], ["control"]):
         cell_profiles.run(spark, source, str(tmp_path / "each"), conditions=conditions)

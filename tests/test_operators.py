@@ -1,11 +1,13 @@
 """Operators against brute force, and their invariants."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nubila.functions import core
 from nubila.functions.core import ranked, uniform
 from nubila.operators import cluster, filters, fitting, profiles, raster, sampling, spatial
 
@@ -287,3 +289,30 @@ def test_weighted_rings_without_nucleoli(spark):
     rings = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "ix int, iy int, ring int")
     profile = spark.createDataFrame([(1, 2.0, 4.0), (2, 3.0, 0.25)], "ring int, density double, ratio double")
     assert {(r["iy"], r["density"], r["ratio"]) for r in raster.weighted_rings(rings, profile).collect()} == {(0, 2.0, 8.0), (1, 3.0, 0.125)}
+
+
+def test_checkpoints_inside_a_block_are_deleted(spark):
+    outer = core.checkpointed(spark.range(3))
+    with core.checkpoints_dropped(spark):
+        inner = core.checkpointed(spark.range(4))
+        path = core._WRITTEN[-1]
+        assert inner.count() == 4 and os.path.isdir(path.removeprefix("file:"))
+    assert outer.count() == 3 and not os.path.exists(path.removeprefix("file:"))
+    with pytest.raises(ZeroDivisionError), core.checkpoints_dropped(spark):
+        core.checkpointed(spark.range(1))
+        path = core._WRITTEN[-1]
+        raise ZeroDivisionError
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_calibration_of_factors(spark):
+    """Against the same rounds in plain Python; rings without a real value keep their factor."""
+    real, factor = {1: 2.0, 2: 5.0, 3: 1.0}, dict.fromkeys((1, 2, 3, 4), 1.0)
+    frame = lambda d, name: spark.createDataFrame(list(d.items()), f"ring int, {name} double")
+    model = lambda f: f.select("ring", (4 * F.sqrt("value")).alias("value"))
+    found, rounds = fitting.calibrated_factors(model, frame(real, "value"), frame(factor, "factor"), 0.1)
+    want, k, worst = dict(factor), 0, 9.0
+    while worst > 0.1 and k < 10:
+        ratio = {r: 4 * math.sqrt(want[r]) / real[r] for r in real}
+        want, k, worst = {r: v / ratio.get(r, 1) for r, v in want.items()}, k + 1, max(abs(v - 1) for v in ratio.values())
+    assert rounds == k and all(abs(r["factor"] - want[r["ring"]]) < 1e-9 for r in found.collect())
