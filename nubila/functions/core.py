@@ -38,6 +38,12 @@ def voxel_index(value: Column, low: Column, size: float, offset: float = 0.01) -
     return (F.floor((value + offset - low) / size) + 1).cast("int")
 
 
+def steps_array(steps: Sequence[Sequence[int]], names: Sequence[str]) -> Column:
+    """An array of structs of whole numbers, as one parsed expression."""
+    rows = ", ".join("named_struct(" + ", ".join(f"'{n}', {int(v)}" for n, v in zip(names, step, strict=True)) + ")" for step in steps)
+    return F.expr(f"array({rows})")
+
+
 def sphere_volume(r: Column, unit: float = 32.0) -> Column:
     """Volume of a sphere of radius r in a unit of length."""
     return F.lit(4 / 3 * math.pi) * F.pow(r / unit, 3)

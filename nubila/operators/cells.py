@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nubila.functions.core import checkpointed, hot_rows, looked_up, ranked, squared_distance
+from nubila.functions.core import checkpointed, hot_rows, looked_up, ranked, squared_distance, steps_array
 from nubila.operators.graph import connected_components
 
 #: Points of a cell that are a join key of their own.
@@ -48,8 +48,7 @@ class CellGrid:
 
     def moved(self, rows: DataFrame, steps: Sequence[tuple[int, ...]], prefix: str = "") -> DataFrame:
         """Each row at every step from its cell, which stays as from0, from1, ..."""
-        struct = lambda s: F.struct(*[F.lit(v).alias(f"s{i}") for i, v in enumerate(s)])
-        out = rows.withColumn("__step", F.explode(F.array(*map(struct, steps))))
+        out = rows.withColumn("__step", F.explode(steps_array(steps, [f"s{i}" for i in range(len(self.axes))])))
         out = out.withColumns({f"{prefix}from{i}": F.col(c) for i, c in enumerate(self.places)})
         return out.withColumns({c: F.col(c) + F.col(f"__step.s{i}") for i, c in enumerate(self.places)}).drop("__step")
 

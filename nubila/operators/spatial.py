@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nubila.functions.core import checkpointed, squared_distance
+from nubila.functions.core import checkpointed, squared_distance, steps_array
 
 #: Left rows of one cube that are a join key of their own.
 PART = 20_000
@@ -26,7 +26,7 @@ def _side(df: DataFrame, name: str, axes: Sequence[str], edge: float, keys: Sequ
     for a in axes:
         out = out.withColumn(f"__{a}", F.floor(F.col(f"{name}_{a}") / edge))
     if spread:
-        steps = F.array(*[F.struct(*[F.lit(s).alias(a) for s, a in zip(step, axes, strict=True)]) for step in itertools.product((-1, 0, 1), repeat=len(axes))])
+        steps = steps_array(list(itertools.product((-1, 0, 1), repeat=len(axes))), axes)
         out = out.withColumn("__step", F.explode(steps)).withColumns({f"__{a}": F.col(f"__{a}") + F.col(f"__step.{a}") for a in axes}).drop("__step")
     return out
 
@@ -100,7 +100,7 @@ def search_radii(left: DataFrame, counts: DataFrame, k: int, reach: float, axes:
     known = checkpointed(deepest.withColumnsRenamed(dict(zip(fine, places, strict=True))))
     # The cells around, one level finer, by the axes along which they are others.
     cells = known.where(F.col("level") < LEVELS - 1).select(*keys, (F.col("level") + 1).alias("level"), *places).withColumns(_at_level(F.col("level"), axes)).distinct()
-    steps = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(s, axes, strict=True)], F.lit(sum(map(abs, s))).alias("others")) for s in itertools.product((-1, 0, 1), repeat=d)])
+    steps = steps_array([(*s, sum(map(abs, s))) for s in itertools.product((-1, 0, 1), repeat=d)], [*axes, "others"])
     moved = cells.withColumns({f"__own{i}": F.col(c) for i, c in enumerate(places)}).withColumn("step", F.explode(steps)).withColumns({f"__{a}": F.col(f"__{a}") + F.col(f"step.{a}") for a in axes})
     around = moved.join(counts, [*keys, "level", *places])
     own = [f"__own{i}" for i in range(d)]
@@ -128,7 +128,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, reach: float, axes: Seque
     at_all = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
     counts = checkpointed(b.select(*keys, *places, at_all.alias("level")).withColumns(_at_level(F.col("level"), axes)).groupBy(*keys, "level", *places).agg(F.count("*").alias("n")))
     a = search_radii(a, counts, k, reach, axes, keys, square).withColumns(_at_level(F.col("level"), axes))
-    steps = F.array(*[F.struct(*[F.lit(v).alias(x) for v, x in zip(s, axes, strict=True)]) for s in itertools.product(range(-2, 3), repeat=len(axes))])
+    steps = steps_array(list(itertools.product(range(-2, 3), repeat=len(axes))), axes)
     touched = a.withColumn("step", F.explode(steps)).withColumns({f"__{x}": F.col(f"__{x}") + F.col(f"step.{x}") for x in axes}).drop("step")
     gap = {x: F.greatest(F.col(f"__{x}") * edge - F.col(f"a_{x}"), F.col(f"a_{x}") - (F.col(f"__{x}") + 1) * edge, F.lit(0.0)) * (1 - 1e-9) for x in axes}
     reached = F.greatest(*gap.values()) <= F.least(F.coalesce("r", F.lit(reach)), F.lit(reach)) if len(axes) > 1 else gap[axes[0]] <= F.least(F.coalesce("r", F.lit(reach)), F.lit(reach))
