@@ -3,8 +3,9 @@
 A cell's diagonal is the radius, so all points of a cell with min_samples points or more are core points without a look at their
 neighbours, and the core points of a cell are one cluster. Neighbours are counted for the points of sparser cells only: a cell has at
 most min_samples - 1 of them, so a crowded cell's points meet a bounded number. Two cells are linked if any core points of theirs are
-within the radius; boxes around the points decide most pairs, small blocks are compared point by point, and others are cut into finer
-blocks until all are decided. Components run over cells. No table of pairs of points is made.
+within the radius; their outermost points and boxes decide most pairs, and pairs of cells that those already put into one component
+need no look. Of the rest, small blocks are compared point by point, and others are cut into finer blocks until all are decided.
+Components run over cells. No table of pairs of points is made.
 """
 
 from __future__ import annotations
@@ -65,11 +66,13 @@ class CellGrid:
 
 
 def _blocks(core: DataFrame, grid: CellGrid, level: int) -> DataFrame:
-    """Blocks of the core points of cells: cell, block (a struct), points and the box around them."""
+    """Blocks of the core points of cells: cell, block (a struct), points, the box around them and the outermost point of each side."""
     size = grid.edge / FINER**level
     block = F.struct(*[F.floor(F.col(a) / size).alias(a) for a in grid.axes])
     box = [f(a).alias(f"{name}_{a}") for a in grid.axes for name, f in (("lo", F.min), ("hi", F.max))]
-    return core.groupBy("rep", block.alias("block")).agg(F.count("*").alias("k"), *box)
+    place = F.struct(*grid.axes)
+    tips = [f(place, F.col(a)).alias(f"{name}_tip_{a}") for a in grid.axes for name, f in (("lo", F.min_by), ("hi", F.max_by))]
+    return core.groupBy("rep", block.alias("block")).agg(F.count("*").alias("k"), *box, *tips)
 
 
 def _least_gap(grid: CellGrid) -> Column:
@@ -88,12 +91,26 @@ def _greatest_gap(grid: CellGrid) -> Column:
     return out
 
 
+def _tips_near(grid: CellGrid) -> Column:
+    """Whether outermost points that face each other along an axis are within the radius."""
+    out = F.lit(False)
+    for a in grid.axes:
+        for mine, theirs in (("hi", "lo"), ("lo", "hi")):
+            d2 = F.lit(0.0)
+            for x in grid.axes:
+                d = F.col(f"a_{mine}_tip_{a}.{x}") - F.col(f"b_{theirs}_tip_{a}.{x}")
+                d2 = d2 + d * d
+            out = out | (d2 <= grid.eps * grid.eps)
+    return out
+
+
 def _side(blocks: DataFrame, name: str) -> DataFrame:
     return blocks.select(*[F.col(c).alias(f"{name}_{c}") for c in blocks.columns])
 
 
 def links_of_cells(core: DataFrame, cells: DataFrame, grid: CellGrid) -> DataFrame:
-    """Links (a, b) of the cells, named by their least core id `rep`, that have core points within the radius of each other.
+    """Links (a, b) of cells, named by their least core id `rep`, that have core points within the radius of each other; enough of them
+    that all cells so linked are connected.
 
     core: rep, id and axes of the core points; cells: cell and rep of those that have any.
     """
@@ -104,12 +121,21 @@ def links_of_cells(core: DataFrame, cells: DataFrame, grid: CellGrid) -> DataFra
     pairs = pairs.join(_side(blocks, "a"), "a_rep").join(_side(blocks, "b"), "b_rep")
     while True:
         limit = grid.eps * grid.eps
-        judged = checkpointed(pairs.where(_least_gap(grid) <= limit).withColumn("sure", _greatest_gap(grid) <= limit))
+        judged = pairs.where(_least_gap(grid) <= limit).withColumn("sure", (_greatest_gap(grid) <= limit) | _tips_near(grid))
+        judged = checkpointed(judged.select("a_rep", "a_block", "a_k", "b_rep", "b_block", "b_k", "sure"))
         sure = judged.where("sure").select("a_rep", "b_rep").distinct()
-        rest = judged.where("not sure").join(sure, ["a_rep", "b_rep"], "left_anti")
-        opened = _opened(rest.where(F.least("a_k", "b_k") <= SMALL), core, grid, level)
-        found = checkpointed(sure.union(opened).distinct())
-        decided = found if decided is None else decided.union(found)
+        decided = sure if decided is None else decided.union(sure)
+        # Pairs of cells that are connected by now need no link of their own.
+        ends = decided.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        known = checkpointed(connected_components(ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))), ends))
+        rest = judged.where("not sure")
+        for side in "ab":
+            rest = rest.join(known.select(F.col("id").alias(f"{side}_rep"), F.col("component").alias(f"__{side}")), f"{side}_rep", "left")
+        rest = checkpointed(rest.where(~F.coalesce(F.col("__a") == F.col("__b"), F.lit(False))).drop("__a", "__b"))
+        if rest.isEmpty():
+            return decided.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        found = checkpointed(_opened(rest.where(F.least("a_k", "b_k") <= SMALL), core, grid, level))
+        decided = decided.union(found)
         rest = rest.where(F.least("a_k", "b_k") > SMALL).join(found, ["a_rep", "b_rep"], "left_anti").select("a_rep", "b_rep", "a_block", "b_block")
         rest = checkpointed(rest)
         if rest.isEmpty():
@@ -149,8 +175,14 @@ def density_clusters(points: DataFrame, eps: float, min_samples: int, axes: Sequ
     """(keys, id, component) of the points in clusters: the least id of a core point of the point's cluster.
 
     A core point has min_samples points within eps, itself included. A border point takes the least of the clusters that have a core
-    point within eps. Points without a coordinate are in none.
+    point within eps. Points without a coordinate are in none. At a radius of zero only points at the same place are neighbours, and
+    a negative one holds none.
     """
+    if eps <= 0:
+        own = points.where(F.lit(eps == 0)).select(*keys, "id", *[F.col(a).cast("double").alias(a) for a in axes]).dropna(subset=list(axes))
+        places = checkpointed(own.groupBy(*keys, *axes).agg(F.min("id").alias("component"), F.count("*").alias("n")))
+        full = places.where(F.col("n") >= min_samples)
+        return looked_up(own, [*keys, *axes], full.drop("n"), hot_rows(full), ["id"]).where("component is not null").select(*keys, "id", "component")
     grid = CellGrid(points, eps, axes, keys)
     row = [*grid.keys, "id"]
     sparse = grid.points.where(F.col("n") < min_samples)

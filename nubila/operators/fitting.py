@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nubila.functions.core import checkpointed
+from nubila.functions.core import checkpointed, checkpoints_dropped
+from nubila.operators.cells import density_clusters
 from nubila.operators.cluster import cluster_geometry, cluster_sizes, dbscan
 from nubila.operators.graph import connected_components, spanning_forest
-from nubila.operators.spatial import range_join
+from nubila.operators.spatial import most_pairs, range_join
 
 #: Cost where no cluster is found.
 NO_CLUSTER = 99999.0
 GOLDEN = (3 - math.sqrt(5)) / 2
+#: Pairs of points that a search may store; with more it clusters the cells of each radius.
+PAIRS = 5_000_000
 
 
 def power_law(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -95,6 +98,12 @@ def resampled(profile: DataFrame, keys: Sequence[str], points: int = 100, y: str
     return _grouped(profile, keys, (x, y), "position int, value double", run)
 
 
+def _sizes(radii: RadiusForest | RadiusCells, eps: float, metric: str) -> DataFrame:
+    found = radii.points.join(radii.clusters(eps), "id")
+    rows = cluster_sizes(found, ["component"]) if metric.startswith("bb") else cluster_geometry(found, ["component"])
+    return rows.select("component", metric)
+
+
 class RadiusForest:
     """Density clusters of points (id, axes) at any radius up to `high`, from one join of the points.
 
@@ -103,7 +112,7 @@ class RadiusForest:
     these links has the same components at every radius, so a radius is a cut of the forest. A point that is no core point at a
     radius has all its neighbours within it among its min_samples - 1 nearest, which are kept for the border points.
 
-    Work and space grow with the pairs of points within `high`; afterwards each radius costs no more than the points.
+    Work and space grow with the pairs of points within `high`, so with the square of the density; RadiusCells has none.
     """
 
     def __init__(self, points: DataFrame, high: float, min_samples: int = 8, axes: Sequence[str] = ("x", "y")):
@@ -121,7 +130,7 @@ class RadiusForest:
         """(id, component) of the points in clusters at a radius, as density_clusters gives them."""
         if eps > self.high:
             raise ValueError(f"the forest reaches to {self.high}")
-        square = float(eps) * float(eps)
+        square = float(eps) * abs(float(eps))  # a negative radius holds nothing
         core = self.core.where(F.col("core2") <= square).select("id")
         parts = checkpointed(connected_components(core, self.forest.where(F.col("w") <= square)))
         loose = self.near.where(F.col("d2") <= square).join(core.withColumnRenamed("id", "a_id"), "a_id", "left_anti")
@@ -130,9 +139,7 @@ class RadiusForest:
 
     def sizes(self, eps: float, metric: str = "bb_2D") -> DataFrame:
         """component and the metric of each cluster at a radius."""
-        found = self.points.join(self.clusters(eps), "id")
-        rows = cluster_sizes(found, ["component"]) if metric.startswith("bb") else cluster_geometry(found, ["component"])
-        return rows.select("component", metric)
+        return _sizes(self, eps, metric)
 
     def signed_cost(self, eps: float, target: float, metric: str = "bb_2D") -> float:
         """Mean cluster size less the target; -100 where no cluster is found."""
@@ -140,11 +147,39 @@ class RadiusForest:
         return -100.0 if value is None else float(value) - target
 
 
+class RadiusCells:
+    """Density clusters of points (id, x, y, z) at any radius, each over cells: no pairs of points are made or stored."""
+
+    high = math.inf
+
+    def __init__(self, points: DataFrame, min_samples: int = 8):
+        self.points, self.least = checkpointed(points.select("id", "x", "y", "z")), min_samples
+
+    def clusters(self, eps: float) -> DataFrame:
+        return density_clusters(self.points, eps, self.least, ("x", "y"))
+
+    def sizes(self, eps: float, metric: str = "bb_2D") -> DataFrame:
+        """component and the metric of each cluster at a radius."""
+        return _sizes(self, eps, metric)
+
+    def signed_cost(self, eps: float, target: float, metric: str = "bb_2D") -> float:
+        """Mean cluster size less the target; -100 where no cluster is found. What the step stores is deleted at its end."""
+        with checkpoints_dropped(self.points.sparkSession):
+            value = self.sizes(eps, metric).agg(F.avg(metric).alias("v")).first()["v"]
+        return -100.0 if value is None else float(value) - target
+
+
+def all_radii(points: DataFrame, high: float, min_samples: int = 8) -> RadiusForest | RadiusCells:
+    """The forest where the pairs within `high` are few, whatever the input; else cells for each radius. Both give the same clusters."""
+    few = most_pairs(points, high, ("x", "y")) <= PAIRS
+    return RadiusForest(points, high, min_samples) if few else RadiusCells(points, min_samples)
+
+
 def eps_grid_cost(points: DataFrame, radii: Sequence[float], target: float, min_samples: int = 8, metric: str = "bb_2D") -> DataFrame:
-    """|mean cluster size - target| for each radius; 99999 where no cluster is found. One forest serves all radii."""
-    forest, out = RadiusForest(points, max(radii), min_samples), None
+    """|mean cluster size - target| for each radius; 99999 where no cluster is found."""
+    found, out = all_radii(points, max(radii), min_samples), None
     for eps in radii:
-        one = forest.sizes(eps, metric).agg(F.count("*").alias("clusters"), F.coalesce(F.abs(F.avg(metric) - target), F.lit(NO_CLUSTER)).alias("cost")).select(F.lit(float(eps)).alias("eps"), "clusters", "cost")
+        one = found.sizes(eps, metric).agg(F.count("*").alias("clusters"), F.coalesce(F.abs(F.avg(metric) - target), F.lit(NO_CLUSTER)).alias("cost")).select(F.lit(float(eps)).alias("eps"), "clusters", "cost")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -194,14 +229,15 @@ def signed_cost(points: DataFrame, eps: float, target: float, min_samples: int =
 
 
 def find_eps(points: DataFrame, target: float, low: float = 10.0, high: float = 200.0, min_samples: int = 8, metric: str = "bb_2D", tolerance: float = 1.0) -> tuple[float, float]:
-    """Radius in [low, high] whose mean cluster size comes nearest to the target, and its cost; one forest serves the search."""
-    forest = RadiusForest(points, high, min_samples)
+    """Radius in [low, high] whose mean cluster size comes nearest to the target, and its cost."""
+    with checkpoints_dropped(points.sparkSession):
+        found = all_radii(points, high, min_samples)
 
-    def cost(eps: float) -> float:
-        value = forest.signed_cost(eps, target, metric)
-        return NO_CLUSTER if value == -100.0 else abs(value)
+        def cost(eps: float) -> float:
+            value = found.signed_cost(eps, target, metric)
+            return NO_CLUSTER if value == -100.0 else abs(value)
 
-    return bounded_minimum(cost, low, high, tolerance)
+        return bounded_minimum(cost, low, high, tolerance)
 
 
 def with_targets(samples: DataFrame, targets: DataFrame) -> DataFrame:
@@ -213,19 +249,21 @@ def with_targets(samples: DataFrame, targets: DataFrame) -> DataFrame:
 def chained_radii(samples: DataFrame, targets: dict[float, float], start: float = 30.0, back: float = 2.0, reach: float = 2.0, min_samples: int = 8, **search) -> DataFrame:
     """fraction, eps, cost, steps: step halving for each fraction, dense first; each search starts at the last result less `back`.
 
-    A fraction's forest reaches to `reach` times where its search starts, and is grown to as much beyond a step that leaves it.
+    Where a fraction has a forest, it reaches to `reach` times where the search starts, and is grown to as much beyond a step that
+    leaves it.
     """
     rows = []
     for fraction, target in sorted(targets.items(), reverse=True):
-        part = samples.where(F.abs(F.col("fraction") - fraction) < 1e-9)
-        forests = [RadiusForest(part, reach * start, min_samples)]
+        with checkpoints_dropped(samples.sparkSession):
+            part = samples.where(F.abs(F.col("fraction") - fraction) < 1e-9)
+            found = [all_radii(part, reach * start, min_samples)]
 
-        def cost(eps: float) -> float:
-            if eps > forests[-1].high:  # noqa: B023
-                forests.append(RadiusForest(part, reach * eps, min_samples))  # noqa: B023
-            return forests[-1].signed_cost(eps, target)  # noqa: B023
+            def cost(eps: float) -> float:
+                if eps > found[-1].high:  # noqa: B023
+                    found.append(all_radii(part, reach * eps, min_samples))  # noqa: B023
+                return found[-1].signed_cost(eps, target)  # noqa: B023
 
-        eps, value, steps = halving_search(cost, start, **search)
+            eps, value, steps = halving_search(cost, start, **search)
         rows.append((float(fraction), float(eps), float(value), int(steps)))
         start = max(eps - back, 1.0)
     return samples.sparkSession.createDataFrame(rows, "fraction double, eps double, cost double, steps int")

@@ -70,6 +70,15 @@ def ring_counts(left: DataFrame, right: DataFrame, radius: float, step: float =
     return counts.select(*keys, "id", "ring", "in_ring", F.sum("in_ring").over(w).alias("within"))
 
 
+def most_pairs(points: DataFrame, radius: float, axes: Sequence[str] = ("x", "y", "z")) -> int:
+    """How many pairs a range join of points with themselves compares: a bound of its rows, from counts of cubes."""
+    cells = [f"__{a}" for a in axes]
+    counts = checkpointed(points.dropna(subset=list(axes)).groupBy(*[F.floor(F.col(a) / radius).alias(c) for a, c in zip(axes, cells, strict=True)]).agg(F.count("*").alias("n")))
+    steps = steps_array(list(itertools.product((-1, 0, 1), repeat=len(axes))), axes)
+    moved = counts.withColumnRenamed("n", "m").withColumn("__step", F.explode(steps)).withColumns({f"__{a}": F.col(f"__{a}") + F.col(f"__step.{a}") for a in axes})
+    return moved.join(counts, cells).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+
+
 #: Halvings of the box that counts are taken at.
 LEVELS = 14
 

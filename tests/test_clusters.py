@@ -151,3 +151,25 @@ def test_searches_run_to_their_end(spark):
     samples = df.withColumn("fraction", F.lit(1.0))
     row = fitting.chained_radii(samples, {1.0: 30.0}, 4.0, min_samples=5, step=1.0, accept=0.01).first()
     assert np.allclose((row["eps"], row["cost"], row["steps"]), fitting.halving_search(signed, 4.0, 1.0, 0.01)) and row["steps"] == 20
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2])
+def test_radii_without_pairs(spark, monkeypatch, kind):
+    """Above the bound of pairs no forest is built; the clusters are the same, at radii of zero and less too."""
+    monkeypatch.setattr(fitting, "PAIRS", 0)
+    p = clumps(kind)
+    df = frame(spark, p, z=0.0)
+    found = fitting.all_radii(df, 9.0, 5)
+    assert isinstance(found, fitting.RadiusCells) and not hasattr(found, "near")
+    for eps in (-3.0, 0.0, 2.5):
+        want = sequential_dbscan(p, eps, 5) if eps >= 0 else np.full(len(p), -1)
+        near = [(((p - q) ** 2).sum(axis=1) <= eps * eps).sum() for q in p]
+        first = {k: min(i for i in range(len(p)) if want[i] == k and near[i] >= 5) for k in range(want.max() + 1)}
+        assert {r["id"]: r["component"] for r in found.clusters(eps).collect()} == {i: first[k] for i, k in enumerate(want.tolist()) if k >= 0}, eps
+
+
+def test_a_crowd_gets_no_table_of_pairs(spark):
+    crowd = spark.range(20_000).select("id", (F.rand(1) * 9).alias("x"), (F.rand(2) * 9).alias("y"), F.lit(0.0).alias("z"))
+    found = fitting.all_radii(crowd, 20.0)
+    assert isinstance(found, fitting.RadiusCells) and abs(found.signed_cost(5.0, 9.0)) < 0.1
+    assert isinstance(fitting.all_radii(crowd.limit(100), 20.0), fitting.RadiusForest)
