@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nubila.functions.core import new_path
+from nubila.functions.core import new_path, ranked
 from nubila.plans.queries import LIGHT, PTS, points, query, shaped, table, wavelengths
 from nubila.sources import lines, tables, text
 
@@ -106,12 +106,13 @@ def reader_blocks(spark, d):
 def reader_formats(spark, d):
     """A hexadecimal column, one that is skipped, gaps that become null, and lines with a bad marker left out."""
     k = F.col("s_suppkey")
-    fields = [F.concat(F.lit("0x"), F.hex(k * 7)), F.lit("skipped"), F.when(k % 5 == 0, "").otherwise(F.format_string("%.2f", "s_acctbal")), F.when(k % 11 == 0, "BAD").otherwise("")]
+    # Digits in lower case: 2989 is BAD in upper case.
+    fields = [F.concat(F.lit("0x"), F.lower(F.hex(k * 7))), F.lit("skipped"), F.when(k % 5 == 0, "").otherwise(F.format_string("%.2f", "s_acctbal")), F.when(k % 11 == 0, "BAD").otherwise("")]
     path = written_lines(spark, table(spark, d, "supplier").select(k.alias("place"), F.concat_ws(";", *fields).alias("value")), "formats")
     lines = text.clean_lines(text.read_lines(spark, path), bad=["BAD"])
     parsed = text.parse_columns(lines, 3, ";", ["hex", "skip", "double"], ["code", "other", "balance"])
-    kept = parsed.select("line", "code", "balance")
-    return shaped(kept.withColumn("line", F.col("line") - 1 - F.floor((F.col("line") - 1) / 11)), "line code", "balance")
+    # The lines that are kept are numbered again, whichever were left out.
+    return shaped(ranked(parsed.withColumnRenamed("line", "place"), "place", rank="line"), "line code", "balance")
 
 
 @query("SELECT row_number() OVER (ORDER BY CASE o_orderkey % 50 WHEN 7 THEN 0 WHEN 8 THEN 2 ELSE 1 END, o_orderkey) AS line, o_orderkey::VARCHAR || ' ' || o_orderpriority AS value FROM orders")

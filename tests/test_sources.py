@@ -248,3 +248,14 @@ def test_format_strings(spark, file):
     path = file("1.5 ff skip 7 word\n2.5 0x10 skip 8 other\n")
     df = text.read_matrix(spark, path, header_lines=0, delimiter=" ", format_string="%f %x %*s %d %s")
     assert values(df) == [(1.5, 255, 7, "word"), (2.5, 16, 8, "other")] and dict(df.dtypes)["c4"] == "bigint"
+
+
+def test_formats_over_keys_with_gaps_and_a_code_that_spells_the_marker(spark, tmp_path):
+    """Key 427 gives 0xBAD; the keys left out are not every eleventh line."""
+    from nubila.plans.queries import QUERIES
+
+    keys = [1, 5, 11, 12, 40, 427, 428, 990, 1500]
+    spark.createDataFrame([(k, k + 0.25) for k in keys], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {tuple(r[c] for c in ("line", "code", "balance")) for r in QUERIES["reader_formats"](spark, str(tmp_path)).collect()}
+    kept = [k for k in keys if k % 11]
+    assert got == {(i, k * 7, None if k % 5 == 0 else k + 0.25) for i, k in enumerate(kept, 1)}
