@@ -10,6 +10,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,6 +53,55 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, axes: Sequence[
     return box_join(left, right, radius, axes, keys, more).where(F.col("d2") <= radius * radius)
 
 
+#: Stretches that a line is cut into at most, and rows of one that are a key of their own.
+STRETCHES, ROWS = 1000, 200_000
+
+
+def _counts_on_line(values: np.ndarray, others: np.ndarray, times: np.ndarray, reach: float) -> np.ndarray:
+    """How many others, each so many times, have |value - other| <= reach. Both differences are monotone, rounded too: two bisections."""
+    order = np.argsort(others)
+    others, upto = others[order], np.concatenate([[0], np.cumsum(times[order])])
+
+    def first(beyond) -> np.ndarray:
+        low, high = np.zeros(len(values), dtype=np.int64), np.full(len(values), len(others), dtype=np.int64)
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            right = beyond(others[np.minimum(middle, len(others) - 1)])
+            high, low = np.where(open_ & right, middle, high), np.where(open_ & ~right, middle + 1, low)
+        return low
+
+    return upto[first(lambda b: b - values > reach)] - upto[first(lambda b: values - b <= reach)]
+
+
+def line_counts(left: DataFrame, right: DataFrame, reach: float, axis: str) -> DataFrame:
+    """id and n: the right rows within reach of each left row along one axis; left rows that have none are left out.
+
+    No pairs are made: equal right values are one with their number, and the rows of a stretch of the line are counted by bisection, so
+    the work grows with the rows. Stretches with many rows are dealt into parts on both sides.
+    """
+    a = left.select("id", F.col(axis).cast("double").alias("v")).dropna(subset=["v"])
+    b = right.select(F.col(axis).cast("double").alias("v")).dropna().groupBy("v").agg(F.count("*").alias("times"))
+    span = a.agg((F.max("v") - F.min("v")).alias("span")).first()["span"] or 0.0
+    edge = max(reach, span / STRETCHES, 1e-9)
+    near = reach * (1 + 1e-9)
+    a = a.withColumn("cell", F.floor(F.col("v") / edge))
+    b = b.withColumn("cell", F.explode(F.sequence(F.floor((F.col("v") - near) / edge), F.floor((F.col("v") + near) / edge))))
+    many = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).cast("int").alias(name))
+    parts = many(a, "__a").join(many(b, "__b"), "cell")
+    all_of = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    a = a.join(parts, "cell").withColumn("a_part", F.pmod(F.xxhash64("id"), F.col("__a")).cast("int")).withColumn("b_part", all_of("__b"))
+    b = b.join(parts, "cell").withColumn("b_part", F.pmod(F.xxhash64("v"), F.col("__b")).cast("int")).withColumn("a_part", all_of("__a"))
+
+    def counted(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        found = _counts_on_line(rows["v"].to_numpy(), others["v"].to_numpy(), others["times"].to_numpy(), reach) if len(others) else np.zeros(len(rows), dtype=np.int64)
+        return pd.DataFrame({"id": rows["id"], "n": found})
+
+    key = ["cell", "a_part", "b_part"]
+    kind = dict(a.dtypes)["id"]
+    each = a.select(*key, "id", "v").groupBy(*key).cogroup(b.select(*key, "v", "times").groupBy(*key)).applyInPandas(counted, f"id {kind}, n long")
+    return each.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def ring_counts(left: DataFrame, right: DataFrame, radius: float, step: float = 10.0, axes: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = (), same: bool = False) -> DataFrame:
     """For each left id and ring (k: distance in ((k-1) step, k step], zero in the first): in_ring and cumulative within.
 

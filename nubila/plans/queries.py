@@ -358,7 +358,7 @@ SELECT s.id, count(*) AS n FROM s JOIN c ON abs(s.v - c.v) <= 20 GROUP BY s.id""
 def range_join_1d(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
-    return shaped(spatial.box_join(s, c, 20.0, ("v",)).groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("n")), "id n")
+    return shaped(spatial.line_counts(s, c, 20.0, "v"), "id n")
 
 
 @query("""WITH e AS (SELECT event_id AS id, date_trunc('minute', ts) AS f, value FROM events), p AS (SELECT f, min(id) AS first_id, max(id) AS second_id FROM e GROUP BY f HAVING count(*) = 2)

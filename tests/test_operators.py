@@ -316,3 +316,19 @@ def test_calibration_of_factors(spark):
         ratio = {r: 4 * math.sqrt(want[r]) / real[r] for r in real}
         want, k, worst = {r: v / ratio.get(r, 1) for r, v in want.items()}, k + 1, max(abs(v - 1) for v in ratio.values())
     assert rounds == k and all(abs(r["factor"] - want[r["ring"]]) < 1e-9 for r in found.collect())
+
+
+def test_counts_on_a_line_make_no_pairs(spark, monkeypatch):
+    """Against all pairs, with differences of exactly the reach, gaps, equal values and parts; then 10^11 pairs at one place."""
+    monkeypatch.setattr(spatial, "ROWS", 7)
+    rng = np.random.default_rng(11)
+    a, b = np.round(rng.normal(0, 40, 60), 2).tolist(), np.round(rng.normal(0, 40, 300), 2).tolist()
+    b += [v - 20 for v in a[:10]] + [v + 20 for v in a[10:20]] + b[:50]
+    a += [5000.0]
+    left = spark.createDataFrame([*enumerate(a), (999, None)], "id long, v double")
+    right = spark.createDataFrame([*((v,) for v in b), (None,)], "v double")
+    want = {i: n for i, v in enumerate(a) if (n := sum(abs(v - w) <= 20 for w in b))}
+    assert {r["id"]: r["n"] for r in spatial.line_counts(left, right, 20.0, "v").collect()} == want
+    monkeypatch.undo()
+    crowd = spark.range(300_000).select("id", (F.rand(3) * 10).alias("v"))
+    assert [tuple(r) for r in spatial.line_counts(crowd, crowd, 20.0, "v").groupBy("n").count().collect()] == [(300_000, 300_000)]
