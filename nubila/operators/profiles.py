@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nubila.functions.core import interpolated, sphere_volume
-from nubila.operators.spatial import range_join, ring_counts
+from nubila.operators.spatial import crowded_ring_counts, range_join, ring_counts
 
 
 def mean_profile(counts: DataFrame, column: str = "within", keys: Sequence[str] = ()) -> DataFrame:
@@ -178,7 +178,7 @@ def empirical_parameters(points: DataFrame, bands: DataFrame, box: DataFrame, si
     null = F.lit(None).cast("long")
     density = raster.band_profile(raster.on_grid(points, box, size), bands).where("band >= 1")
     profile = density.select(F.lit("profile").alias("kind"), F.col("band").cast("long").alias("step"), null.alias("k"), F.col("density").alias("value"))
-    rings = ring_histogram(ring_counts(points, points, radius, step, ("x", "y")))
+    rings = ring_histogram(crowded_ring_counts(points, points, radius, step, ("x", "y")))
     histogram = rings.select(F.lit("ring").alias("kind"), F.col("ring").cast("long").alias("step"), F.col("k").cast("long").alias("k"), F.col("freq").cast("double").alias("value"))
     stretch = points.sparkSession.range(1, int(radius // step) + 1).select(F.lit("z").alias("kind"), F.col("id").alias("step"), null.alias("k"), F.lit(z_stretch).alias("value"))
     corner = box.select(F.lit("origin").alias("kind"), F.posexplode(F.array("x0", "y0")).alias("step", "value")).select("kind", F.col("step").cast("long").alias("step"), null.alias("k"), "value")

@@ -130,6 +130,44 @@ def most_pairs(points: DataFrame, radius: float, axes: Sequence[str] = ("x", "y"
     return moved.join(counts, cells).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
 
 
+#: Left and right rows of a cube that meet in one call, and pairs whose distances are held at once.
+CROWD, OTHERS, HELD = 2_000, 500_000, 1_000_000
+
+
+def crowded_ring_counts(left: DataFrame, right: DataFrame, radius: float, step: float = 10.0, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """What ring_counts gives without keys, for crowds: pairs are counted as arrays inside tasks and never become rows.
+
+    The cubes are those of box_join; the left rows of a crowded cube are dealt into parts of CROWD, its right ones into parts of OTHERS.
+    """
+    last, cube = int(radius // step), [f"__{a}" for a in axes]
+    a, b = _side(left, "a", axes, radius, (), False), _side(right, "b", axes, radius, (), True)
+    parts = lambda df, n, name: df.groupBy(*cube).agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    both = checkpointed(parts(a, CROWD, "__m").join(parts(b, OTHERS, "__n"), cube))
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    own = lambda side, name: F.pmod(F.xxhash64(f"{side}_id"), F.col(name)).cast("int")
+    a = a.join(both, cube).withColumn("__i", own("a", "__m")).withColumn("__j", each("__n"))
+    b = b.join(both, cube).withColumn("__j", own("b", "__n")).withColumn("__i", each("__m"))
+
+    def counted(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((len(rows), last), dtype=np.int64)
+        p, q = ([df[f"{s}_{x}"].to_numpy() for x in axes] for df, s in ((rows, "a"), (others, "b")))
+        many = max(1, HELD // max(len(others), 1))
+        for k in range(0, len(rows) if len(others) else 0, many):
+            d2 = sum(((u[k : k + many, None] - v[None, :]) ** 2 for u, v in zip(p, q, strict=True)), 0.0)
+            row, other = np.nonzero(d2 <= radius * radius)
+            ring = np.clip(np.ceil(np.sqrt(d2[row, other]) / step).astype(np.int64), 1, last)
+            held = d2.shape[0]
+            out[k : k + held] = np.bincount(row * last + ring - 1, minlength=held * last).reshape(held, last)
+        return pd.DataFrame({"id": rows["a_id"], "counts": list(out)})
+
+    key, kind = [*cube, "__i", "__j"], dict(a.dtypes)["a_id"]
+    found = a.select(*key, "a_id", *[f"a_{x}" for x in axes]).groupBy(*key).cogroup(b.select(*key, *[f"b_{x}" for x in axes]).groupBy(*key)).applyInPandas(counted, f"id {kind}, counts array<long>")
+    # A point has one row for each part of the right rows.
+    sums = found.groupBy("id").agg(*[F.sum(F.col("counts")[k]).alias(f"__r{k}") for k in range(last)])
+    known = left.select("id").join(sums, "id", "left").select("id", F.posexplode(F.array(*[F.coalesce(f"__r{k}", F.lit(0)) for k in range(last)])).alias("__k", "in_ring"), F.array(*[F.coalesce(f"__r{k}", F.lit(0)) for k in range(last)]).alias("__all"))
+    return known.select("id", (F.col("__k") + 1).alias("ring"), "in_ring", F.aggregate(F.slice("__all", 1, F.col("__k") + 1), F.lit(0).cast("long"), lambda x, y: x + y).alias("within"))
+
+
 #: Halvings of the box that counts are taken at.
 LEVELS = 14
 

@@ -332,3 +332,15 @@ def test_counts_on_a_line_make_no_pairs(spark, monkeypatch):
     monkeypatch.undo()
     crowd = spark.range(300_000).select("id", (F.rand(3) * 10).alias("v"))
     assert [tuple(r) for r in spatial.line_counts(crowd, crowd, 20.0, "v").groupBy("n").count().collect()] == [(300_000, 300_000)]
+
+
+def test_ring_counts_of_crowds_equal_ring_counts(spark, monkeypatch):
+    for name, n in (("CROWD", 7), ("OTHERS", 30), ("HELD", 100)):
+        monkeypatch.setattr(spatial, name, n)
+    p, df = cloud(spark, 150, 5, 120.0)
+    grid = df.withColumns({a: F.round(a, -1) for a in "xyz"})  # distances at the edges of rings
+    far = spark.createDataFrame([(9999, 1e6, 0.0, 0.0)], "id long, x double, y double, z double")
+    both = grid.select("id", "x", "y", "z").unionByName(far)
+    for axes in (("x", "y"), ("x", "y", "z")):
+        rows = lambda df: sorted(tuple(r) for r in df.select("id", "ring", "in_ring", "within").collect())
+        assert rows(spatial.crowded_ring_counts(both, both, 60.0, 10.0, axes)) == rows(spatial.ring_counts(both, both, 60.0, 10.0, axes))
