@@ -131,7 +131,18 @@ def most_pairs(points: DataFrame, radius: float, axes: Sequence[str] = ("x", "y"
 
 
 #: Left and right rows of a cube that meet in one call, and pairs whose distances are held at once.
-CROWD, OTHERS, HELD = 2_000, 500_000, 1_000_000
+CROWD, OTHERS, HELD = 2_000, 500_000, 100_000
+
+
+def _greatest_square(ring: int, step: float) -> float:
+    """The greatest d2 with ceil(sqrt(d2) / step) <= ring, rounded as that is."""
+    within = lambda d2: np.ceil(np.sqrt(d2) / step) <= ring
+    d2 = np.float64(ring * step) ** 2
+    while within(np.nextafter(d2, np.inf)):
+        d2 = np.nextafter(d2, np.inf)
+    while not within(d2):
+        d2 = np.nextafter(d2, 0.0)
+    return float(d2)
 
 
 def crowded_ring_counts(left: DataFrame, right: DataFrame, radius: float, step: float = 10.0, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
@@ -148,16 +159,18 @@ def crowded_ring_counts(left: DataFrame, right: DataFrame, radius: float, step:
     a = a.join(both, cube).withColumn("__i", own("a", "__m")).withColumn("__j", each("__n"))
     b = b.join(both, cube).withColumn("__j", own("b", "__n")).withColumn("__i", each("__m"))
 
+    limits = [min(_greatest_square(k, step), radius * radius) for k in range(1, last)] + [radius * radius]
+
     def counted(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((len(rows), last), dtype=np.int64)
         p, q = ([df[f"{s}_{x}"].to_numpy() for x in axes] for df, s in ((rows, "a"), (others, "b")))
-        many = max(1, HELD // max(len(others), 1))
-        for k in range(0, len(rows) if len(others) else 0, many):
-            d2 = sum(((u[k : k + many, None] - v[None, :]) ** 2 for u, v in zip(p, q, strict=True)), 0.0)
-            row, other = np.nonzero(d2 <= radius * radius)
-            ring = np.clip(np.ceil(np.sqrt(d2[row, other]) / step).astype(np.int64), 1, last)
-            held = d2.shape[0]
-            out[k : k + held] = np.bincount(row * last + ring - 1, minlength=held * last).reshape(held, last)
+        for k in range(0, len(rows), max(1, CROWD // 100)):
+            part = slice(k, k + max(1, CROWD // 100))
+            for m in range(0, len(others), HELD // 20 or 1):
+                d2 = sum(((u[part, None] - v[None, m : m + (HELD // 20 or 1)]) ** 2 for u, v in zip(p, q, strict=True)), 0.0)
+                for ring, limit in enumerate(limits):
+                    out[part, ring] += (d2 <= limit).sum(axis=1, dtype=np.int32)
+        out[:, 1:] -= out[:, :-1].copy()
         return pd.DataFrame({"id": rows["a_id"], "counts": list(out)})
 
     key, kind = [*cube, "__i", "__j"], dict(a.dtypes)["a_id"]
