@@ -21,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nubila.functions.core import checkpoints_dropped
+from nubila.functions.core import checkpointed, checkpoints_dropped
 from nubila.operators import cluster, filters, profiles, spatial
 
 log = logging.getLogger("jobs.cell_profiles")
@@ -44,7 +44,8 @@ def localizations(table: DataFrame, config: dict, conditions: Sequence[str] | No
 def cell_profiles(points: DataFrame, config: dict) -> DataFrame:
     """Rows of level "cell": contact ratio for each radius, nearest-neighbour distance, points and clusters of each cell."""
     keys, (first, second) = ["condition", "cell_id"], config["channels"]
-    kept = filters.filter_quantile(points, config["trim"]["column"], config["trim"]["percent"], keys).where(F.col("channel").isin(first, second))
+    # Every step below reads the kept points.
+    kept = checkpointed(filters.filter_quantile(points, config["trim"]["column"], config["trim"]["percent"], keys).where(F.col("channel").isin(first, second)))
     own, other = kept.where(F.col("channel") == first), kept.where(F.col("channel") == second)
     ratio = profiles.contact_ratio(own, other, config["radius"], config["step"], keys)
     # The nearest of all is the point itself.

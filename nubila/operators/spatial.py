@@ -2,17 +2,19 @@
 
 Space is cut into cubes with the join's radius as edge. One side is copied to the neighbouring cubes, so a plain equi-join on the
 cube finds all pairs, each once; exact distances are then compared. The left rows of a dense cube are dealt into parts, and the
-right rows sent to each part, so no task holds a dense cube.
+right rows sent to each part, so no task holds a dense cube. Ring counts make no pairs: arrays of a cube's points are compared.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,36 +104,8 @@ def line_counts(left: DataFrame, right: DataFrame, reach: float, axis: str) -> D
     return each.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def ring_counts(left: DataFrame, right: DataFrame, radius: float, step: float = 10.0, axes: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = (), same: bool = False) -> DataFrame:
-    """For each left id and ring (k: distance in ((k-1) step, k step], zero in the first): in_ring and cumulative within.
-
-    Rings without neighbours have zeros. same leaves out the point itself.
-    """
-    pairs = range_join(left, right, radius, axes, keys)
-    if same:
-        pairs = pairs.where("a_id <> b_id")
-    ring = F.greatest(F.ceil(F.sqrt("d2") / step), F.lit(1)).cast("int")
-    found = pairs.groupBy(*keys, F.col("a_id").alias("id"), ring.alias("ring")).agg(F.count("*").alias("n"))
-    # Distances are divided and rounded up, so a ring beyond the last can only come from rounding.
-    last = int(radius // step)
-    found = found.withColumn("ring", F.least("ring", F.lit(last))).groupBy(*keys, "id", "ring").agg(F.sum("n").alias("n"))
-    dense = left.select(*keys, "id", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("ring"))
-    counts = dense.join(found, [*keys, "id", "ring"], "left").withColumn("in_ring", F.coalesce("n", F.lit(0)))
-    w = Window.partitionBy(*keys, "id").orderBy("ring")
-    return counts.select(*keys, "id", "ring", "in_ring", F.sum("in_ring").over(w).alias("within"))
-
-
-def most_pairs(points: DataFrame, radius: float, axes: Sequence[str] = ("x", "y", "z")) -> int:
-    """How many pairs a range join of points with themselves compares: a bound of its rows, from counts of cubes."""
-    cells = [f"__{a}" for a in axes]
-    counts = checkpointed(points.dropna(subset=list(axes)).groupBy(*[F.floor(F.col(a) / radius).alias(c) for a, c in zip(axes, cells, strict=True)]).agg(F.count("*").alias("n")))
-    steps = steps_array(list(itertools.product((-1, 0, 1), repeat=len(axes))), axes)
-    moved = counts.withColumnRenamed("n", "m").withColumn("__step", F.explode(steps)).withColumns({f"__{a}": F.col(f"__{a}") + F.col(f"__step.{a}") for a in axes})
-    return moved.join(counts, cells).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
-
-
-#: Left and right rows of a cube that meet in one call, and pairs whose distances are held at once.
-CROWD, OTHERS, HELD = 2_000, 500_000, 100_000
+#: Left and right rows of a cube that meet in one call, rows of a block and pairs whose distances are held at once, rows of a task.
+CROWD, OTHERS, BLOCK, HELD, TASK = 5_000, 500_000, 32, 65_536, 1_000_000
 
 
 def _greatest_square(ring: int, step: float) -> float:
@@ -145,40 +119,110 @@ def _greatest_square(ring: int, step: float) -> float:
     return float(d2)
 
 
-def crowded_ring_counts(left: DataFrame, right: DataFrame, radius: float, step: float = 10.0, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """What ring_counts gives without keys, for crowds: pairs are counted as arrays inside tasks and never become rows.
+def _near_blocks(points: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of points (axes x rows) in blocks of BLOCK at most that lie close together: halved along the widest axis."""
+    waiting = [np.arange(points.shape[1])] if points.shape[1] else []
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= BLOCK:
+            yield rows
+            continue
+        own = points[:, rows]
+        order = np.argpartition(own[np.argmax(own.max(axis=1) - own.min(axis=1))], len(rows) // 2)
+        waiting += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
 
-    The cubes are those of box_join; the left rows of a crowded cube are dealt into parts of CROWD, its right ones into parts of OTHERS.
+
+def _counts_within(points: np.ndarray, others: np.ndarray, limits: Sequence[float]) -> np.ndarray:
+    """How many others (axes x rows) have a squared distance of at most each limit, the last being the greatest, to each point.
+
+    Only others within reach of a block's box meet its points; that gap is rounded like the distances, so it never exceeds one.
     """
-    last, cube = int(radius // step), [f"__{a}" for a in axes]
-    a, b = _side(left, "a", axes, radius, (), False), _side(right, "b", axes, radius, (), True)
-    parts = lambda df, n, name: df.groupBy(*cube).agg(F.ceil(F.count("*") / n).cast("int").alias(name))
-    both = checkpointed(parts(a, CROWD, "__m").join(parts(b, OTHERS, "__n"), cube))
+    out = np.zeros((points.shape[1], len(limits)), dtype=np.int64)
+    for rows in _near_blocks(points):
+        own = points[:, rows]
+        gap = sum((np.maximum(np.maximum(lo - v, v - hi), 0.0) ** 2 for lo, hi, v in zip(own.min(axis=1), own.max(axis=1), others, strict=True)), 0.0)
+        near = others[:, gap <= limits[-1]]
+        for m in range(0, near.shape[1], HELD // BLOCK):
+            d2 = 0.0
+            for u, v in zip(own, near[:, m : m + HELD // BLOCK], strict=True):
+                apart = u[:, None] - v[None, :]
+                d2 = d2 + np.multiply(apart, apart, out=apart)
+            for ring, limit in enumerate(limits):
+                out[rows, ring] += [np.count_nonzero(one) for one in d2 <= limit]
+    return out
+
+
+def ring_counts(left: DataFrame, right: DataFrame, radius: float, step: float = 10.0, axes: Sequence[str] = ("x", "y", "z"), keys: Sequence[str] = (), same: bool = False) -> DataFrame:
+    """For each left id and ring (k: distance in ((k-1) step, k step], zero in the first): in_ring and cumulative within.
+
+    Rings without neighbours have zeros. same leaves out the point itself. Pairs are counted as arrays inside tasks and never become
+    rows: right rows go to the cubes they reach, of twice the radius as edge; left rows of a crowded cube are dealt into parts of
+    CROWD, its right ones into parts of OTHERS.
+    """
+    last, edge, reach, cube = int(radius // step), 2.0 * radius, radius * (1 + 1e-9), [*keys, *[f"__{x}" for x in axes]]
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        """Rows that can have neighbours; nulls in a join key meet nothing, and no distance is finite but between finite places."""
+        known = [F.col(c).isNotNull() for c in keys] + [F.col("id").isNotNull()] * (name == "a" or same)
+        out = df.select(*keys, F.col("id").alias(f"{name}_id"), *[F.col(x).cast("double").alias(f"{name}_{x}") for x in axes], reduce(and_, known, F.lit(True)).alias("__known"))
+        return out.where("__known").drop("__known").where(reduce(and_, [F.abs(F.col(f"{name}_{x}")) < float("inf") for x in axes]))
+
+    a, b = placed(left, "a"), placed(right, "b")
+    for x in axes:
+        a = a.withColumn(f"__{x}", F.floor(F.col(f"a_{x}") / edge))
+        b = b.withColumn(f"__{x}", F.explode(F.sequence(F.floor((F.col(f"b_{x}") - reach) / edge), F.floor((F.col(f"b_{x}") + reach) / edge))))
+    rows = lambda df, name: df.groupBy(*cube).agg(F.count("*").alias(name))
+    cubes = rows(a, "__p").join(rows(b, "__q"), cube).withColumns({"__m": F.ceil(F.col("__p") / CROWD).cast("int"), "__n": F.ceil(F.col("__q") / OTHERS).cast("int")})
+    both = checkpointed(cubes)
+    sent = both.agg(F.sum(F.col("__p") * F.col("__n") + F.col("__q") * F.col("__m")).alias("rows"), F.sum(F.col("__m") * F.col("__n")).alias("calls")).first()
+    # Work isn't told by bytes, so tasks are not merged by their size.
+    tasks = max(1, min(sent["calls"] or 0, max(4 * left.sparkSession.sparkContext.defaultParallelism, (sent["rows"] or 0) // TASK)))
+    both = both.drop("__p", "__q")
     each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    own = lambda side, name: F.pmod(F.xxhash64(f"{side}_id"), F.col(name)).cast("int")
+    own = lambda side, name: F.pmod(F.xxhash64(*[f"{side}_{c}" for c in ("id", *axes)]), F.col(name)).cast("int")
     a = a.join(both, cube).withColumn("__i", own("a", "__m")).withColumn("__j", each("__n"))
     b = b.join(both, cube).withColumn("__j", own("b", "__n")).withColumn("__i", each("__m"))
-
     limits = [min(_greatest_square(k, step), radius * radius) for k in range(1, last)] + [radius * radius]
 
     def counted(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((len(rows), last), dtype=np.int64)
-        p, q = ([df[f"{s}_{x}"].to_numpy() for x in axes] for df, s in ((rows, "a"), (others, "b")))
-        for k in range(0, len(rows), max(1, CROWD // 100)):
-            part = slice(k, k + max(1, CROWD // 100))
-            for m in range(0, len(others), HELD // 20 or 1):
-                d2 = sum(((u[part, None] - v[None, m : m + (HELD // 20 or 1)]) ** 2 for u, v in zip(p, q, strict=True)), 0.0)
-                for ring, limit in enumerate(limits):
-                    out[part, ring] += (d2 <= limit).sum(axis=1, dtype=np.int32)
-        out[:, 1:] -= out[:, :-1].copy()
-        return pd.DataFrame({"id": rows["a_id"], "counts": list(out)})
-
-    key, kind = [*cube, "__i", "__j"], dict(a.dtypes)["a_id"]
-    found = a.select(*key, "a_id", *[f"a_{x}" for x in axes]).groupBy(*key).cogroup(b.select(*key, *[f"b_{x}" for x in axes]).groupBy(*key)).applyInPandas(counted, f"id {kind}, counts array<long>")
+        p, q = (np.array([df[f"{s}_{x}"].to_numpy() for x in axes]) for df, s in ((rows, "a"), (others, "b")))
+        out = _counts_within(p, q, limits)
+        if same:
+            ids = [pd.DataFrame({"id": df[f"{s}_id"], f"__{s}": np.arange(len(df))}) for df, s in ((rows, "a"), (others, "b"))]
+            one = ids[0].merge(ids[1], on="id")
+            i, j = one["__a"].to_numpy(), one["__b"].to_numpy()
+            d2 = sum(((u[i] - v[j]) ** 2 for u, v in zip(p, q, strict=True)), 0.0)
+            for ring, limit in enumerate(limits):
+                np.subtract.at(out[:, ring], i, (d2 <= limit).astype(np.int64))
+        return pd.DataFrame({**{k: rows[f"a__{k}"] for k in keys}, "id": rows["a_id"], "counts": list(out)})
+
+    call, kinds = [*cube, "__i", "__j"], dict(a.dtypes)
+    kind = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"id {kinds['a_id']}", "counts array<long>"])
+
+    def dealt(df: DataFrame, name: str, more: Sequence[str]) -> GroupedData:
+        """Grouped by columns of their own, since both sides were joined with the same table."""
+        mine = {c: f"{name}__{c}" for c in call}
+        return df.select(*[F.col(c).alias(m) for c, m in mine.items()], *more, *[f"{name}_{x}" for x in axes]).repartition(tasks, *mine.values()).groupBy(*mine.values())
+
+    found = dealt(a, "a", ["a_id"]).cogroup(dealt(b, "b", ["b_id"] if same else [])).applyInPandas(counted, kind)
     # A point has one row for each part of the right rows.
-    sums = found.groupBy("id").agg(*[F.sum(F.col("counts")[k]).alias(f"__r{k}") for k in range(last)])
-    known = left.select("id").join(sums, "id", "left").select("id", F.posexplode(F.array(*[F.coalesce(f"__r{k}", F.lit(0)) for k in range(last)])).alias("__k", "in_ring"), F.array(*[F.coalesce(f"__r{k}", F.lit(0)) for k in range(last)]).alias("__all"))
-    return known.select("id", (F.col("__k") + 1).alias("ring"), "in_ring", F.aggregate(F.slice("__all", 1, F.col("__k") + 1), F.lit(0).cast("long"), lambda x, y: x + y).alias("within"))
+    sums = found.groupBy(*keys, "id").agg(*[F.sum(F.col("counts")[k]).alias(f"__r{k}") for k in range(last)])
+    known = left.select(*keys, "id").join(sums, [*keys, "id"], "left").select(*keys, "id", F.array(*[F.coalesce(f"__r{k}", F.lit(0).cast("long")) for k in range(last)]).alias("__all"))
+    rings = known.select(*keys, "id", "__all", F.posexplode("__all").alias("__k", "within"))
+    return rings.select(*keys, "id", (F.col("__k") + 1).alias("ring"), (F.col("within") - F.coalesce(F.get("__all", F.col("__k") - 1), F.lit(0))).alias("in_ring"), "within")
+
+
+#: The name of the form without keys.
+crowded_ring_counts = ring_counts
+
+
+def most_pairs(points: DataFrame, radius: float, axes: Sequence[str] = ("x", "y", "z")) -> int:
+    """How many pairs a range join of points with themselves compares: a bound of its rows, from counts of cubes."""
+    cells = [f"__{a}" for a in axes]
+    counts = checkpointed(points.dropna(subset=list(axes)).groupBy(*[F.floor(F.col(a) / radius).alias(c) for a, c in zip(axes, cells, strict=True)]).agg(F.count("*").alias("n")))
+    steps = steps_array(list(itertools.product((-1, 0, 1), repeat=len(axes))), axes)
+    moved = counts.withColumnRenamed("n", "m").withColumn("__step", F.explode(steps)).withColumns({f"__{a}": F.col(f"__{a}") + F.col(f"__step.{a}") for a in axes})
+    return moved.join(counts, cells).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
 
 
 #: Halvings of the box that counts are taken at.

@@ -344,3 +344,33 @@ def test_ring_counts_of_crowds_equal_ring_counts(spark, monkeypatch):
     for axes in (("x", "y"), ("x", "y", "z")):
         rows = lambda df: sorted(tuple(r) for r in df.select("id", "ring", "in_ring", "within").collect())
         assert rows(spatial.crowded_ring_counts(both, both, 60.0, 10.0, axes)) == rows(spatial.ring_counts(both, both, 60.0, 10.0, axes))
+
+
+def test_ring_counts_by_keys_make_no_pairs(spark, monkeypatch):
+    """Brute force over groups, parts, repeated ids and nulls; the plan holds no join of points with points."""
+    for name, n in (("CROWD", 9), ("OTHERS", 25), ("BLOCK", 4), ("HELD", 40), ("TASK", 50)):
+        monkeypatch.setattr(spatial, name, n, raising=False)
+    schema = "id long, x double, y double, z double, cell long, kind string"
+    rng = np.random.default_rng(9)
+    rows = [(i, *(float(v) for v in np.round(rng.normal(0, 25, 3), i % 2)), i % 3, "ab"[i % 2]) for i in range(160)]
+    rows += [(7, 1.0, 2.0, 3.0, 1, "b"), (None, 0.0, 0.0, 0.0, 0, "a"), (900, None, 0.0, 0.0, 0, "a"), (901, float("nan"), 0.0, 0.0, 0, "a"), (902, float("inf"), 0.0, 0.0, 0, "a"), (903, 0.0, 0.0, 0.0, None, "a")]
+    df, keys = spark.createDataFrame(rows, schema).repartition(3), ["cell", "kind"]
+    for axes in (("x", "y"), ("x", "y", "z")):
+        place = lambda r: np.array(r[1 : 1 + len(axes)], dtype=float)  # noqa: B023, E731
+        for same in (True, False):
+            want = {}
+            for r in rows:
+                if r[0] is None or r[0] == 7:
+                    continue
+                mates = [o for o in rows if None not in (r[4], o[4]) and r[4:] == o[4:] and not (same and o[0] in (None, r[0]))]
+                d = np.array([np.sqrt(((place(r) - place(o)) ** 2).sum()) for o in mates])
+                want.update({(r[0], k): int((d <= 10.0 * k).sum()) for k in range(1, 6)})
+            found = spatial.ring_counts(df, df, 50.0, 10.0, axes, keys, same)
+            assert not any("Join" in line and "b_x" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+            got = found.where("id <> 7").collect()
+            assert {(r["id"], r["ring"]): r["within"] for r in got} == want
+            assert all(r["in_ring"] == r["within"] - (want[r["id"], r["ring"] - 1] if r["ring"] > 1 else 0) for r in got)
+    # 400 million pairs.
+    monkeypatch.undo()
+    crowd = spark.range(20_000).select("id", F.lit(1).alias("cell"), *[(F.rand(i) * 5).alias(a) for i, a in enumerate("xyz")])
+    assert [tuple(r) for r in spatial.ring_counts(crowd, crowd, 20.0, keys=["cell"], same=True).groupBy("ring", "within").count().orderBy("ring").collect()] == [(1, 19_999, 20_000), (2, 19_999, 20_000)]
